@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trackloom.llm.bpe import op8_bpe
 from trackloom.llm.decontaminate import op2_decontamination
 from trackloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from trackloom.llm.sharding import op5_sharding
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
