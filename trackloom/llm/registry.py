@@ -5,6 +5,7 @@ from __future__ import annotations
 from trackloom.llm.bpe import op8_bpe
 from trackloom.llm.decontaminate import op2_decontamination
 from trackloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from trackloom.llm.simhash import op10_simhash
 from trackloom.llm.sharding import op5_sharding
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
