@@ -6,6 +6,7 @@ from trackloom.llm.bpe import op8_bpe
 from trackloom.llm.decontaminate import op2_decontamination
 from trackloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from trackloom.llm.simhash import op10_simhash
+from trackloom.llm.pii import op9_pii
 from trackloom.llm.sharding import op5_sharding
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
 
