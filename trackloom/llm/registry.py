@@ -5,12 +5,14 @@ from __future__ import annotations
 from trackloom.llm.bpe import op8_bpe
 from trackloom.llm.decontaminate import op2_decontamination
 from trackloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from trackloom.llm.quality import op1_quality
 from trackloom.llm.simhash import op10_simhash
 from trackloom.llm.language_id import op4_language_id
 from trackloom.llm.pii import op9_pii
 from trackloom.llm.sharding import op5_sharding
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
