@@ -257,3 +257,163 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 3, id_col: str =
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------------------
+# Similarity of 0.8 or more: the same index over wider fingerprints.
+
+BLOCKS = 4  # of 64 bits
+BYTES = 8 * BLOCKS
+#: Entries of the wide index: pairs of byte positions, 16 side by side and 32 five apart.
+PAIRS = [(i, i + 1) for i in range(0, BYTES, 2)] + [(i, (i + 5) % BYTES) for i in range(BYTES)]
+
+
+def _mix(h: np.ndarray, salt: int) -> np.ndarray:
+    """An independent 64-bit hash of a hash (the finaliser of SplitMix64)."""
+    x = h + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``BLOCKS`` SimHashes of the set of hashes."""
+    hashes = np.unique(hashes)
+    return np.array([fingerprint(_mix(hashes, b) if b else hashes) for b in range(BLOCKS)], np.uint64)
+
+
+def _wide(size: int):
+    pairs = np.array(PAIRS)
+    names = np.arange(len(PAIRS), dtype=np.int32) << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(shingle_hashes(t or b"", size)) for t in batch.column(1).to_pylist()]
+            raw = [f.view(np.uint8).astype(np.int32) for f in fps]
+            keys = [names | r[pairs[:, 0]] << 8 | r[pairs[:, 1]] for r in raw]
+            yield pa.record_batch({"id": batch.column(0), "fp": pa.array([f.tobytes() for f in fps], pa.binary()), "keys": pa.array(keys, pa.list_(pa.int32()))})
+
+    return run
+
+
+def _near(fps: np.ndarray, one: np.ndarray, most: int, shared: int) -> np.ndarray:
+    """Bits that differ between ``one`` and each of ``fps``; large where the count filter says no."""
+    x = fps ^ one
+    bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    tally = (x.view(np.uint8) == 0).sum(axis=1)
+    return np.where((tally >= shared) & (bits <= most), bits, 1 << 20)
+
+
+def nearest_links(fps: np.ndarray, most: int, shared: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest (Prim) of the pairs that pass the count filter and differ in ``most`` bits."""
+    n = len(fps)
+    out = []
+    best, parent, left = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        best[at] = 1 << 21
+        d = _near(fps, fps[at], most, shared)
+        closer = left & (d < best)
+        best[closer], parent[closer] = d[closer], at
+        at = int(np.where(left, best, 1 << 21).argmin())
+        if best[at] < 1 << 20:
+            out.append((int(parent[at]), at))
+    return out
+
+
+def _wide_links(most: int, shared: int, chunk: int = 1024, carry: int = 64):
+    """Lists longer than ``chunk`` are linked a chunk at a time, each with the last ``carry`` of the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held_key, held_n = None, 0
+
+        def close(keep: bool):
+            ids, fps = (np.concatenate([h[i] for h in held]) for i in range(2))
+            out = []
+            if len(ids) > 1:
+                links = nearest_links(fps, most, shared)
+                if links:
+                    ij = np.array(links)
+                    out.append((ids[ij[:, 0]], ids[ij[:, 1]]))
+            held[:] = [(ids[-carry:], fps[-carry:])] if keep else []
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BLOCKS)
+            starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+            ends = np.r_[starts[1:], len(key)]
+            out = []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if key[a] != held_key:
+                    if held_n > 1:
+                        out += close(False)
+                    held.clear()
+                    held_key, held_n = key[a], 0
+                for c in range(a, b, chunk):
+                    held.append((ids[c : min(b, c + chunk)], fps[c : min(b, c + chunk)]))
+                    held_n += min(b, c + chunk) - c
+                    if held_n >= chunk:
+                        out += close(True)
+                        held_n = len(held[0][0])
+            if out:
+                yield _edges(out)
+        if held_n > 1 and (out := close(False)):
+            yield _edges(out)
+
+    return run
+
+
+def _edges(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.record_batch({"u": pa.array(np.concatenate([a for a, _ in out])), "v": pa.array(np.concatenate([b for _, b in out]))})
+
+
+def _jaccard(size: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, last_set = [], None, None
+            for u, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if last is None or u != last:
+                    last, last_set = u, np.unique(shingle_hashes(a or b"", size))
+                other = np.unique(shingle_hashes(b or b"", size))
+                both = len(np.intersect1d(last_set, other, assume_unique=True))
+                union = len(last_set) + len(other) - both
+                keep.append(union == 0 or both >= similarity * union)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 56, shared: int = 4) -> DataFrame:
+    """``doc_id, component_id`` for every row with an id: classes of documents
+    joined by links of Jaccard ``similarity`` or more between their sets of
+    ``size``-word shingles.
+
+    Candidates share an entry of the wide positional-byte index; within a list
+    a minimum spanning forest by differing bits is kept (pairs below the count
+    filter take no part) and each of its links is verified on the whole texts.
+    At similarity 0.8 a byte is shared with probability 0.27, so that two
+    documents share one of the 48 two-byte entries with probability 0.97, at
+    0.9 of more than 0.999.
+
+    Rows without an id are not grouped and not returned.  Wordless texts form
+    one class; repeated rows share one.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    prints = materialize(rows.mapInArrow(_wide(size), "id long, fp binary, keys array<int>"), "simhash-wide")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    distinct = materialize(distinct, "simhash-wide-distinct")
+    postings = distinct.select(F.explode("keys").alias("key"), "node", "fp")
+    edges = postings.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_wide_links(most_bits, shared), "u long, v long")
+    edges = materialize(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-wide-links")
+    ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+    texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]), "simhash-wide-texts")
+    paired = edges.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    linked = paired.select("u", "v", "a", "b").mapInArrow(_jaccard(size, similarity), "u long, v long")
+    roots = component_roots(linked, "simhash-wide-components")
+    named = distinct.join(roots.select(F.col("node"), "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(named, "fp").select(F.col("id").alias("doc_id"), "component_id")
