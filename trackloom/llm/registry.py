@@ -10,10 +10,12 @@ from trackloom.llm.simhash import op10_simhash
 from trackloom.llm.language_id import op4_language_id
 from trackloom.llm.pii import op9_pii
 from trackloom.llm.sharding import op5_sharding
+from trackloom.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL}
