@@ -10,6 +10,7 @@ from trackloom.llm.simhash import op10_simhash
 from trackloom.llm.language_id import op4_language_id
 from trackloom.llm.pii import op9_pii
 from trackloom.llm.sharding import op5_sharding
+from trackloom.llm.substring_dedup import op7_substring_dedup
 from trackloom.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
