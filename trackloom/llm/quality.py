@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,6 +56,7 @@ def measures(text: bytes, words: list[bytes]) -> list[float]:
 
 
 PREFIXES = (5, 6, 7, 8)
+_BITS = 20
 
 
 def lexical(words: set[bytes], gate: set[bytes] | None = None) -> set[bytes]:
@@ -118,26 +120,39 @@ def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, n_
     if not rows:
         return DocumentModel()
     raw = [(t or "").encode() for t, _, _ in rows]
-    split = [_WORD.findall(r.lower()) for r in raw]
-    sets = [lexical(set(s)) for s in split]
-    form = np.array([measures(r, s) for r, s in zip(raw, split, strict=True)])
     targets = np.array([[q, t] for _, q, t in rows], np.float64)
-    seen, seen_of = Counter(), (Counter(), Counter())
-    for s, y in zip(sets, targets, strict=True):
-        seen.update(s)
-        for k in range(2):
-            if y[k]:
-                seen_of[k].update(s)
     n, totals = len(rows), targets.sum(0)
-    vocabulary = [w for w, c in seen.items() if c >= 8]
-    # z-score of each word's class rate among the documents that have it
-    z = np.zeros((len(vocabulary), 2))
-    for i, w in enumerate(vocabulary):
-        c = (seen[w], seen_of[0][w], seen_of[1][w])
-        for k in range(2):
-            rate = totals[k] / n
-            z[i, k] = (c[1 + k] - c[0] * rate) / math.sqrt(c[0] * rate * (1 - rate) * max(1e-9, 1 - c[0] / (n + 1)) + 1e-9) if 0 < rate < 1 else 0.0
+
+    def z_scores(c: np.ndarray) -> np.ndarray:
+        """How far each row's class counts (seen, of good, of toxic) are from chance."""
+        rate = np.clip(totals / n, 1e-9, 1 - 1e-9)
+        noise = c[:, :1] * rate * (1 - rate) * np.maximum(1e-9, 1 - c[:, :1] / (n + 1))
+        return (c[:, 1:] - c[:, :1] * rate) / np.sqrt(noise + 1e-9)
+
+    # first by hash, to find the few that can matter in little memory, then exactly
+    form, buckets = [], np.zeros((1 << _BITS, 3))
+    for r, y in zip(raw, targets, strict=True):
+        words = _WORD.findall(r.lower())
+        form.append(measures(r, words))
+        at = [zlib.crc32(w) & ((1 << _BITS) - 1) for w in lexical(set(words))]
+        buckets[at] += (1, y[0], y[1])
+    form = np.array(form)
+    likely = (buckets[:, 0] >= 8) & (np.abs(z_scores(buckets)) >= z_least - 1).any(axis=1)
+    exact: dict[bytes, np.ndarray] = {}
+    for r, y in zip(raw, targets, strict=True):
+        for w in lexical(set(_WORD.findall(r.lower()))):
+            if likely[zlib.crc32(w) & ((1 << _BITS) - 1)]:
+                exact[w] = exact.get(w, 0) + np.array((1, y[0], y[1]))
+    vocabulary = sorted(w for w, c in exact.items() if c[0] >= 8)
+    z = z_scores(np.array([exact[w] for w in vocabulary]).reshape(-1, 3))
     chosen = [np.array(sorted(np.flatnonzero(np.abs(z[:, k]) >= z_least), key=lambda i: (-abs(z[i, k]), vocabulary[i]))[:most_words], int) for k in range(2)]
+    column = [{vocabulary[i]: j for j, i in enumerate(chosen[k])} for k in range(2)]
+    has = [np.zeros((n, len(chosen[k]))) for k in range(2)]
+    for d, r in enumerate(raw):
+        found = lexical(set(_WORD.findall(r.lower())))
+        for k in range(2):
+            for w in column[k].keys() & found:
+                has[k][d, column[k][w]] = 1
     edges = [np.unique(np.quantile(form[:, j], np.linspace(0, 1, n_bins + 1)[1:-1])) for j in range(form.shape[1])]
     onehot = np.concatenate([np.eye(len(e) + 1)[np.searchsorted(e, form[:, j])] for j, e in enumerate(edges)], axis=1)
     words: dict[bytes, list[float]] = {}
@@ -147,7 +162,7 @@ def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, n_
             bias[k] = 30.0 if totals[k] else -30.0
             continue
         names = [vocabulary[i] for i in chosen[k]]
-        x = np.concatenate([np.array([[w in s for w in names] for s in sets], np.float64).reshape(n, -1), onehot, np.ones((n, 1))], axis=1)
+        x = np.concatenate([has[k], onehot, np.ones((n, 1))], axis=1)
         # words are strong evidence, form a weak one for toxicity
         penalty = np.concatenate([np.full(len(names), 0.3), np.full(onehot.shape[1], 1.0 if k == 0 else 20.0), [1e-3]])
         w = _logistic(x, targets[:, k], penalty)
