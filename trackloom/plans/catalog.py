@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from trackloom.plans import queries_binning, queries_matching, queries_metrics, queries_tracks
+
+_PARTS = (queries_binning, queries_matching, queries_metrics, queries_tracks)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
