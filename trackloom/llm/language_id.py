@@ -19,7 +19,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import table
@@ -156,13 +155,20 @@ class ByteCNN:
 
 
 def labelled_sample(rows: DataFrame, per_language: int, max_languages: int) -> list[tuple[str, bytes]]:
-    """A bounded sample of ``lang, text``: the rows of least hash in each of the
-    most frequent labels, and of each at most 4096 characters from a hashed place."""
+    """A bounded sample of ``lang, text`` from ``doc_id, text, lang``: about ``per_language``
+    rows by hash of each of the most frequent labels, and of each row at most
+    4096 characters from a hashed place.  The cut for each label follows from
+    its count, so the rows are found in the scan, without a shuffle."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    if not frequent:
+        return []
+    cuts = F.create_map(*(F.lit(x) for r in frequent for x in (r["lang"], min(1.0, per_language / r["count"]))))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(cuts, F.col("lang")) * (1 << 30))
     somewhere = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 4096, F.lit(0)) + 1).cast("int") + 1
-    ranked = rows.where(F.col("lang").isin(frequent)).select(F.substring("text", somewhere, F.lit(4096)).cast("binary").alias("text"), "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")).alias("rn")).where(F.col("rn") <= per_language)
-    return sorted((r["lang"], bytes(r["text"])) for r in ranked.select("lang", "text").collect())
+    # rows repeated under one id share a hash: the limit keeps them from adding up
+    found = drawn.select("lang", F.substring("text", somewhere, F.lit(4096)).cast("binary").alias("text")).limit(4 * per_language * len(frequent)).collect()
+    return sorted((r["lang"], bytes(r["text"])) for r in found)
 
 
 def _predict(model_cast):
@@ -190,7 +196,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    sample = labelled_sample(rows.where(~F.col("held_out")).select("text", "lang"), per_language, max_languages)
+    sample = labelled_sample(rows.where(~F.col("held_out")).select("doc_id", "text", "lang"), per_language, max_languages)
     labels = sorted({lang for lang, _ in sample})
     model = ByteCNN(labels)
     if len(labels) > 1:
