@@ -25,9 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and outlives executors."""
+    """``df`` written to the shared folder and read back: cuts the lineage, outlives executors, ends with the driver."""
     path = f"{shared_folder(df.sparkSession)}/trackloom-stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
