@@ -34,16 +34,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete ``path`` (which exists) when it ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage the way a checkpoint does (a lost executor costs
     nothing: the files are in shared storage) but stays columnar, so later
-    readers prune columns.
+    readers prune columns.  The files last as long as the driver.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    forget_at_exit(spark, path)
     # shuffle files of finished steps go when the driver's JVM collects garbage
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -381,7 +381,8 @@ def _stretches(size: int):
                 ident = ids[base : base + len(split)][text]
                 own = shared & (owner == ident)
                 follows = shared & ~own
-                seed = xxhash_of(hs[base : base + len(split)]) & 0x7FFFFFFF
+                here = slice(base, base + len(split))
+                seed = xxhash_of(hs[here] ^ xxhash_of(ids[here])) & 0x7FFFFFFF  # equal texts part as well
                 salt = seed[text] % np.maximum(n_salts, 1)
                 found: dict[tuple[int, int, int, int], list[tuple[int, int]]] = {}
                 for i, j in _runs(follows, owner, salt, text):

@@ -54,7 +54,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from trackloom.llm.common import fresh_path, table
+from trackloom.llm.common import forget_at_exit, fresh_path, table
 
 SCHEMA = "record_id string, warc_type string, target_uri string, date string, refers_to string, header_digest string, payload_bytes long, content_length long, computed_digest string, payload binary"
 #: Columns that headers alone decide.
@@ -434,6 +434,7 @@ def write_warc(records: DataFrame, path: str) -> None:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    forget_at_exit(spark, path)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:([^>]*)', 1) AS bigint)")
     back = read_warc(spark, path, payload="digest").where(F.col("warc_type").isin("response", "revisit"))
     return back.select(
