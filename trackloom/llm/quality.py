@@ -238,9 +238,11 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     return nested.select("host", "path", "post_q", "post_t"), means
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, broadcast_sites: int = 50_000, passed: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, broadcast_sites: int = 50_000, toxic_least: float = 0.15, passed: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``passed``) with a struct ``__judged``: document log-odds, site posteriors, final
-    probabilities ``p_quality`` and ``p_toxic``, and ``keep``.
+    probabilities ``p_quality`` and ``p_toxic``, and ``keep``: quality at least one
+    half and toxicity below ``toxic_least`` (a toxic document that stays costs
+    more than a clean one that goes).
 
     Defined cases: a null text is judged as an empty one; null sources form
     one site; without labels (or with one class) documents carry no evidence
@@ -262,7 +264,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     none = not model.edges
     judged = F.struct(
         F.col("__s.quality").alias("logit_quality"), F.col("__s.toxic").alias("logit_toxic"), F.col("__site.post_q").alias("site_quality"), F.col("__site.post_t").alias("site_toxic"),
-        p_q.alias("p_quality"), p_t.alias("p_toxic"), (F.lit(True) if none else (p_q >= 0.5) & (p_t < 0.5)).alias("keep"),
+        p_q.alias("p_quality"), p_t.alias("p_toxic"), (F.lit(True) if none else (p_q >= 0.5) & (p_t < toxic_least)).alias("keep"),
     )
     return joined.select("__row.*", judged.alias("__judged"))
 
