@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
-from trackloom.operators import binning, cluster, coding, distance, encode, flow, geometry, graphpath, images, metrics, sampling, svm, tracks, windows
+from trackloom.operators import alignment, binning, cluster, coding, distance, encode, flow, forest, geometry, graphpath, images, metrics, sampling, svm, tracks, windows
 from trackloom.plans import ordered, stages
 from trackloom.sources import frames
 from trackloom.streaming import tracks as streaming
@@ -242,7 +242,7 @@ def test_mesh_warp_follows_an_affine_map(spark):
 def test_path_product_and_smoothing(spark):
     step = [1.0, 0.0, 2.0, 0.0, 1.0, -1.0, 0.0, 0.0, 1.0]
     df = spark.createDataFrame([(1, 1, 1, f, step) for f in range(1, 6)], "clip int, row int, col int, frame int, h array<double>")
-    got = {r.frame: r.path for r in windows.seam_fold(df, ["clip", "row", "col"], "frame", "h").collect()}
+    got = {r.frame: r.path for r in windows.path_product(df, ["clip", "row", "col"], "frame", "h").collect()}
     assert got[1] == [1, 0, 0, 0, 1, 0, 0, 0, 1] and got[5] == [1, 0, 8, 0, 1, -4, 0, 0, 1]
     paths = spark.createDataFrame([(f, 1, 1, [float(f % 2)] * 9) for f in range(6)], "frame int, row int, col int, c array<double>")
     affinity = spark.createDataFrame([(t, r, 1.0) for t in range(6) for r in range(6) if abs(t - r) == 1], "t int, r int, w double")
@@ -422,3 +422,73 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.cells for r in spark.table("masks").orderBy("frame").collect()] == [[1, 0], [1, 0]]
+
+
+def test_forest_recall(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20, 24)).repeat(50, 0) + rng.normal(0, 0.4, (1000, 24))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    trees = forest.build(data, trees=4, leaf=16)
+    indexed = forest.index(data, trees)
+    assert indexed.count() == 4000
+    asked = data.where("id % 100 = 0")
+    want = {(r.q, r.id) for r in distance.nearest_neighbours(asked, data, 7).collect()}
+    got = {(r.q, r.id) for r in forest.query(asked, indexed, trees, 7, 12).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    every = {(r.q, r.id) for r in forest.query(asked, indexed, trees, 7, 10_000).collect()}
+    assert every == want
+
+
+def _paths(spark, n=3, cells=2):
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    shift = [1.0, 0.0, 4.0, 0.0, 1.0, -2.0, 0.0, 0.0, 1.0]
+    return spark.createDataFrame([(f, r, c, shift, eye) for f in range(1, n + 1) for r in range(1, cells + 1) for c in range(1, cells + 1)], "frame int, row int, col int, p array<double>, c array<double>")
+
+
+def test_path_updates_keep_a_common_shift(spark):
+    paths = _paths(spark)
+    affinity = spark.createDataFrame([(t, r, 0.5) for t in (1, 2, 3) for r in (1, 2, 3) if t != r], "t int, r int, w double")
+    out = alignment.optimise_paths(paths, affinity, 2, smoothness=1.0, weight=0.5, span=1, n_frames=3).collect()
+    assert len(out) == 12 and all(r.p == pytest.approx([1, 0, 4, 0, 1, -2, 0, 0, 1]) for r in out)
+    target = paths.select("frame", "row", "col", F.col("c").alias("s"), F.lit(3.0).alias("boost"))
+    moved = alignment.update_paths(paths, affinity, 0.0, 0.0, target, 1.0).first()
+    assert moved.p[2] == pytest.approx(1.0)
+    assert alignment.mean_offset(paths).first().offset == pytest.approx([1, 0, 4, 0, 1, -2, 0, 0, 1])
+    mesh = {(r.i, r.j): (r.x, r.y) for r in alignment.target_mesh(paths.where("frame = 1"), 100, 60, 2).collect()}
+    assert len(mesh) == 9 and mesh[1, 2] == pytest.approx((105, 29))
+
+
+def test_control_points(spark):
+    paths = _paths(spark, 2)
+    rows = [(f, k, 10.0 + k, 20.0, 10.0 + k + (0.5 if k < 25 else 90.0), 20.0) for f in (1, 2) for k in range(30 if f == 1 else 5)]
+    pts = spark.createDataFrame(rows, "frame int, k int, xa double, ya double, xb double, yb double")
+    eye = [1, 0, 0, 0, 1, 0, 0, 0, 1]
+    aligned = alignment.aligned_points(pts, paths, paths, eye, 200, 60, 2)
+    assert aligned.where("k = 0").first().d == pytest.approx(0.5)
+    kept = alignment.reject_points(aligned)
+    assert kept.count() == 25 and kept.select("frame").distinct().count() == 1
+    r = alignment.alignment_summary(kept).first()
+    assert r.n_points == 25 and r.error == pytest.approx(0.5)
+    st = {(x.frame, x.k): (x.ax, x.bx) for x in alignment.stitched_points(pts, kept, paths, paths, eye, eye, 200, 60, 2, 500, 1, 1).collect()}
+    assert st[1, 0] == pytest.approx((514, 514.5)) and st[1, 29] == (-1, -1) and len(st) == 30
+    assert alignment.points_per_cell(pts, "xa", "ya", 200, 60, 2).agg(F.sum("n")).first()[0] == 35
+    mask = spark.createDataFrame([(1, 20, x, 1.0) for x in range(10, 20)], "frame int, y int, x int, m double")
+    assert alignment.refine_points(pts, mask, mask.withColumn("x", F.col("x") + 1)).count() == 10
+    assert alignment.overlap_score(pts.where("k < 5"), mask).first().score == pytest.approx(0.5)
+
+
+def test_label_affinity_and_ranks(spark):
+    points = spark.createDataFrame([(0, 1, k) for k in range(3)], "window int, frame int, k int")
+    masks = spark.createDataFrame([(0, 1, k, s, 1, 0.5) for k in range(3) for s in "ab"], "window int, frame int, k int, side string, label int, m double")
+    assert tracks.label_affinity(points, masks, 40, 2.0).first().w == pytest.approx(math.exp(-2 * 0.75 / 40))
+    rows = spark.createDataFrame([(0, 1, 2, t, f, float(f * (t + 1)), 0.0) for t in range(3) for f in range(5)], "window int, u int, v int, track_id long, frame int, x double, y double")
+    assert coding.edge_ranks(rows, 0.1).first().w == pytest.approx(math.exp(-0.3) / 4)
+
+
+def test_small_helpers(spark):
+    flipped = spark.createDataFrame([([float(i) for i in range(58)],)], "h array<double>").select(alignment.flip_patterns(alignment.flip_patterns(F.col("h"))).alias("h")).first().h
+    assert flipped == [float(i) for i in range(58)]
+    assert alignment.override({"a": {"b": 1, "c": 2}}, {"A": {"b": 3}, "z": 1}, skip=True, ignore_case=True) == {"a": {"b": 3, "c": 2}}
+    with pytest.raises(KeyError):
+        alignment.override({}, {"x": 1}, strict=True)
+    assert geometry.derivative(lambda v: [v[0] * v[1]], [2.0, 3.0]) == pytest.approx(np.array([[3.0, 2.0]]))

@@ -93,7 +93,7 @@ def smooth_rows(pixels: DataFrame, along: str, across: str, value: str, weights:
     return sums.withColumnRenamed("__at", along)
 
 
-def seam_fold(df: DataFrame, group: list[str], order: str, matrix: str, out: str = "path") -> DataFrame:
+def path_product(df: DataFrame, group: list[str], order: str, matrix: str, out: str = "path") -> DataFrame:
     """Running product of 3 x 3 matrices (``array<double>`` of 9, row-major) along an order:
     path_f = H_f path_(f-1), divided by its last element; the first path is the identity.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import cluster as C
 from trackloom.operators import distance as D
 from trackloom.operators import encode as E
+from trackloom.operators import forest as K
 from trackloom.plans.tables import VECTORS_SQL, table, vectors
 
 METRICS = ["l2", "l1", "l0", "linf", "chi2", "hell", "js", "kl2", "kl1", "kchi2", "khell", "kjs"]
@@ -44,6 +45,12 @@ def nearest_neighbours(spark, sf_dir):
     return D.nearest_neighbours(_queries(rows), rows, 7).select("q", "rank", "id", F.round("d2", 5).alias("d2"))
 
 
+def approximate_neighbours(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select("id", "v")
+    forest = K.build(rows)
+    return K.query(_queries(rows), K.index(rows, forest), forest, 7, 24)
+
+
 def nearest_centre(spark, sf_dir):
     return D.push_centres(vectors(spark, sf_dir).select("id", "v"), _centres(spark, sf_dir)).select("id", "centre", F.round("d", 5).alias("d"))
 
@@ -118,7 +125,7 @@ def bottleneck(spark, sf_dir):
 
 
 QUERIES = {
-    "ratio_match": ratio_match, "pair_distances": pair_distances, "nearest_neighbours": nearest_neighbours, "nearest_centre": nearest_centre, "centre_tree": centre_tree,
+    "ratio_match": ratio_match, "pair_distances": pair_distances, "nearest_neighbours": nearest_neighbours, "approximate_neighbours": approximate_neighbours, "nearest_centre": nearest_centre, "centre_tree": centre_tree,
     "vlad": vlad, "fisher": fisher, "kernel_map": kernel_map, "kmeans_energy": kmeans_energy, "kmeans_step": kmeans_step, "kmeans": kmeans, "gmm": gmm,
     "mutual_information": mutual_information, "bottleneck": bottleneck,
 }
