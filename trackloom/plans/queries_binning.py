@@ -183,6 +183,10 @@ ORACLE_SQL = {
     "local_maxima": f"""
         WITH {GRID_SQL} SELECT a.y, a.x, a.v FROM g a JOIN g b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND NOT (a.y = b.y AND a.x = b.x)
         WHERE a.v >= 1000 GROUP BY ALL HAVING count(*) = 8 AND a.v > max(b.v)""",
+    "image_smooth": f"""
+        WITH {GRID_SQL}, t(o, w) AS (VALUES (-1, .25), (0, .5), (1, .25)),
+        h AS (SELECT a.y, a.x, sum(w::DOUBLE * b.v) AS v FROM g a CROSS JOIN t JOIN g b ON b.y = a.y AND b.x = greatest(1, least(31, a.x + o)) GROUP BY 1, 2)
+        SELECT a.y, a.x, round(sum(w::DOUBLE * b.v), 4) AS v FROM h a CROSS JOIN t JOIN h b ON b.x = a.x AND b.y = greatest(0, least(23, a.y + o)) GROUP BY 1, 2""",
     "image_down": f"WITH {GRID_SQL} SELECT floor(y / 2)::BIGINT AS y, floor((x - 1) / 2)::BIGINT AS x, round(avg(v), 4) AS v FROM g GROUP BY 1, 2",
     "segment_means": "SELECT event_id, round(least(1.0, sum(value / 500) OVER w / (count(*) OVER w + 2.220446049250313e-16)), 8) AS v FROM events WINDOW w AS (PARTITION BY event_type)",
     "image_rescale": "SELECT event_id, round((value - lo) / (hi - lo), 8) AS value FROM events, (SELECT min(value) lo, max(value) hi FROM events)",

@@ -175,6 +175,16 @@ ORACLE_SQL = {
         s AS (SELECT k, dim, mu, s2, pr, (SELECT count(*) FROM e) AS n, sum(q) q0, sum(q * x) q1, sum(q * x * x) q2 FROM d GROUP BY ALL)
         SELECT k, 1 AS moment, dim::INT AS dim, round((q1 - q0 * mu) / sqrt(s2) / (n * sqrt(pr)), 6) AS val FROM s
         UNION ALL SELECT k, 2, dim::INT, round(((q2 - 2 * mu * q1 + q0 * mu * mu) / s2 - q0) / (n * sqrt(2 * pr)), 6) FROM s""",
+    "centre_tree": f"""
+        WITH {_CENTRES}, u AS (SELECT label % 2 + 1 AS node, i, round(avg(x), 6) AS x FROM mean GROUP BY 1, 2), top AS (SELECT node, list(x ORDER BY i) AS c FROM u GROUP BY 1),
+        a AS (SELECT e.id, e.v, node, list_sum(list_transform(list_zip(e.v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM e, top),
+        l AS (SELECT id, v, node AS level1 FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, node) = 1),
+        b AS (SELECT id, level1, centre + 3 AS node, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM l JOIN c ON centre % 2 + 1 = level1)
+        SELECT id, level1, node AS level2 FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, node) = 1""",
+    "kernel_map": f"""
+        WITH {VECTORS_SQL}, p AS (SELECT id, v[1] AS x, 2 * pi() / (5.86::DOUBLE + 3.65::DOUBLE) AS s FROM e), k AS (SELECT id, x, s, 2 / (exp(pi() * s) + exp(-pi() * s)) AS q FROM p)
+        SELECT id, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(s * abs(x)) END, 6) AS m0, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(2 * s * q * abs(x)) * cos(s * ln(abs(x))) END, 6) AS m1,
+               round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(2 * s * q * abs(x)) * sin(s * ln(abs(x))) END, 6) AS m2 FROM k""",
     "kmeans_energy": f"WITH {_NEAR} SELECT centre, count(*) AS n, round(sum(d), 4) AS energy FROM near GROUP BY 1",
     "kmeans_step": f"WITH {_NEAR}, q AS (SELECT centre, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM near) SELECT centre, dim::INT AS dim, round(avg(x), 6) AS x FROM q GROUP BY 1, 2",
     "mutual_information": """
