@@ -44,7 +44,7 @@ from trackloom.llm.common import materialize, table
 #: Words hashed together in an anchor.
 GRAM = 7
 #: A shard serves about this many documents for each salt.
-PER_SALT = 512
+PER_SALT = 128
 #: Stands for a null id: larger than any other.
 NULL_ID = (1 << 63) - 1
 #: Words hashed at a time, and anchors in a block.
