@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -91,8 +90,8 @@ def kernel_map(x: Column, n: int = 1, kernel: str = "chi2", gamma: float = 1.0,
 
 def segment_means(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """``df`` with its value replaced by the mean over its segment, capped at 1."""
-    w = W.partitionBy(*by)
-    return df.withColumn(value, F.least(F.lit(1.0), F.sum(value).over(w) / (F.count(value).over(w) + 2.220446049250313e-16)))
+    means = df.groupBy(*by).agg((F.sum(value) / (F.count(value) + 2.220446049250313e-16)).alias("__m"))
+    return df.join(means, by).withColumn(value, F.least(F.lit(1.0), F.col("__m"))).select(*df.columns)
 
 
 def rescale(df: DataFrame, value: str) -> DataFrame:

@@ -12,15 +12,12 @@ from trackloom.plans.ordered import running_sums
 def subset(df: DataFrame, n: float, mode: str, pos: str = "pos", keys: list[str] | None = None, seed: int = 0) -> DataFrame:
     """``n`` rows (a share of them if 0 < n < 1) in their order of ``pos``:
     beginning, ending, uniform, largest or smallest by ``keys``, or random by a
-    seeded hash.  A sampling operator: n is its feature."""
+    seeded hash.  A sampling operator: n is its feature.  Rows are picked by rank,
+    so no task holds more than a slice even where n is large."""
     total = df.count()
     if n < 0 or (n != round(n) and n > 1):
         raise ValueError("n must be a natural number or a share between 0 and 1")
     n = min(total, int(n * total + 0.5) if n != round(n) else int(n))
-    order = {
-        "beginning": [F.col(pos)], "ending": [F.col(pos).desc()], "random": [F.xxhash64(F.lit(seed), pos), F.col(pos)],
-        "smallest": [*(F.col(k) for k in keys or []), F.col(pos)], "largest": [*(F.col(k).desc() for k in keys or []), F.col(pos).desc()],
-    }
     if mode == "uniform":
         if not n:
             return df.limit(0)
@@ -30,7 +27,13 @@ def subset(df: DataFrame, n: float, mode: str, pos: str = "pos", keys: list[str]
         near = lambda i: F.floor(F.lit(float(1 if n > 1 else total)) + i * F.lit(float(step)) + 0.5)
         i = F.round((F.col("rank") - (1 if n > 1 else total)) / step).cast("long") if step else F.lit(0)
         return ranked.where((near(i) == F.col("rank")) & (i >= 0) & (i < n)).drop("rank")
-    return df.orderBy(*order[mode]).limit(n)
+    order = {
+        "beginning": [F.col(pos)], "ending": [F.col(pos)], "random": [F.xxhash64(F.lit(seed), pos), F.col(pos)],
+        "smallest": [*(F.col(k) for k in keys or []), F.col(pos)], "largest": [*(F.col(k) for k in keys or []), F.col(pos)],
+    }[mode]
+    ranked = running_sums(df, order, {})
+    last = mode in ("ending", "largest")
+    return ranked.where(F.col("rank") > total - n if last else F.col("rank") <= n).drop("rank")
 
 
 def natural_key(text: Column) -> Column:
