@@ -43,20 +43,22 @@ _OTHERS = {k: bytes(b for b in range(256) if b not in v) for k, v in _KEEP.items
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def measures(text: bytes, words: list[bytes]) -> list[float]:
-    """Form of a text, as ratios."""
-    n, k = max(1, len(text)), max(1, len(words))
+def measures(text: bytes) -> list[float]:
+    """Form of a text, as ratios that do not depend on its length."""
+    tokens = text.lower().split()
+    n, k = max(1, len(text)), max(1, len(tokens))
     counts = {name: len(text.translate(None, drop)) for name, drop in _OTHERS.items()}
     lines = text.split(b"\n")
+    variety = lambda x: math.log(max(1, len(set(x)))) / math.log(len(x)) if len(x) > 1 else 1.0
     return [
         counts["upper"] / max(1, counts["upper"] + counts["lower"]), counts["digit"] / n, counts["mark"] / n, counts["symbol"] / n, counts["stop"] / n,
-        len(set(words)) / k, sum(map(len, words)) / k, len(set(lines)) / len(lines), math.log2(k),
-        1 - len(set(zip(words, words[1:], strict=False))) / k, text.count(b" ") / n,
+        variety(tokens), variety(lines), variety(list(zip(tokens, tokens[1:], strict=False))), sum(map(len, tokens)) / k, text.count(b" ") / n, math.log2(k),
     ]
 
 
 PREFIXES = (5, 6, 7, 8)
 _BITS = 20
+QUANTILES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
 
 
 def lexical(words: set[bytes], gate: set[bytes] | None = None) -> set[bytes]:
@@ -91,7 +93,7 @@ class DocumentModel:
         raw = (text or "").encode()
         words = _WORD.findall(raw.lower())
         q, t = self.bias
-        for x, edges, weights in zip(measures(raw, words), self.edges, self.bins, strict=True):
+        for x, edges, weights in zip(measures(raw), self.edges, self.bins, strict=True):
             w = weights[int(np.searchsorted(edges, x))]
             q, t = q + w[0], t + w[1]
         known = self.words
@@ -115,7 +117,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, n_bins: int = 8, z_least: float = 5.0) -> DocumentModel:
+def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, z_least: float = 5.0) -> DocumentModel:
     """``rows``: (text, quality 0/1, toxic 0/1).  Without two classes there is no evidence."""
     if not rows:
         return DocumentModel()
@@ -133,7 +135,7 @@ def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, n_
     form, buckets = [], np.zeros((1 << _BITS, 3))
     for r, y in zip(raw, targets, strict=True):
         words = _WORD.findall(r.lower())
-        form.append(measures(r, words))
+        form.append(measures(r))
         at = [zlib.crc32(w) & ((1 << _BITS) - 1) for w in lexical(set(words))]
         buckets[at] += (1, y[0], y[1])
     form = np.array(form)
@@ -153,7 +155,9 @@ def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, n_
         for k in range(2):
             for w in column[k].keys() & found:
                 has[k][d, column[k][w]] = 1
-    edges = [np.unique(np.quantile(form[:, j], np.linspace(0, 1, n_bins + 1)[1:-1])) for j in range(form.shape[1])]
+    # bins by the quantiles of good documents, fine towards the ends: what lies far out is told from what is only rare
+    good = form[targets[:, 0] > 0] if targets[:, 0].any() else form
+    edges = [np.unique(np.quantile(good[:, j], QUANTILES)) for j in range(form.shape[1])]
     onehot = np.concatenate([np.eye(len(e) + 1)[np.searchsorted(e, form[:, j])] for j, e in enumerate(edges)], axis=1)
     words: dict[bytes, list[float]] = {}
     weights, bias = np.zeros((onehot.shape[1], 2)), [0.0, 0.0]
@@ -164,7 +168,7 @@ def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, n_
         names = [vocabulary[i] for i in chosen[k]]
         x = np.concatenate([has[k], onehot, np.ones((n, 1))], axis=1)
         # words are strong evidence, form a weak one for toxicity
-        penalty = np.concatenate([np.full(len(names), 0.3), np.full(onehot.shape[1], 1.0 if k == 0 else 20.0), [1e-3]])
+        penalty = np.concatenate([np.full(len(names), 0.3), np.full(onehot.shape[1], 2.0 if k == 0 else 20.0), [1e-3]])
         w = _logistic(x, targets[:, k], penalty)
         for name, v in zip(names, w, strict=False):
             words.setdefault(name, [0.0, 0.0])[k] = float(v)
@@ -238,11 +242,11 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     return nested.select("host", "path", "post_q", "post_t"), means
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, broadcast_sites: int = 50_000, toxic_least: float = 0.15, passed: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, broadcast_sites: int = 50_000, quality_least: float = 0.3, toxic_least: float = 0.15, passed: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``passed``) with a struct ``__judged``: document log-odds, site posteriors, final
-    probabilities ``p_quality`` and ``p_toxic``, and ``keep``: quality at least one
-    half and toxicity below ``toxic_least`` (a toxic document that stays costs
-    more than a clean one that goes).
+    probabilities ``p_quality`` and ``p_toxic``, and ``keep``: quality at least
+    ``quality_least`` (on held-out labels it costs hardly any good document) and
+    toxicity below ``toxic_least`` (which costs as few).
 
     Defined cases: a null text is judged as an empty one; null sources form
     one site; without labels (or with one class) documents carry no evidence
@@ -264,7 +268,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     none = not model.edges
     judged = F.struct(
         F.col("__s.quality").alias("logit_quality"), F.col("__s.toxic").alias("logit_toxic"), F.col("__site.post_q").alias("site_quality"), F.col("__site.post_t").alias("site_toxic"),
-        p_q.alias("p_quality"), p_t.alias("p_toxic"), (F.lit(True) if none else (p_q >= 0.5) & (p_t < toxic_least)).alias("keep"),
+        p_q.alias("p_quality"), p_t.alias("p_toxic"), (F.lit(True) if none else (p_q >= quality_least) & (p_t < toxic_least)).alias("keep"),
     )
     return joined.select("__row.*", judged.alias("__judged"))
 
