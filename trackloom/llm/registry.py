@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from trackloom.llm.bpe import op8_bpe
-from trackloom.llm.decontaminate import op2_decontamination
+from trackloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from trackloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
-from trackloom.llm.quality import op1_quality
-from trackloom.llm.simhash import op10_simhash
 from trackloom.llm.language_id import op4_language_id
 from trackloom.llm.pii import op9_pii
+from trackloom.llm.quality import op1_quality
 from trackloom.llm.sharding import op5_sharding
-from trackloom.llm.substring_dedup import op7_substring_dedup
+from trackloom.llm.simhash import op10_simhash
+from trackloom.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from trackloom.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL = {"op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}

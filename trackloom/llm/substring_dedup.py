@@ -539,3 +539,16 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+r AS (SELECT doc_id, i FROM t QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+g AS (SELECT doc_id, list(j ORDER BY j) AS gone FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM r) GROUP BY 1),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d WHERE doc_id IN (SELECT doc_id FROM g)),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) FILTER (q.j IS NULL) AS kept FROM x LEFT JOIN (SELECT doc_id, unnest(gone) AS j FROM g) q ON q.doc_id = x.doc_id AND q.j = x.j GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
