@@ -447,3 +447,30 @@ def test_pipeline_near_stage_keeps_one(spark):
     assert P.exact(spark, docs.where("doc_id = 3").union(docs.where("doc_id = 3")), "").count() == 1
 
 
+
+
+@pytest.mark.parametrize("name", ["op2_decontamination", "op3_warc", "op6_exact_dedup", "op7_substring_dedup"])
+def test_sql_twins(spark, name):
+    import os
+
+    from comparing import differences
+
+    from trackloom.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data here")
+    assert differences(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf) == ""
+
+
+def test_every_query_returns_all_documents(spark):
+    import os
+
+    from trackloom.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data here")
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for name in ("op1_quality", "op4_language_id", "op5_sharding", "op8_bpe", "op9_pii", "op10_simhash"):
+        assert registry.QUERIES[name](spark, sf).select("doc_id").distinct().count() == n, name
