@@ -12,7 +12,7 @@ from trackloom.operators import geometry as H
 from trackloom.operators import images as I
 from trackloom.operators import svm as V
 from trackloom.operators import tracks as T
-from trackloom.plans.stages import shared_folder
+from trackloom.plans.stages import forget_at_exit, shared_folder
 from trackloom.plans.tables import GRID_SQL, day_grid, user_tracks, vectors
 from trackloom.streaming import tracks as R
 
@@ -84,6 +84,8 @@ def stream_windows(spark, sf_dir):
     counted = R.sliding_counts(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), "4 hours", "2 hours", "1 hour")
     query = counted.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     query.awaitTermination()
+    forget_at_exit(spark, out)
+    forget_at_exit(spark, f"{out}-state")
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 

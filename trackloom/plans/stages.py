@@ -24,12 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete ``path`` (which exists) when it ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, outlives executors, ends with the driver."""
     path = f"{shared_folder(df.sparkSession)}/trackloom-stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
