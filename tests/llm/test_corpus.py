@@ -474,3 +474,43 @@ def test_every_query_returns_all_documents(spark):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op1_quality", "op4_language_id", "op5_sharding", "op8_bpe", "op9_pii", "op10_simhash"):
         assert registry.QUERIES[name](spark, sf).select("doc_id").distinct().count() == n, name
+
+
+def borderline_family(n, pairs, seed):
+    """Texts of one template at similarity just below 0.8, and pairs among them above it."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(300)]
+
+    def edit(words, k):
+        words = list(words)
+        for at in rnd.sample(range(0, 300, 6), k):
+            words[at] = f"n{rnd.randrange(10**9)}"
+        return words
+
+    texts = [edit(base, 7) for _ in range(n)]
+    texts += [edit(t, 5 + i % 3) for i, t in enumerate(texts[:pairs])]
+    return [" ".join(t) for t in texts]
+
+
+def confirmed_components(texts):
+    """Components of all pairs that share an index entry, pass the count filter and have Jaccard 0.8."""
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = np.array([simhash.wide_fingerprint(s) for s in sets])
+    raw = fps.view(np.uint8).reshape(len(texts), -1)
+    links = []
+    for i in range(len(texts)):
+        same, bits = raw[i] == raw[:i], np.bitwise_count(fps[i] ^ fps[:i]).sum(axis=1)
+        entry = np.any([same[:, a] & same[:, b] for a, b in simhash.PAIRS], axis=0)
+        for j in np.flatnonzero(entry & (same.sum(axis=1) >= 4) & (bits <= 56)):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links.append((i, int(j)))
+    return components(len(texts), links)
+
+
+def test_similar_groups_verify_every_candidate(spark):
+    texts = borderline_family(300, 60, 4)
+    want = confirmed_components(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(want)) < len(texts) - 20
+    assert len({(got[i], want[i]) for i in range(len(texts))}) == len(set(want)) == len(set(got.values()))

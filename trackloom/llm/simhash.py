@@ -266,6 +266,10 @@ BLOCKS = 4  # of 64 bits
 BYTES = 8 * BLOCKS
 #: Entries of the wide index: pairs of byte positions, 16 side by side and 32 five apart.
 PAIRS = [(i, i + 1) for i in range(0, BYTES, 2)] + [(i, (i + 5) % BYTES) for i in range(BYTES)]
+#: Lists up to this length are compared many at once.
+SHORT = 16
+#: Partners that a row of a list has in the second round, and how the number grows.
+PARTNERS, WIDER = 16, 8
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -297,105 +301,184 @@ def _wide(size: int):
 
 
 def _near(fps: np.ndarray, one: np.ndarray, most: int, shared: int) -> np.ndarray:
-    """Bits that differ between ``one`` and each of ``fps``; large where the count filter says no."""
+    """Bits that differ between ``one`` and each of ``fps`` (or row by row); large where the count filter says no."""
     x = fps ^ one
     bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    tally = (x.view(np.uint8) == 0).sum(axis=1)
-    return np.where((tally >= shared) & (bits <= most), bits, 1 << 20)
+    close = np.flatnonzero(bits <= most)
+    tally = (x[close].view(np.uint8) == 0).sum(axis=1)
+    out = np.full(len(bits), 1 << 20)
+    out[close[tally >= shared]] = bits[close[tally >= shared]]
+    return out
 
 
-def nearest_links(fps: np.ndarray, most: int, shared: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest (Prim) of the pairs that pass the count filter and differ in ``most`` bits."""
+def nearest_links(fps: np.ndarray, most: int, shared: int) -> tuple[np.ndarray, bool]:
+    """A minimum spanning forest (Prim) of the pairs that pass the count filter
+    and differ in ``most`` bits, and whether it leaves any such pair out."""
     n = len(fps)
-    out = []
+    out, passed = [], 0
     best, parent, left = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool)
     at = 0
     for _ in range(n - 1):
         left[at] = False
         best[at] = 1 << 21
         d = _near(fps, fps[at], most, shared)
+        passed += int((left & (d < 1 << 20)).sum())
         closer = left & (d < best)
         best[closer], parent[closer] = d[closer], at
         at = int(np.where(left, best, 1 << 21).argmin())
         if best[at] < 1 << 20:
             out.append((int(parent[at]), at))
-    return out
-
-
-def _wide_links(most: int, shared: int, chunk: int = 1024, carry: int = 64):
-    """Lists longer than ``chunk`` are linked a chunk at a time, each with the last ``carry`` of the one before."""
+    return np.array(out, np.int64).reshape(-1, 2), passed > len(out)
+
+
+def partner_links(fps: np.ndarray, roots: np.ndarray, limit: int, most: int, shared: int) -> tuple[np.ndarray, bool]:
+    """Every row's ``limit`` nearest partners of another root, and whether any has more of them."""
+    n, out, more = len(fps), [np.empty((0, 2), np.int64)], False
+    rows = max(1, (1 << 19) // n)
+    for at in range(0, n, rows):
+        part = fps[at : at + rows]
+        bits = sum(np.bitwise_count(part[:, None, w] ^ fps[None, :, w]).astype(np.int16) for w in range(BLOCKS))
+        i, j = np.nonzero((bits <= most) & (roots[at : at + rows, None] != roots[None, :]))
+        d = _near(part[i], fps[j], most, shared)
+        i, j, d = i[d < 1 << 20], j[d < 1 << 20], d[d < 1 << 20]
+        order = np.lexsort((j, d, i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < limit
+        more |= not keep.all()
+        out.append(np.column_stack((i[keep] + at, j[keep])))
+    return np.concatenate(out), more
+
+
+def _wide_links(limit: int | None, most: int, shared: int):
+    """Candidates ``u, v`` of every list: a spanning forest if ``limit`` is None, else each
+    row's nearest partners of another root.  Where that leaves any out, a row has the ``key``."""
+
+    def links(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, key: int) -> tuple:
+        ij, more = nearest_links(fps, most, shared) if limit is None else partner_links(fps, roots, limit, most, shared)
+        return ids[ij[:, 0]], ids[ij[:, 1]], [key] if more else []
+
+    def short(n: int, at: np.ndarray, key: np.ndarray, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray) -> tuple:
+        """Lists of one length, all at once."""
+        found = []
+        for i, j in combinations(range(n), 2):
+            d = _near(fps[at + i], fps[at + j], most, shared)
+            hit = np.flatnonzero((d < 1 << 20) & (roots[at + i] != roots[at + j]))
+            found.append(np.column_stack((hit, d[hit], at[hit] + i, at[hit] + j)))
+        found = np.concatenate(found)
+        if limit is not None or n == 2:
+            return ids[found[:, 2]], ids[found[:, 3]], []
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        kept = np.array(_thin(found[:, 2:].tolist(), len(ids)), np.int64).reshape(-1, 2)
+        of = lambda rows: np.searchsorted(at, rows, "right") - 1
+        more = np.bincount(found[:, 0], minlength=len(at)) > np.bincount(of(kept[:, 0]), minlength=len(at))
+        return ids[kept[:, 0]], ids[kept[:, 1]], key[at[more]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        held_key, held_n = None, 0
+        held: list[tuple] = []  # of the list not known to be over
+        held_key = None
 
-        def close(keep: bool):
-            ids, fps = (np.concatenate([h[i] for h in held]) for i in range(2))
-            out = []
-            if len(ids) > 1:
-                links = nearest_links(fps, most, shared)
-                if links:
-                    ij = np.array(links)
-                    out.append((ids[ij[:, 0]], ids[ij[:, 1]]))
-            held[:] = [(ids[-carry:], fps[-carry:])] if keep else []
-            return out
+        def close() -> list[tuple]:
+            ids, roots, fps = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return [links(ids, roots, fps, held_key)] if len(ids) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BLOCKS)
+            key, ids, roots = (batch.column(i).to_numpy() for i in range(3))
+            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BLOCKS)
             starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
             ends = np.r_[starts[1:], len(key)]
             out = []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if key[a] != held_key:
-                    if held_n > 1:
-                        out += close(False)
-                    held.clear()
-                    held_key, held_n = key[a], 0
-                for c in range(a, b, chunk):
-                    held.append((ids[c : min(b, c + chunk)], fps[c : min(b, c + chunk)]))
-                    held_n += min(b, c + chunk) - c
-                    if held_n >= chunk:
-                        out += close(True)
-                        held_n = len(held[0][0])
+            if held and key[0] == held_key:
+                held.append((ids[: ends[0]], roots[: ends[0]], fps[: ends[0]]))
+                starts, ends = starts[1:], ends[1:]
+            if len(starts):
+                if held:
+                    out += close()
+                a = starts[-1]
+                held, held_key = [(ids[a:], roots[a:], fps[a:])], key[-1]
+                starts, ends = starts[:-1], ends[:-1]
+            sizes = ends - starts
+            out += [short(int(n), starts[sizes == n], key, ids, roots, fps) for n in np.unique(sizes[(sizes > 1) & (sizes <= SHORT)])]
+            out += [links(ids[a:b], roots[a:b], fps[a:b], key[a]) for a, b in zip(starts[sizes > SHORT], ends[sizes > SHORT], strict=True)]
             if out:
                 yield _edges(out)
-        if held_n > 1 and (out := close(False)):
+        if held and (out := close()):
             yield _edges(out)
 
     return run
 
 
-def _edges(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.record_batch({"u": pa.array(np.concatenate([a for a, _ in out])), "v": pa.array(np.concatenate([b for _, b in out]))})
+def _edges(out: list[tuple]) -> pa.RecordBatch:
+    u, v, more = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(3))
+    pad = lambda x, before, after: pa.array(np.r_[np.zeros(before, np.int64), x, np.zeros(after, np.int64)], mask=np.r_[np.ones(before, bool), np.zeros(len(x), bool), np.ones(after, bool)])
+    return pa.record_batch({"u": pad(u, 0, len(more)), "v": pad(v, 0, len(more)), "key": pad(more, len(u), 0).cast(pa.int32())})
 
 
 def _jaccard(size: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: bytes | None) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= 64:
+                    del sets[next(iter(sets))]
+                sets[node] = np.unique(shingle_hashes(text or b"", size))
+            return sets[node]
+
         for batch in batches:
-            keep, last, last_set = [], None, None
-            for u, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if last is None or u != last:
-                    last, last_set = u, np.unique(shingle_hashes(a or b"", size))
-                other = np.unique(shingle_hashes(b or b"", size))
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                union = len(last_set) + len(other) - both
+            keep = []
+            for u, v, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                one, other = of(u, a), of(v, b)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                union = len(one) + len(other) - both
                 keep.append(union == 0 or both >= similarity * union)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _verified_roots(distinct: DataFrame, rows: DataFrame, size: int, similarity: float, most: int, shared: int) -> DataFrame:
+    """``node, root`` over all candidates of the index that the texts confirm.
+
+    The first round verifies a spanning forest of each list.  A forest of
+    candidates need not span what is confirmed, so lists with candidates left
+    come again: every row with its nearest partners outside its confirmed
+    component, ever more of them, until no list leaves any out.
+    """
+    roots = tried = still = limit = None
+    while True:
+        at = distinct.withColumn("root", F.col("node")) if roots is None else distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        postings = at.select(F.explode("keys").alias("key"), "node", "root", "fp")
+        if still is not None:
+            postings = postings.join(still, "key", "left_semi")
+        found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(limit, most, shared), "u long, v long, key int")
+        found = materialize(found, "simhash-wide-found")
+        edges = found.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        edges = materialize(edges if tried is None else edges.join(tried, ["u", "v"], "left_anti"), "simhash-wide-links")
+        tried = edges if tried is None else tried.union(edges)
+        ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+        texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]), "simhash-wide-texts")
+        paired = edges.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+        linked = materialize(paired.select("u", "v", "a", "b").mapInArrow(_jaccard(size, similarity), "u long, v long"), "simhash-wide-linked")
+        if roots is None:
+            roots = component_roots(linked, "simhash-wide-components")
+        elif not linked.isEmpty():
+            roots = component_roots(linked.union(roots.select(F.col("root").alias("u"), F.col("node").alias("v"))), "simhash-wide-components")
+        still = materialize(found.where("key IS NOT NULL").select("key").distinct(), "simhash-wide-still")
+        if still.isEmpty():
+            return roots
+        limit = PARTNERS if limit is None else limit * WIDER
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 56, shared: int = 4) -> DataFrame:
     """``doc_id, component_id`` for every row with an id: classes of documents
     joined by links of Jaccard ``similarity`` or more between their sets of
     ``size``-word shingles.
 
-    Candidates share an entry of the wide positional-byte index; within a list
-    a minimum spanning forest by differing bits is kept (pairs below the count
-    filter take no part) and each of its links is verified on the whole texts.
+    Candidates share an entry of the wide positional-byte index and pass the
+    count filter; all of them are verified on the whole texts, but for those
+    within a component that others confirm.
     At similarity 0.8 a byte is shared with probability 0.27, so that two
     documents share one of the 48 two-byte entries with probability 0.97, at
     0.9 of more than 0.999.
@@ -407,13 +490,6 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     prints = materialize(rows.mapInArrow(_wide(size), "id long, fp binary, keys array<int>"), "simhash-wide")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "simhash-wide-distinct")
-    postings = distinct.select(F.explode("keys").alias("key"), "node", "fp")
-    edges = postings.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_wide_links(most_bits, shared), "u long, v long")
-    edges = materialize(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-wide-links")
-    ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]), "simhash-wide-texts")
-    paired = edges.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    linked = paired.select("u", "v", "a", "b").mapInArrow(_jaccard(size, similarity), "u long, v long")
-    roots = component_roots(linked, "simhash-wide-components")
+    roots = _verified_roots(distinct, rows, size, similarity, most_bits, shared)
     named = distinct.join(roots.select(F.col("node"), "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select(F.col("id").alias("doc_id"), "component_id")
