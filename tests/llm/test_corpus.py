@@ -514,3 +514,20 @@ def test_similar_groups_verify_every_candidate(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(set(want)) < len(texts) - 20
     assert len({(got[i], want[i]) for i in range(len(texts))}) == len(set(want)) == len(set(got.values()))
+
+
+def test_similar_groups_compare_whole_lists(spark, monkeypatch):
+    """Lists of many blocks join what whole lists join."""
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    texts = borderline_family(200, 60, 5)
+    want = confirmed_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert len({(got[i], want[i]) for i in range(len(texts))}) == len(set(want)) == len(set(got.values()))
+    long = spark.createDataFrame([(7, 3)], "key int, blocks int")
+    postings = spark.createDataFrame([(k, i, i, bytes([i])) for k in (7, 8) for i in range(40)], "key int, node long, root long, fp binary")
+    parts = collections.defaultdict(set)
+    for r in simhash._dealt(postings, long).collect():
+        parts[r.key, r.part].add(r.node)
+    assert len(parts) == 4 and parts[8, 0] == set(range(40))
+    assert all(any({i, j} <= p for (k, _), p in parts.items() if k == 7) for i in range(40) for j in range(i))

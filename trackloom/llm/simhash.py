@@ -268,6 +268,8 @@ BYTES = 8 * BLOCKS
 PAIRS = [(i, i + 1) for i in range(0, BYTES, 2)] + [(i, (i + 5) % BYTES) for i in range(BYTES)]
 #: Lists up to this length are compared many at once.
 SHORT = 16
+#: Longer lists than this are dealt out by pairs of blocks of about this length.
+BLOCK = 2048
 #: Partners that a row of a list has in the second round, and how the number grows.
 PARTNERS, WIDER = 16, 8
 
@@ -351,7 +353,8 @@ def partner_links(fps: np.ndarray, roots: np.ndarray, limit: int, most: int, sha
 
 def _wide_links(limit: int | None, most: int, shared: int):
     """Candidates ``u, v`` of every list: a spanning forest if ``limit`` is None, else each
-    row's nearest partners of another root.  Where that leaves any out, a row has the ``key``."""
+    row's nearest partners of another root.  Where that leaves any out, a row has the ``key``.
+    Rows come sorted by (key, part), a list is what shares both."""
 
     def links(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, key: int) -> tuple:
         ij, more = nearest_links(fps, most, shared) if limit is None else partner_links(fps, roots, limit, most, shared)
@@ -384,8 +387,9 @@ def _wide_links(limit: int | None, most: int, shared: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, roots = (batch.column(i).to_numpy() for i in range(3))
-            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BLOCKS)
+            key, part, ids, roots = (batch.column(i).to_numpy() for i in range(4))
+            key = key.astype(np.int64) << 32 | part
+            fps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BLOCKS)
             starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
             ends = np.r_[starts[1:], len(key)]
             out = []
@@ -412,7 +416,7 @@ def _wide_links(limit: int | None, most: int, shared: int):
 def _edges(out: list[tuple]) -> pa.RecordBatch:
     u, v, more = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(3))
     pad = lambda x, before, after: pa.array(np.r_[np.zeros(before, np.int64), x, np.zeros(after, np.int64)], mask=np.r_[np.ones(before, bool), np.zeros(len(x), bool), np.ones(after, bool)])
-    return pa.record_batch({"u": pad(u, 0, len(more)), "v": pad(v, 0, len(more)), "key": pad(more, len(u), 0).cast(pa.int32())})
+    return pa.record_batch({"u": pad(u, 0, len(more)), "v": pad(v, 0, len(more)), "key": pad(more >> 32, len(u), 0).cast(pa.int32())})
 
 
 def _jaccard(size: int, similarity: float):
@@ -438,21 +442,33 @@ def _jaccard(size: int, similarity: float):
     return run
 
 
+def _dealt(postings: DataFrame, long: DataFrame) -> DataFrame:
+    """``key, part, node, root, fp``: a row of a long list goes to every pair of blocks that has
+    its own, so that each pair of rows of the list meets in one part at least."""
+    n = F.col("blocks")
+    own = F.pmod(F.xxhash64("fp"), n).cast("int")
+    parts = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda b: b != own), lambda b: F.least(own, b) * n + F.greatest(own, b) + 1)
+    return postings.join(long, "key", "left").select("key", F.explode(F.coalesce(parts, F.array(F.lit(0)))).alias("part"), "node", "root", "fp")
+
+
 def _verified_roots(distinct: DataFrame, rows: DataFrame, size: int, similarity: float, most: int, shared: int) -> DataFrame:
     """``node, root`` over all candidates of the index that the texts confirm.
 
     The first round verifies a spanning forest of each list.  A forest of
     candidates need not span what is confirmed, so lists with candidates left
     come again: every row with its nearest partners outside its confirmed
-    component, ever more of them, until no list leaves any out.
+    component, ever more of them, until no list leaves any out.  Every pair of
+    a list is compared, however long the list is.
     """
     roots = tried = still = limit = None
+    long = distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    long = materialize(long, "simhash-wide-long")
     while True:
         at = distinct.withColumn("root", F.col("node")) if roots is None else distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         postings = at.select(F.explode("keys").alias("key"), "node", "root", "fp")
         if still is not None:
             postings = postings.join(still, "key", "left_semi")
-        found = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(limit, most, shared), "u long, v long, key int")
+        found = _dealt(postings, long).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_wide_links(limit, most, shared), "u long, v long, key int")
         found = materialize(found, "simhash-wide-found")
         edges = found.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         edges = materialize(edges if tried is None else edges.join(tried, ["u", "v"], "left_anti"), "simhash-wide-links")
