@@ -38,18 +38,30 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.dropDuplicates(["__d", "__h"]).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key ``__k`` of id and text, so that a verdict holds for a row: ids may be null or repeat."""
+    return docs.withColumn("__k", F.xxhash64(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id; rows without an id stay."""
-    dropped = similar_groups(docs).where("doc_id != component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each group of near copies stays, that with the smallest id; rows without an id come last."""
+    keyed = _keyed(docs)
+    groups = materialize(similar_groups(keyed, id_col="__k").select(F.col("doc_id").alias("__k"), "component_id").distinct(), "near-groups")
+    joined = groups.where("__k != component_id").select("component_id").distinct().join(groups, "component_id")
+    joined = joined.join(keyed.select("__k", "doc_id").distinct(), "__k").select("__k", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "__k").alias("at"))
+    joined = materialize(joined, "near-rows")
+    best = joined.groupBy("component_id").agg(F.min("at").alias("best"))
+    dropped = joined.join(best, "component_id").where(F.col("at.__k") != F.col("best.__k")).select("__k")
+    return keyed.join(dropped, "__k", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Rows with a benchmark passage go, with or without an id; other rows of the same id stay."""
+    keyed = _keyed(docs)
+    found = find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__k")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
-    bad = found.where((hit > MOST_HIT_WORDS) & (hit > MOST_HIT_SHARE * F.col("n_words"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    bad = found.where((hit > MOST_HIT_WORDS) & (hit > MOST_HIT_SHARE * F.col("n_words"))).select(F.col("doc_id").alias("__k"))
+    return keyed.join(bad, "__k", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

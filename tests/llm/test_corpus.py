@@ -531,3 +531,21 @@ def test_similar_groups_compare_whole_lists(spark, monkeypatch):
         parts[r.key, r.part].add(r.node)
     assert len(parts) == 4 and parts[8, 0] == set(range(40))
     assert all(any({i, j} <= p for (k, _), p in parts.items() if k == 7) for i in range(40) for j in range(i))
+
+
+def test_pipeline_verdicts_hold_for_rows(spark, tmp_path):
+    """Null ids are judged like others; rows that repeat an id are judged one by one."""
+    import corpus_pipeline as P
+
+    rnd = random.Random(3)
+    say = lambda n: " ".join(f"word{rnd.randrange(3000)}" for _ in range(n))
+    passage, base = say(40), say(200)
+    copy = base.split()
+    copy[7] = "other"
+    rows = [(1, say(90)), (1, f"{say(90)} {passage}"), (None, say(90)), (None, f"{say(90)} {passage}"), (None, " ".join(copy)), (5, base), (5, say(120)), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    assert left(P.decontaminate(spark, docs, str(tmp_path))) == collections.Counter(r for i, r in enumerate(rows) if i not in (1, 3))
+    # the two passages' rows are no near copies: half of their words differ
+    assert left(P.near(spark, docs, str(tmp_path))) == collections.Counter(r for i, r in enumerate(rows) if i != 4)
