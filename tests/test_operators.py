@@ -492,3 +492,14 @@ def test_small_helpers(spark):
     with pytest.raises(KeyError):
         alignment.override({}, {"x": 1}, strict=True)
     assert geometry.derivative(lambda v: [v[0] * v[1]], [2.0, 3.0]) == pytest.approx(np.array([[3.0, 2.0]]))
+
+
+def test_bounded_forest_query_misses_none(spark):
+    """Few leaves of a table without clusters miss most neighbours; a bounded query goes on until none can be missed."""
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    trees = forest.build(data, trees=2, leaf=16)
+    indexed, asked = forest.index(data, trees), data.where("id % 100 = 0")
+    want = {(r.q, r.id) for r in distance.nearest_neighbours(asked, data, 7).collect()}
+    assert len(want & {(r.q, r.id) for r in forest.query(asked, indexed, trees, 7, 2).collect()}) < 0.9 * len(want)
+    assert {(r.q, r.id) for r in forest.query(asked, indexed, trees, 7, 2, bounded=True).collect()} == want

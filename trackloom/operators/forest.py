@@ -2,7 +2,8 @@
 
 The trees are fitted on a bounded sample (``FIT_ROWS`` rows of least hash); every
 row is indexed.  A query visits the leaves of least bound in each tree, by
-best bin first, and meets the rows of those leaves in an equi-join.
+best bin first, and meets the rows of those leaves in an equi-join.  A bounded
+query then visits every leaf that the k-th distance so far does not exclude.
 """
 
 from __future__ import annotations
@@ -76,6 +77,21 @@ class KdTree:
             out.append(at)
         return out
 
+    def leaves_within(self, v: np.ndarray, radius2: float) -> list[int]:
+        """All leaves whose box is within the squared distance of ``v``."""
+        stack, out = [(0.0, 0, {})], []
+        while stack:
+            bound, at, gaps = stack.pop()
+            while (d := self.dim[at]) >= 0:
+                gap = v[d] - self.cut[at]
+                near, far = (self.low[at], self.high[at]) if gap < 0 else (self.high[at], self.low[at])
+                beyond = bound - gaps.get(d, 0.0) + gap * gap
+                if beyond <= radius2:
+                    stack.append((beyond, far, gaps | {d: gap * gap}))
+                at = near
+            out.append(at)
+        return out
+
 
 def build(data: DataFrame, trees: int = 4, leaf: int = 32, seed: int = 0, median: bool = False) -> list[KdTree]:
     """Trees fitted on a sample of ``id, v``."""
@@ -108,10 +124,38 @@ def index(data: DataFrame, forest: list[KdTree]) -> DataFrame:
     return data.where("v IS NOT NULL").select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(_leaves(forest, None), _SCHEMA)
 
 
-def query(queries: DataFrame, indexed: DataFrame, forest: list[KdTree], k: int, leaves: int = 16) -> DataFrame:
-    """``q, rank, id, d2``: the k nearest of the rows met in ``leaves`` leaves of each tree."""
-    asked = queries.where("v IS NOT NULL").select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(_leaves(forest, leaves), _SCHEMA)
+def _within(tree: KdTree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaf = [], []
+            for i, (v, r) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = tree.leaves_within(np.array(v, float), np.inf if r is None else r * (1 + 1e-9) + 1e-12)
+                rows += [i] * len(found)
+                leaf += found
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch({"id": batch.column(0).take(at), "v": batch.column(1).take(at), "tree": pa.array([0] * len(rows), pa.int32()), "leaf": pa.array(leaf, pa.int32())})
+
+    return run
+
+
+def _nearest(asked: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
     asked = asked.select(F.col("id").alias("q"), F.col("v").alias("qv"), "tree", "leaf")
     met = asked.join(indexed, ["tree", "leaf"]).select("q", "id", pair_value("l2", F.col("qv"), F.col("v")).alias("d2"))
     once = met.groupBy("q", "id").agg(F.min("d2").alias("d2"))
     return once.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d2", "id"))).where(F.col("rank") <= k).select("q", "rank", "id", "d2")
+
+
+def query(queries: DataFrame, indexed: DataFrame, forest: list[KdTree], k: int, leaves: int = 16, bounded: bool = False) -> DataFrame:
+    """``q, rank, id, d2``: the k nearest of the rows met in ``leaves`` leaves of each tree.
+
+    ``bounded`` goes on from there: the k-th distance met bounds the true one,
+    and the first tree's leaves within it hold all of the k nearest, however
+    large the table is.
+    """
+    wanted = queries.where("v IS NOT NULL").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
+    first = _nearest(wanted.mapInArrow(_leaves(forest, leaves), _SCHEMA), indexed, k)
+    if not bounded:
+        return first
+    radius = first.where(F.col("rank") == k).select(F.col("q").alias("id"), F.col("d2").alias("radius2"))
+    asked = wanted.join(radius, "id", "left").select("id", "v", "radius2").mapInArrow(_within(forest[0]), _SCHEMA)
+    return _nearest(asked, indexed.where("tree = 0"), k)

@@ -48,7 +48,7 @@ def nearest_neighbours(spark, sf_dir):
 def approximate_neighbours(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("id", "v")
     forest = K.build(rows)
-    return K.query(_queries(rows), K.index(rows, forest), forest, 7, 24)
+    return K.query(_queries(rows), K.index(rows, forest), forest, 7, 24, bounded=True)
 
 
 def nearest_centre(spark, sf_dir):
