@@ -503,3 +503,18 @@ def test_bounded_forest_query_misses_none(spark):
     want = {(r.q, r.id) for r in distance.nearest_neighbours(asked, data, 7).collect()}
     assert len(want & {(r.q, r.id) for r in forest.query(asked, indexed, trees, 7, 2).collect()}) < 0.9 * len(want)
     assert {(r.q, r.id) for r in forest.query(asked, indexed, trees, 7, 2, bounded=True).collect()} == want
+
+
+def test_queries_take_whole_vectors(spark, tmp_path):
+    """gmm and coding_bits depend on every component of the embeddings."""
+    from trackloom.plans import queries_images, queries_matching
+
+    x = np.random.default_rng(2).normal(size=(120, 10))
+    results = []
+    for k, scale in enumerate((1.0, 3.0)):
+        x[:, 9] *= scale
+        spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
+        mixture = queries_matching.gmm(spark, f"{tmp_path}/{k}").collect()
+        assert all(len(r["mean"]) == len(r.variance) == 10 for r in mixture)
+        results.append({r.label: r.bits for r in queries_images.coding_bits(spark, f"{tmp_path}/{k}").collect()})
+    assert all(results[0][k] < results[1][k] for k in results[0])

@@ -73,7 +73,7 @@ def svm(spark, sf_dir):
 
 
 def coding_bits(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("label", F.slice("v", 1, 6).alias("v"))
+    rows = vectors(spark, sf_dir).select("label", "v")
     return L.grouped_lengths(rows, "label", "v", 0.5).select("label", "m", F.round("bits", 4).alias("bits"))
 
 

@@ -12,7 +12,7 @@ from trackloom.operators import forest as K
 from trackloom.plans.tables import VECTORS_SQL, table, vectors
 
 METRICS = ["l2", "l1", "l0", "linf", "chi2", "hell", "js", "kl2", "kl1", "kchi2", "khell", "kjs"]
-#: Fixed parameters of a two-part mixture over the first components.
+#: Fixed parameters of fisher's two-part mixture over the first components, as in its SQL.
 DIMS = 4
 
 
@@ -103,8 +103,9 @@ def kmeans(spark, sf_dir):
 
 
 def gmm(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("id", F.slice("v", 1, DIMS).alias("v"))
-    means, covs, priors, loglik = C.gmm(rows, [[0.5] * DIMS, [-0.5] * DIMS], iterations=4)
+    rows = vectors(spark, sf_dir).select("id", "v")
+    dims = rows.agg(F.max(F.size("v"))).first()[0]
+    means, covs, priors, loglik = C.gmm(rows, [[0.5] * dims, [-0.5] * dims], iterations=4)
     return spark.createDataFrame([(k, float(p), m, c, float(loglik)) for k, (m, c, p) in enumerate(zip(means, covs, priors, strict=True))], "k int, prior double, mean array<double>, variance array<double>, loglik double")
 
 
