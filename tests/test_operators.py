@@ -518,3 +518,12 @@ def test_queries_take_whole_vectors(spark, tmp_path):
         assert all(len(r["mean"]) == len(r.variance) == 10 for r in mixture)
         results.append({r.label: r.bits for r in queries_images.coding_bits(spark, f"{tmp_path}/{k}").collect()})
     assert all(results[0][k] < results[1][k] for k in results[0])
+
+
+def test_distance_transform_reaches_the_whole_image(spark):
+    pixels = spark.createDataFrame([(y, x, 0.0 if (y, x) == (0, 0) else 1e9) for y in range(2) for x in range(150)], "y int, x int, v double")
+    got = {(r.y, r.x): (r.v, r.ay, r.ax) for r in images.distance_transform(pixels).collect()}
+    assert all(got[y, x] == (x * x + y * y, 0, 0) for y in range(2) for x in range(150))
+    at = spark.createDataFrame([(1, 0.0, 0.0)], "frame int, y double, x double")
+    points = spark.createDataFrame([(1, 450.0, 0.0, True), (1, 451.0, 0.0, False)], "frame int, x double, y double, good boolean")
+    assert 0.5 < images.soft_mask(points, at).first().m < 0.6

@@ -70,12 +70,17 @@ def backward_warp(pixels: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.select(F.col("ty").alias("y"), F.col("tx").alias("x"), F.when(F.col("got") == F.col("all"), F.col("v")).otherwise(float("nan")).alias("v"))
 
 
-def distance_transform(pixels: DataFrame, a: float = 1.0, b: float = 0.0, c: float = 1.0, d: float = 0.0, reach: int = 64) -> DataFrame:
+def distance_transform(pixels: DataFrame, a: float = 1.0, b: float = 0.0, c: float = 1.0, d: float = 0.0, reach: int | None = None) -> DataFrame:
     """``y, x, v, ay, ax``: min over (u, w) of I(u, w) + c (y - u - d)^2 + a (x - w - b)^2 and its
-    place, by one pass for each axis.  Offsets beyond ``reach`` are not tried."""
+    place, by one pass for each axis.  Offsets beyond ``reach`` are not tried; without it, all
+    within the image's extent are."""
+    extent = {"y": reach, "x": reach}
+    if reach is None:
+        ends = pixels.agg(*(f(k).alias(f"{n}_{k}") for k in "yx" for n, f in (("lo", F.min), ("hi", F.max)))).first()
+        extent = {k: (ends[f"hi_{k}"] or 0) - (ends[f"lo_{k}"] or 0) for k in "yx"}
 
     def one(df: DataFrame, axis: str, weight: float, shift: float, rest: list[str]) -> DataFrame:
-        sent = df.select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("__o"))
+        sent = df.select("*", F.explode(F.sequence(F.lit(-extent[axis]), F.lit(extent[axis]))).alias("__o"))
         cost = F.col("v") + weight * (F.col("__o") - shift) ** 2
         sent = sent.select((F.col(axis) + F.col("__o")).alias("__to"), *[k for k in ("y", "x") if k != axis], F.struct(cost.alias("v"), *(F.col(k) for k in rest)).alias("m"))
         best = sent.groupBy("__to", *[k for k in ("y", "x") if k != axis]).agg(F.min("m").alias("m"))
@@ -113,15 +118,19 @@ def local_binary_patterns(pixels: DataFrame, cell: int) -> DataFrame:
     return codes.groupBy(F.floor(F.col("y") / cell).cast("int").alias("cy"), F.floor(F.col("x") / cell).cast("int").alias("cx"), "pattern").agg(F.count("*").alias("n"))
 
 
-def soft_mask(points: DataFrame, at: DataFrame, sigma: float = 50.0, reach: int = 200) -> DataFrame:
+def soft_mask(points: DataFrame, at: DataFrame, sigma: float = 50.0, reach: int | None = None) -> DataFrame:
     """``frame, y, x, m``: share of Gaussian weight from points marked good (``frame, x, y, good``) at
-    the asked places only.  Places and points meet by cells of ``reach``."""
+    the asked places only.  Places and points meet by cells of ``reach``, without it all of a frame do."""
+    w = F.exp(-((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2) / (2 * sigma * sigma))
+    share = F.try_divide(F.sum(F.when(F.col("good"), w).otherwise(0.0)), F.sum(w)).alias("m")  # null where all weights vanish
+    if reach is None:
+        p = points.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "good")
+        return at.join(p, "frame").groupBy("frame", "y", "x").agg(share)
     cell = lambda c: F.floor(F.col(c) / reach).cast("int")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     p = points.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "good", cell("y").alias("cy"), cell("x").alias("cx"))
     q = at.select("frame", "y", "x", F.explode(near).alias("a"), cell("y").alias("cy0"), cell("x").alias("cx0")).select("*", F.explode(near).alias("b")).select("frame", "y", "x", (F.col("cy0") + F.col("a")).alias("cy"), (F.col("cx0") + F.col("b")).alias("cx"))
-    w = F.exp(-((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2) / (2 * sigma * sigma))
-    return q.join(p, ["frame", "cy", "cx"]).groupBy("frame", "y", "x").agg((F.sum(F.when(F.col("good"), w).otherwise(0.0)) / F.sum(w)).alias("m"))
+    return q.join(p, ["frame", "cy", "cx"]).groupBy("frame", "y", "x").agg(share)
 
 
 def dark(r: Column, g: Column, b: Column, least: int = 20) -> Column:
