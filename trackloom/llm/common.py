@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UNSET: dict[str, str] = {}
 
@@ -18,11 +20,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset
-    (local mode, as in tests) a temporary folder is made, once per session.
+    in local mode, as in tests, a temporary folder is made, once per session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share ({master})")
     app = spark.sparkContext.applicationId
     if app not in _UNSET:
         _UNSET[app] = "file://" + tempfile.mkdtemp(prefix="trackloom-")
@@ -54,3 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # shuffle files of finished steps go when the driver's JVM collects garbage
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few bytes up to which a table is broadcast.
+FEW_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df``, which should be written already and have short rows, with a hint to broadcast
+    it if it has at most ``rows`` of them; a larger one is joined by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize, table
+from trackloom.llm.common import if_small, materialize, table
 from trackloom.llm.components import component_roots
 
 SEED = 42
@@ -153,8 +153,8 @@ def _flips(fps: np.ndarray, rest: list[int], distance: int) -> list[tuple[int, i
     return _thin(out, len(fps))
 
 
-def _thin(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """A spanning forest of ``links``."""
+def _thin_at(one: list[int], other: list[int], n: int) -> list[int]:
+    """Positions of the links of a spanning forest, the earlier ones first."""
     parent = list(range(n))
 
     def find(x: int) -> int:
@@ -164,14 +164,19 @@ def _thin(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j in links:
+    for k, (i, j) in enumerate(zip(one, other, strict=True)):
         a, b = find(i), find(j)
         if a != b:
             parent[a] = b
-            out.append((i, j))
+            out.append(k)
     return out
 
 
+def _thin(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """A spanning forest of ``links``."""
+    return [links[k] for k in _thin_at([i for i, _ in links], [j for _, j in links], n)]
+
+
 def _posting_links(distance: int):
     def links(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         found = list_links(fps, TRIPLES[t], distance)
@@ -269,9 +274,9 @@ PAIRS = [(i, i + 1) for i in range(0, BYTES, 2)] + [(i, (i + 5) % BYTES) for i i
 #: Lists up to this length are compared many at once.
 SHORT = 16
 #: Longer lists than this are dealt out by pairs of blocks of about this length.
-BLOCK = 2048
-#: Partners that a row of a list has in the second round, and how the number grows.
-PARTNERS, WIDER = 16, 8
+BLOCK = 8192
+#: A block of a long list has about this many shingles at most.
+BLOCK_SHINGLES = 2_000_000
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -294,10 +299,11 @@ def _wide(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_fingerprint(shingle_hashes(t or b"", size)) for t in batch.column(1).to_pylist()]
+            hashes = [shingle_hashes(t or b"", size) for t in batch.column(1).to_pylist()]
+            fps, sizes = [wide_fingerprint(h) for h in hashes], [len(h) for h in hashes]
             raw = [f.view(np.uint8).astype(np.int32) for f in fps]
             keys = [names | r[pairs[:, 0]] << 8 | r[pairs[:, 1]] for r in raw]
-            yield pa.record_batch({"id": batch.column(0), "fp": pa.array([f.tobytes() for f in fps], pa.binary()), "keys": pa.array(keys, pa.list_(pa.int32()))})
+            yield pa.record_batch({"id": batch.column(0), "fp": pa.array([f.tobytes() for f in fps], pa.binary()), "n": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int32()))})
 
     return run
 
@@ -313,110 +319,205 @@ def _near(fps: np.ndarray, one: np.ndarray, most: int, shared: int) -> np.ndarra
     return out
 
 
-def nearest_links(fps: np.ndarray, most: int, shared: int) -> tuple[np.ndarray, bool]:
-    """A minimum spanning forest (Prim) of the pairs that pass the count filter
-    and differ in ``most`` bits, and whether it leaves any such pair out."""
+def first_entry(fps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The first index entry that each pair of rows shares (``len(PAIRS)`` if none): the list that answers for it."""
+    same = (fps ^ other).view(np.uint8).reshape(-1, BYTES) == 0
+    out = np.full(len(same), len(PAIRS))
+    for k in range(len(PAIRS) - 1, -1, -1):
+        a, b = PAIRS[k]
+        out[same[:, a] & same[:, b]] = k
+    return out
+
+
+def list_pairs(fps: np.ndarray, roots: np.ndarray, meets: np.ndarray, entry: int, most: int, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every candidate pair of a list (rows ``i < j``, and the bits that differ), a few rows at a time.
+
+    A pair is a candidate if it passes the count filter, differs in ``most``
+    bits and has different roots.  It is met in the list of the first entry
+    that it shares and in no other.  ``meets`` has a row's block, doubled, and
+    1 more where pairs within the block are met in this part of a long list.
+    """
     n = len(fps)
-    out, passed = [], 0
-    best, parent, left = np.full(n, 1 << 20), np.zeros(n, np.int64), np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        left[at] = False
-        best[at] = 1 << 21
-        d = _near(fps, fps[at], most, shared)
-        passed += int((left & (d < 1 << 20)).sum())
-        closer = left & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.where(left, best, 1 << 21).argmin())
-        if best[at] < 1 << 20:
-            out.append((int(parent[at]), at))
-    return np.array(out, np.int64).reshape(-1, 2), passed > len(out)
-
-
-def partner_links(fps: np.ndarray, roots: np.ndarray, limit: int, most: int, shared: int) -> tuple[np.ndarray, bool]:
-    """Every row's ``limit`` nearest partners of another root, and whether any has more of them."""
-    n, out, more = len(fps), [np.empty((0, 2), np.int64)], False
-    rows = max(1, (1 << 19) // n)
+    rows = max(1, (1 << 19) // max(1, n))
     for at in range(0, n, rows):
         part = fps[at : at + rows]
-        bits = sum(np.bitwise_count(part[:, None, w] ^ fps[None, :, w]).astype(np.int16) for w in range(BLOCKS))
-        i, j = np.nonzero((bits <= most) & (roots[at : at + rows, None] != roots[None, :]))
-        d = _near(part[i], fps[j], most, shared)
-        i, j, d = i[d < 1 << 20], j[d < 1 << 20], d[d < 1 << 20]
-        order = np.lexsort((j, d, i))
-        i, j = i[order], j[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < limit
-        more |= not keep.all()
-        out.append(np.column_stack((i[keep] + at, j[keep])))
-    return np.concatenate(out), more
-
-
-def _wide_links(limit: int | None, most: int, shared: int):
-    """Candidates ``u, v`` of every list: a spanning forest if ``limit`` is None, else each
-    row's nearest partners of another root.  Where that leaves any out, a row has the ``key``.
-    Rows come sorted by (key, part), a list is what shares both."""
-
-    def links(ids: np.ndarray, roots: np.ndarray, fps: np.ndarray, key: int) -> tuple:
-        ij, more = nearest_links(fps, most, shared) if limit is None else partner_links(fps, roots, limit, most, shared)
-        return ids[ij[:, 0]], ids[ij[:, 1]], [key] if more else []
-
-    def short(n: int, at: np.ndarray, key: np.ndarray, ids: np.ndarray, roots: np.ndarray, fps: np.ndarray) -> tuple:
-        """Lists of one length, all at once."""
-        found = []
-        for i, j in combinations(range(n), 2):
-            d = _near(fps[at + i], fps[at + j], most, shared)
-            hit = np.flatnonzero((d < 1 << 20) & (roots[at + i] != roots[at + j]))
-            found.append(np.column_stack((hit, d[hit], at[hit] + i, at[hit] + j)))
-        found = np.concatenate(found)
-        if limit is not None or n == 2:
-            return ids[found[:, 2]], ids[found[:, 3]], []
-        found = found[np.lexsort((found[:, 1], found[:, 0]))]
-        kept = np.array(_thin(found[:, 2:].tolist(), len(ids)), np.int64).reshape(-1, 2)
-        of = lambda rows: np.searchsorted(at, rows, "right") - 1
-        more = np.bincount(found[:, 0], minlength=len(at)) > np.bincount(of(kept[:, 0]), minlength=len(at))
-        return ids[kept[:, 0]], ids[kept[:, 1]], key[at[more]]
+        bits = sum(np.bitwise_count(part[:, None, w] ^ fps[None, at:, w]).astype(np.int16) for w in range(BLOCKS))
+        i, j = np.nonzero((bits <= most) & (roots[at : at + rows, None] != roots[None, at:]))
+        i, j = i[i < j] + at, j[i < j] + at
+        met = (meets[i] >> 1 != meets[j] >> 1) | (meets[i] & 1 == 1)
+        i, j = i[met], j[met]
+        d = _near(fps[i], fps[j], most, shared)
+        keep = np.flatnonzero(d < 1 << 20)
+        keep = keep[first_entry(fps[i[keep]], fps[j[keep]]) == entry]
+        yield i[keep], j[keep], d[keep]
+
+
+def nearest_links(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, bool]:
+    """A spanning forest of least bits of the pairs, and whether it leaves any out."""
+    kept, met = [np.empty((0, 3), np.int64)], 0
+    for i, j, d in pairs:
+        met += len(i)
+        kept.append(np.column_stack((i, j, d)))
+        if sum(map(len, kept)) > 8 * n + (1 << 19):
+            kept = [_least_forest(np.concatenate(kept), n)]
+    forest = _least_forest(np.concatenate(kept), n)
+    return forest[:, :2], met > len(forest)
+
+
+def _least_forest(links: np.ndarray, n: int) -> np.ndarray:
+    """Kruskal over rows (i, j, bits)."""
+    links = links[np.lexsort((links[:, 1], links[:, 0], links[:, 2]))]
+    return links[_thin_at(links[:, 0].tolist(), links[:, 1].tolist(), n)]
+
+
+def _by_list(columns: int, each, together=None):
+    """Rows come sorted by (key, part), a list is what shares both: ``each(key, rows)`` has what goes
+    out for a list of two rows or more, ``together(n, starts, key, rows)`` for all the whole lists of
+    the same length ``n`` up to ``SHORT``.  ``rows`` are ids, roots, meets, fingerprints and the
+    further columns (as Python lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of the list not known to be over
         held_key = None
 
-        def close() -> list[tuple]:
-            ids, roots, fps = (np.concatenate([h[i] for h in held]) for i in range(3))
-            return [links(ids, roots, fps, held_key)] if len(ids) > 1 else []
+        def piece(rows: tuple, a: int, b: int) -> tuple:
+            return tuple(x[a:b] for x in rows)
+
+        def close() -> list:
+            rows = tuple(np.concatenate([h[i] for h in held]) if i < 4 else [x for h in held for x in h[i]] for i in range(columns))
+            return [each(held_key, rows)] if len(rows[0]) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, part, ids, roots = (batch.column(i).to_numpy() for i in range(4))
+            key, part, ids, roots, meets = (batch.column(i).to_numpy() for i in range(5))
             key = key.astype(np.int64) << 32 | part
-            fps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BLOCKS)
+            fps = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BLOCKS)
+            rows = (ids, roots, meets, fps, *(batch.column(i + 2).to_pylist() for i in range(4, columns)))
             starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
             ends = np.r_[starts[1:], len(key)]
             out = []
             if held and key[0] == held_key:
-                held.append((ids[: ends[0]], roots[: ends[0]], fps[: ends[0]]))
+                held.append(piece(rows, 0, ends[0]))
                 starts, ends = starts[1:], ends[1:]
             if len(starts):
                 if held:
                     out += close()
-                a = starts[-1]
-                held, held_key = [(ids[a:], roots[a:], fps[a:])], key[-1]
+                held, held_key = [piece(rows, starts[-1], len(key))], int(key[-1])
                 starts, ends = starts[:-1], ends[:-1]
             sizes = ends - starts
-            out += [short(int(n), starts[sizes == n], key, ids, roots, fps) for n in np.unique(sizes[(sizes > 1) & (sizes <= SHORT)])]
-            out += [links(ids[a:b], roots[a:b], fps[a:b], key[a]) for a, b in zip(starts[sizes > SHORT], ends[sizes > SHORT], strict=True)]
+            if together:  # parts of long lists go by themselves, whatever their length
+                alone = (sizes <= SHORT) & (part[starts] == 0)
+                out += [together(int(n), starts[alone & (sizes == n)], key, rows) for n in np.unique(sizes[alone & (sizes > 1)])]
+                starts, ends, sizes = starts[~alone], ends[~alone], sizes[~alone]
+            out += [each(int(key[a]), piece(rows, a, b)) for a, b in zip(starts[sizes > 1], ends[sizes > 1], strict=True)]
             if out:
-                yield _edges(out)
+                yield _columns(out)
         if held and (out := close()):
-            yield _edges(out)
+            yield _columns(out)
 
     return run
 
 
-def _edges(out: list[tuple]) -> pa.RecordBatch:
-    u, v, more = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(3))
-    pad = lambda x, before, after: pa.array(np.r_[np.zeros(before, np.int64), x, np.zeros(after, np.int64)], mask=np.r_[np.ones(before, bool), np.zeros(len(x), bool), np.ones(after, bool)])
-    return pa.record_batch({"u": pad(u, 0, len(more)), "v": pad(v, 0, len(more)), "key": pad(more >> 32, len(u), 0).cast(pa.int32())})
+def _columns(out: list[dict[str, pa.Array]]) -> pa.RecordBatch:
+    return pa.record_batch({name: pa.concat_arrays([x[name] for x in out]) for name in out[0]})
+
+
+def _forests(most: int, shared: int):
+    """``u, v``: a spanning forest of every list's candidates; where that leaves any out, a row has the ``key``."""
+
+    def rows_of(u: np.ndarray, v: np.ndarray, more: np.ndarray) -> dict[str, pa.Array]:
+        none, blank = pa.nulls(len(more), pa.int64()), pa.nulls(len(u), pa.int32())
+        return {"u": pa.concat_arrays([pa.array(u, pa.int64()), none]), "v": pa.concat_arrays([pa.array(v, pa.int64()), none]), "key": pa.concat_arrays([blank, pa.array((more >> 32).astype(np.int32))])}
+
+    def each(key: int, rows: tuple) -> dict[str, pa.Array]:
+        ids, roots, meets, fps = rows
+        ij, more = nearest_links(list_pairs(fps, roots, meets, key >> 48, most, shared), len(ids))
+        return rows_of(ids[ij[:, 0]], ids[ij[:, 1]], np.array([key] if more else [], np.int64))
+
+    def together(n: int, at: np.ndarray, key: np.ndarray, rows: tuple) -> dict[str, pa.Array]:
+        ids, roots, _, fps = rows
+        found = []
+        for i, j in combinations(range(n), 2):
+            d = _near(fps[at + i], fps[at + j], most, shared)
+            hit = np.flatnonzero((d < 1 << 20) & (roots[at + i] != roots[at + j]))
+            hit = hit[first_entry(fps[at[hit] + i], fps[at[hit] + j]) == key[at[hit]] >> 48]
+            found.append(np.column_stack((hit, d[hit], at[hit] + i, at[hit] + j)))
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        kept = found[_thin_at(found[:, 2].tolist(), found[:, 3].tolist(), len(ids))]
+        more = np.bincount(found[:, 0], minlength=len(at)) > np.bincount(kept[:, 0], minlength=len(at))
+        return rows_of(ids[kept[:, 2]], ids[kept[:, 3]], key[at[more]])
+
+    return _by_list(4, each, together)
+
+
+def _unresolved(most: int, shared: int):
+    """The rows of a list that have a candidate of another root: ``key, part, node, root, meets, fp``."""
+
+    def each(key: int, rows: tuple) -> dict[str, pa.Array]:
+        ids, roots, meets, fps = rows
+        ends = np.zeros(len(ids), bool)
+        for i, j, _ in list_pairs(fps, roots, meets, key >> 48, most, shared):
+            ends[i] = ends[j] = True
+        at = np.flatnonzero(ends)
+        place = lambda x: pa.array(np.full(len(at), x, np.int32))
+        return {"key": place(key >> 32), "part": place(key & 0xFFFFFFFF), "node": pa.array(ids[at]), "root": pa.array(roots[at]), "meets": pa.array(meets[at]), "fp": pa.array([fps[i].tobytes() for i in at], pa.binary())}
+
+    return _by_list(4, each)
+
+
+def similar_pairs(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the pairs of sets (sorted, without repeats) have this Jaccard similarity or more; two empty sets have."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+    _, codes = np.unique(flat, return_inverse=True)
+    begins = np.r_[0, np.cumsum(sizes)]
+    mark, good = np.zeros(int(codes.max(initial=-1)) + 1, bool), np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(i[order])) + 1, len(i)] if len(i) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        pairs = order[a:b]
+        one, others = int(i[pairs[0]]), j[pairs]
+        own = codes[begins[one] : begins[one + 1]]
+        mark[own] = True
+        at = 0
+        while at < len(others):  # about a million shingles at a time
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[others[at:]]), 1 << 20)))
+            some = others[at:end]
+            starts = np.r_[0, np.cumsum(sizes[some])]
+            within = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes[some]) + np.repeat(begins[some], sizes[some])
+            hits = np.r_[0, np.cumsum(mark[codes[within]])]
+            both = hits[starts[1:]] - hits[starts[:-1]]
+            good[pairs[at:end]] = both >= similarity * (sizes[one] + sizes[some] - both)
+            at = end
+        mark[own] = False
+    return good
+
+
+def _confirmed(most: int, shared: int, similarity: float):
+    """``u, v``: a spanning forest of every list's pairs of other roots that the sets of shingles confirm."""
+
+    def each(key: int, rows: tuple) -> dict[str, pa.Array]:
+        ids, roots, meets, fps, raw = rows
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        links = [np.empty((0, 2), np.int64)]
+        for i, j, _ in list_pairs(fps, roots, meets, key >> 48, most, shared):
+            good = similar_pairs(i, j, sets, similarity)
+            links.append(np.column_stack((i[good], j[good])))
+        links = np.concatenate(links)
+        links = links[_thin_at(links[:, 0].tolist(), links[:, 1].tolist(), len(ids))]
+        return {"u": pa.array(ids[links[:, 0]]), "v": pa.array(ids[links[:, 1]])}
+
+    return _by_list(5, each)
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"node": batch.column(0), "set": pa.array([np.unique(shingle_hashes(t or b"", size)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
+
+    return run
 
 
 def _jaccard(size: int, similarity: float):
@@ -443,12 +544,15 @@ def _jaccard(size: int, similarity: float):
 
 
 def _dealt(postings: DataFrame, long: DataFrame) -> DataFrame:
-    """``key, part, node, root, fp``: a row of a long list goes to every pair of blocks that has
-    its own, so that each pair of rows of the list meets in one part at least."""
+    """``key, part, node, root, meets, fp``: a row of a long list goes to every pair of blocks that
+    has its own.  Rows of different blocks meet in one part, and so do rows of block b: in that
+    which it shares with the block after it."""
     n = F.col("blocks")
     own = F.pmod(F.xxhash64("fp"), n).cast("int")
-    parts = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda b: b != own), lambda b: F.least(own, b) * n + F.greatest(own, b) + 1)
-    return postings.join(long, "key", "left").select("key", F.explode(F.coalesce(parts, F.array(F.lit(0)))).alias("part"), "node", "root", "fp")
+    part = lambda b: F.struct((F.least(own, b) * n + F.greatest(own, b) + 1).alias("part"), (own * 2 + (b == (own + 1) % n).cast("int")).alias("meets"))
+    parts = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda b: b != own), part)
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(1).alias("meets")))
+    return postings.join(long, "key", "left").select("key", F.explode(F.coalesce(parts, whole)).alias("to"), "node", "root", "fp").select("key", "to.part", "node", "root", "to.meets", "fp")
 
 
 def _verified_roots(distinct: DataFrame, rows: DataFrame, size: int, similarity: float, most: int, shared: int) -> DataFrame:
@@ -456,35 +560,37 @@ def _verified_roots(distinct: DataFrame, rows: DataFrame, size: int, similarity:
 
     The first round verifies a spanning forest of each list.  A forest of
     candidates need not span what is confirmed, so lists with candidates left
-    come again: every row with its nearest partners outside its confirmed
-    component, ever more of them, until no list leaves any out.  Every pair of
-    a list is compared, however long the list is.
+    between components come again, with the shingles of the rows concerned:
+    there every such pair is verified where it meets, and only confirmed links
+    leave the task.  Every pair of a list is compared, however long the list is.
     """
-    roots = tried = still = limit = None
-    long = distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    long = materialize(long, "simhash-wide-long")
-    while True:
-        at = distinct.withColumn("root", F.col("node")) if roots is None else distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        postings = at.select(F.explode("keys").alias("key"), "node", "root", "fp")
-        if still is not None:
-            postings = postings.join(still, "key", "left_semi")
-        found = _dealt(postings, long).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_wide_links(limit, most, shared), "u long, v long, key int")
-        found = materialize(found, "simhash-wide-found")
-        edges = found.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        edges = materialize(edges if tried is None else edges.join(tried, ["u", "v"], "left_anti"), "simhash-wide-links")
-        tried = edges if tried is None else tried.union(edges)
-        ends = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-        texts = materialize(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]), "simhash-wide-texts")
-        paired = edges.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-        linked = materialize(paired.select("u", "v", "a", "b").mapInArrow(_jaccard(size, similarity), "u long, v long"), "simhash-wide-linked")
-        if roots is None:
-            roots = component_roots(linked, "simhash-wide-components")
-        elif not linked.isEmpty():
-            roots = component_roots(linked.union(roots.select(F.col("root").alias("u"), F.col("node").alias("v"))), "simhash-wide-components")
-        still = materialize(found.where("key IS NOT NULL").select("key").distinct(), "simhash-wide-still")
-        if still.isEmpty():
-            return roots
-        limit = PARTNERS if limit is None else limit * WIDER
+    long = distinct.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    long = if_small(materialize(long, "simhash-wide-long"))
+    by_list = lambda df, f, kinds: df.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(f, kinds)
+    postings = distinct.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"), "fp")
+    found = materialize(by_list(_dealt(postings, long), _forests(most, shared), "u long, v long, key int"), "simhash-wide-found")
+    edges = materialize(found.where("u IS NOT NULL").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-wide-links")
+    ends = materialize(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "simhash-wide-ends")
+    texts = materialize(rows.join(if_small(ends), "id", "left_semi").dropDuplicates(["id"]), "simhash-wide-texts")
+    paired = edges.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    linked = materialize(paired.select("u", "v", "a", "b").mapInArrow(_jaccard(size, similarity), "u long, v long"), "simhash-wide-linked")
+    roots = component_roots(linked, "simhash-wide-components")
+
+    still = materialize(found.where("key IS NOT NULL").select("key").distinct(), "simhash-wide-still")
+    if still.isEmpty():
+        return roots
+    at = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    postings = at.select(F.explode("keys").alias("key"), "node", "root", "fp").join(if_small(still), "key", "left_semi")
+    kinds = "key int, part int, node long, root long, meets int, fp binary"
+    open_ = materialize(by_list(_dealt(postings, long), _unresolved(most, shared), kinds), "simhash-wide-open")
+    ends = materialize(open_.select(F.col("node").alias("id")).distinct(), "simhash-wide-open-ends")
+    # every end is the end of a forest's link as well, so its text has been written
+    sets = texts.join(if_small(ends), "id", "left_semi").mapInArrow(_shingle_sets(size), "node long, set binary")
+    again = open_.join(sets, "node").select("key", "part", "node", "root", "meets", "fp", "set")
+    more = materialize(by_list(again, _confirmed(most, shared, similarity), "u long, v long"), "simhash-wide-more")
+    if more.isEmpty():
+        return roots
+    return component_roots(more.union(linked), "simhash-wide-components")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 56, shared: int = 4) -> DataFrame:
@@ -503,8 +609,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     one class; repeated rows share one.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    prints = materialize(rows.mapInArrow(_wide(size), "id long, fp binary, keys array<int>"), "simhash-wide")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    prints = materialize(rows.mapInArrow(_wide(size), "id long, fp binary, n long, keys array<int>"), "simhash-wide")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "simhash-wide-distinct")
     roots = _verified_roots(distinct, rows, size, similarity, most_bits, shared)
     named = distinct.join(roots.select(F.col("node"), "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
