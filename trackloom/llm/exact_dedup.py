@@ -6,19 +6,22 @@
 2. Owners: local groups are dealt by (byte length, 64-bit content hash); each
    owner task inserts the full byte strings into a compressed radix trie whose
    terminal nodes keep the best identifier and the member count.  A trie that
-   outgrows its memory budget spills its largest subtree to a task-private
-   file and takes it up again after the rest.
-3. Verdicts come back by local-group id, which is unique on both sides, so a
+   outgrows its memory budget spills its heaviest subtrees: their terminals
+   leave the task as rows, later keys of those subtrees follow them, and the
+   next round deals them to owners anew.
+3. Hot texts: a (length, hash) that more than ``FEW`` local groups share, and
+   more than a ten-thousandth of all of them, is dealt over salts first; each
+   salt's owner sends one group on.  At most 10,000 such keys can exist, so
+   they may be broadcast.
+4. Verdicts come back by local-group id, which is unique on both sides, so a
    text that a third of all rows share causes no skewed join.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import os
-import pickle
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +30,11 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import materialize, table
 
+#: Local groups of one text that an owner takes without salting.
+FEW = 64
+#: Bytes that a trie node takes besides its label, and a terminal besides its groups.
+NODE, END = 400, 200
+
 _LABEL, _KIDS, _END = 0, 1, 2
 
 
@@ -49,27 +57,34 @@ class PatriciaTrie:
     """A radix trie over byte strings with path compression.
 
     A node is ``[edge label, children by first byte, terminal]``; a terminal
-    is a list the caller owns.
+    is a list the caller owns.  A child that is None stands for a subtree that
+    has been spilled.
     """
 
     def __init__(self) -> None:
         self.root: list = [b"", {}, None]
         self.bytes_held = 0
+        self.terminals = 0
 
-    def terminal(self, key: bytes) -> list:
-        """The terminal of ``key``, made (empty) if it is new."""
+    def terminal(self, key: bytes) -> list | None:
+        """The terminal of ``key``, made (empty) if it is new; None if its subtree has been spilled."""
         node, at = self.root, 0
         while True:
             if at == len(key):
                 if node[_END] is None:
                     node[_END] = []
+                    self.bytes_held += END
+                    self.terminals += 1
                 return node[_END]
             kids = node[_KIDS]
-            kid = kids.get(key[at])
+            kid = kids.get(key[at], False)
             if kid is None:
+                return None
+            if kid is False:
                 end: list = []
                 kids[key[at]] = [key[at:], {}, end]
-                self.bytes_held += len(key) - at + 200
+                self.bytes_held += len(key) - at + NODE + END
+                self.terminals += 1
                 return end
             label = kid[_LABEL]
             if key.startswith(label, at):
@@ -79,17 +94,9 @@ class PatriciaTrie:
             fork = [label[:n], {label[n]: kid}, None]
             kid[_LABEL] = label[n:]
             kids[key[at]] = fork
-            self.bytes_held += 200
+            self.bytes_held += NODE
             node, at = fork, at + n
 
-    def branching(self) -> tuple[list, bytes]:
-        """The first node that branches or ends a key, and its path."""
-        node, path = self.root, b""
-        while node[_END] is None and len(node[_KIDS]) == 1:
-            node = next(iter(node[_KIDS].values()))
-            path += node[_LABEL]
-        return node, path
-
     @staticmethod
     def walk(node: list, path: bytes) -> Iterator[tuple[bytes, list]]:
         stack = [(node, path)]
@@ -97,73 +104,89 @@ class PatriciaTrie:
             node, path = stack.pop()
             if node[_END] is not None:
                 yield path, node[_END]
-            stack.extend((kid, path + kid[_LABEL]) for kid in node[_KIDS].values())
-
+            stack.extend((kid, path + kid[_LABEL]) for kid in node[_KIDS].values() if kid is not None)
 
-def _weight(node: list) -> int:
-    total, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        total += len(x[_LABEL]) + 200
-        stack.extend(x[_KIDS].values())
-    return total
+    def weights(self, weigh: Callable[[list], int]) -> dict[int, list[int]]:
+        """Bytes and terminals below each node, by the node's identity."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(kid for kid in node[_KIDS].values() if kid is not None)
+        out: dict[int, list[int]] = {}
+        for node in reversed(order):
+            below = [out[id(kid)] for kid in node[_KIDS].values() if kid is not None]
+            held = NODE + len(node[_LABEL]) + (0 if node[_END] is None else END + weigh(node[_END]))
+            out[id(node)] = [held + sum(x for x, _ in below), (node[_END] is not None) + sum(n for _, n in below)]
+        return out
 
 
 class TrieOwner:
     """Terminals for a stream of ``(key, payload)``, within a memory budget.
 
     ``merge(terminal, payload)`` folds a payload into a terminal; a terminal
-    has the form of a payload, so a spilled one is merged like any other.  When the
-    trie holds more than ``budget`` bytes, the heaviest subtree below the
-    first branching node goes to a file of its own; later keys of that
-    subtree follow it there.  ``drain`` yields every terminal once.
+    has the form of a payload, so a spilled one is merged like any other, and
+    ``weigh(payload)`` is about its size in bytes.  When the trie holds more
+    than ``budget`` bytes, its heaviest subtrees go to ``sink(key, payload)``
+    until half the budget is held, and so do later keys of those subtrees.
+    One terminal always stays, so that rounds over what was spilled come to an
+    end.  Without a sink the spilled payloads are kept for ``drain``, which
+    yields every terminal once.
     """
 
-    def __init__(self, merge, budget: int = 64 << 20) -> None:
-        self.merge, self.budget = merge, budget
-        self.trie, self.spilled, self.depth = PatriciaTrie(), {}, None
-        self.spills = 0
+    def __init__(self, merge, budget: int = 64 << 20, sink=None, weigh=lambda payload: 0) -> None:
+        self.merge, self.budget, self.weigh = merge, budget, weigh
+        self.trie, self.spills = PatriciaTrie(), 0
+        self.kept: list[tuple[bytes, tuple]] = []
+        self.sink = sink or (lambda key, payload: self.kept.append((key, payload)))
 
     def add(self, key: bytes, payload) -> None:
-        if self.depth is not None and len(key) > len(self.depth) and key.startswith(self.depth):
-            out = self.spilled.get(key[len(self.depth)])
-            if out is not None:
-                pickle.dump((key, [payload]), out)
-                return
-        self.merge(self.trie.terminal(key), payload)
-        if self.trie.bytes_held > self.budget:
+        end = self.trie.terminal(key)
+        if end is None:
+            self.sink(key, payload)
+            return
+        before = self.weigh(end) if end else 0
+        self.merge(end, payload)
+        self.trie.bytes_held += self.weigh(end) - before
+        if self.trie.bytes_held > self.budget and self.trie.terminals > 1:
             self._spill()
 
     def _spill(self) -> None:
-        node, path = self.trie.branching()
-        if self.depth is None:
-            self.depth = path
-        if path != self.depth or not node[_KIDS] or len(node[_KIDS]) + len(self.spilled) < 2:
-            return
-        weights = {b: _weight(kid) for b, kid in node[_KIDS].items()}
-        byte = max(weights, key=weights.get)
-        if self.spilled.get(byte) is None:
-            self.spilled[byte] = tempfile.TemporaryFile()
-        kid = node[_KIDS].pop(byte)
-        for key, end in PatriciaTrie.walk(kid, path + kid[_LABEL]):
-            pickle.dump((key, [tuple(end)]), self.spilled[byte])
-        self.trie.bytes_held -= weights[byte]
-        self.spills += 1
+        trie, target = self.trie, self.budget // 2
+        weights = trie.weights(self.weigh)
+        while trie.bytes_held > target and trie.terminals > 1:
+            path, node, prefix = [trie.root], trie.root, b""
+            while True:
+                kids = {b: kid for b, kid in node[_KIDS].items() if kid is not None}
+                if not kids:
+                    return
+                byte = max(kids, key=lambda b: weights[id(kids[b])][0])
+                kid = kids[byte]
+                held, ends = weights[id(kid)]
+                if (held > target or ends == trie.terminals) and any(x is not None for x in kid[_KIDS].values()):
+                    path.append(kid)
+                    node, prefix = kid, prefix + kid[_LABEL]
+                    continue
+                break
+            if ends == trie.terminals:
+                return
+            node[_KIDS][byte] = None
+            for key, end in PatriciaTrie.walk(kid, prefix + kid[_LABEL]):
+                self.sink(key, tuple(end))
+            for x in path:
+                weights[id(x)][0] -= held
+                weights[id(x)][1] -= ends
+            trie.bytes_held -= held
+            trie.terminals -= ends
+            self.spills += 1
 
     def drain(self) -> Iterator[tuple[bytes, list]]:
         yield from PatriciaTrie.walk(self.trie.root, b"")
-        self.trie = PatriciaTrie()
-        for out in self.spilled.values():
-            out.seek(0, os.SEEK_SET)
-            below = TrieOwner(self.merge, self.budget)
-            while True:
-                try:
-                    key, payloads = pickle.load(out)
-                except EOFError:
-                    break
-                for payload in payloads:
-                    below.add(key, payload)
-            out.close()
+        self.trie, kept = PatriciaTrie(), self.kept
+        if kept:
+            below = TrieOwner(self.merge, self.budget, weigh=self.weigh)
+            for key, payload in kept:
+                below.add(key, payload)
             yield from below.drain()
 
 
@@ -190,7 +213,7 @@ def _fold(largest: bool):
     return fold
 
 
-def _own(largest: bool, budget: int):
+def _own(largest: bool, budget: int, send_on: bool):
     def better(a, b) -> bool:
         """Is (id, gid) a ahead of b?  Null ids come last, ties go to the lower gid."""
         if (a[0] is None) != (b[0] is None):
@@ -211,25 +234,61 @@ def _own(largest: bool, budget: int):
         end[2].extend(gids)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = TrieOwner(merge, budget)
-        for batch in batches:
-            for gid, key, best, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                owner.add(key, ((best, gid), n, [gid]))
         rows: list[tuple] = []
-        for _, (best, n, gids) in owner.drain():
-            rows.extend((gid, best[0], n, best[1]) for gid in gids)
-            if len(rows) >= 20_000:
-                yield _verdicts(rows)
-                rows = []
+        held = 0
+
+        def spill(key: bytes, payload) -> None:
+            nonlocal held
+            best, n, gids = payload
+            rows.append((SPILLED, None, best[0], n, best[1], key, list(gids)))
+            held += len(key) + 8 * len(gids)
+
+        owner = TrieOwner(merge, budget, spill, lambda payload: 120 + 40 * len(payload[2]))
+        for batch in batches:
+            for gids, key, best, best_gid, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                owner.add(key, ((best, best_gid), n, gids))
+                if held > 16 << 20:
+                    yield _owned_rows(rows)
+                    rows, held = [], 0
+        for key, (best, n, gids) in owner.drain():
+            rows.extend((VERDICT, gid, best[0], n, best[1], None, None) for gid in gids)
+            if send_on:
+                rows.append((SENT_ON, None, best[0], n, best[1], key, [best[1]]))
+                held += len(key)
+            if len(rows) >= 20_000 or held > 16 << 20:
+                yield _owned_rows(rows)
+                rows, held = [], 0
         if rows:
-            yield _verdicts(rows)
+            yield _owned_rows(rows)
 
     return own
 
 
-def _verdicts(rows: list[tuple]) -> pa.RecordBatch:
-    gid, keep, n, win = zip(*rows, strict=True)
-    return pa.record_batch({"gid": pa.array(gid, pa.int64()), "keep_id": pa.array(keep, pa.int64()), "group_size": pa.array(n, pa.int64()), "win": pa.array(win, pa.int64())})
+#: What an owner's row is: a group's verdict, a spilled terminal, or one group of a salt for the next level.
+VERDICT, SPILLED, SENT_ON = 0, 1, 2
+_OWNED = "state int, gid long, keep_id long, group_size long, win long, key binary, gids array<long>"
+_OWNED_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _owned_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _OWNED_KINDS, strict=True)], names=[c.split()[0] for c in _OWNED.split(", ")])
+
+
+def _settled(groups: DataFrame, largest: bool, budget: int, send_on: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Verdicts of ``gids, key, best, best_gid, n, salt``, and with ``send_on`` one row of each salt's text."""
+    done, sent, around = [], [], 0
+    while True:
+        dealt = groups.repartition(F.octet_length("key"), F.xxhash64("key", F.lit(around)), "salt").select("gids", "key", "best", "best_gid", "n")
+        out = materialize(dealt.mapInArrow(_own(largest, budget, send_on), _OWNED), "exact-owned")
+        done.append(out.where(F.col("state") == VERDICT).select("gid", "keep_id", "group_size", "win"))
+        form = lambda state, out=out: out.where(F.col("state") == state).select("gids", "key", F.col("keep_id").alias("best"), F.col("win").alias("best_gid"), F.col("group_size").alias("n"), F.lit(0).alias("salt"))
+        sent.append(form(SENT_ON))
+        groups = form(SPILLED)
+        if groups.isEmpty():
+            break
+        around += 1
+    union = lambda parts: functools.reduce(DataFrame.unionAll, parts)
+    return union(done), union(sent) if send_on else None
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", budget: int = 64 << 20) -> DataFrame:
@@ -239,18 +298,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which identifier of a group stays, ``smallest`` or ``largest``.
 
     Defined cases: a null text counts as empty; a null id loses to any other;
-    among repeated rows with the winning id exactly one is kept; an empty
-    table gives an empty result; other columns of ``docs`` are ignored.
+    among repeated rows with the winning id exactly one is kept; texts may be
+    of any length (an owner holds ``budget`` bytes, or one text if that is
+    longer); an empty table gives an empty result; other columns of ``docs``
+    are ignored.
     """
     largest = keep == "largest"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    local = materialize(rows.mapInArrow(_fold(largest), "gid long, sha binary, key binary, ids array<long>"), "exact-local")
-    owned = (
-        local.select("gid", "key", F.element_at("ids", 1).alias("best"), F.size("ids").cast("long").alias("n"), F.octet_length("key").alias("len"), F.xxhash64("key").alias("h"))
-        .repartition("len", "h")
-        .select("gid", "key", "best", "n")
-        .mapInArrow(_own(largest, budget), "gid long, keep_id long, group_size long, win long")
-    )
+    local = rows.mapInArrow(_fold(largest), "gid long, sha binary, key binary, ids array<long>").withColumns({"len": F.octet_length("key"), "h": F.xxhash64("key")})
+    local = materialize(local, "exact-local")
+    groups = local.select(F.array("gid").alias("gids"), "key", F.element_at("ids", 1).alias("best"), F.col("gid").alias("best_gid"), F.size("ids").cast("long").alias("n"), F.lit(0).alias("salt"), "len", "h")
+    least = max(FEW, local.count() // 10_000)
+    hot = materialize(local.groupBy("len", "h").count().where(F.col("count") > least), "exact-hot")
+    if hot.isEmpty():
+        owned, _ = _settled(groups, largest, budget)
+    else:
+        salted = groups.join(F.broadcast(hot), ["len", "h"]).withColumn("salt", F.pmod("best_gid", F.ceil(F.sqrt("count"))).cast("int"))
+        first, sent = _settled(salted, largest, budget, send_on=True)
+        cold = groups.join(F.broadcast(hot), ["len", "h"], "left_anti").select(*sent.columns)
+        second, _ = _settled(cold.unionAll(sent), largest, budget)
+        # a group of a hot text has the verdict of the group that its salt sent on
+        onward = first.select("gid", F.col("win").alias("via")).join(second.withColumnRenamed("gid", "via"), "via").select("gid", "keep_id", "group_size", "win")
+        owned = second.join(first.select("gid"), "gid", "left_anti").unionAll(onward)
     return (
         local.select("gid", "sha", "ids")
         .join(owned, "gid")
