@@ -14,15 +14,16 @@ work is first routed, then decided by automata:
 2. *Reference shards.*  The stretches of an owner whose windows have shared
    anchors form its shard; the same stretches of the others are dealt to it.
    An anchor that many documents have is dealt over many salts, and the shard
-   is broadcast to each of them, so no passage meets in one task.
+   is broadcast to each of them, so no passage meets in one task.  A long
+   owner is cut into pieces of ``PIECE`` windows, each a shard of its own.
 3. *Automata.*  A task builds the suffix automaton of a shard and streams the
    stretches dealt to it for their matching statistics: wherever the longest
    match has ``size`` words or more, the window that ends there is the
    owner's as well, and goes.
 4. *Rest.*  A window that its owner lacks (it only shares the anchor) may
    still be a third document's.  All holders of such a window are among the
-   windows left over, so the smallest id for each 64-bit window hash settles
-   them.
+   windows left over.  Those whose 64-bit hash two ids have are spelled out,
+   and the smallest id for the same words settles them.
 
 Nothing is broadcast to all tasks that grows with the corpus.
 """
@@ -45,6 +46,10 @@ from trackloom.llm.common import materialize, table
 GRAM = 7
 #: A shard serves about this many documents for each salt.
 PER_SALT = 128
+#: Windows of an owner in one shard, so that an automaton is bounded however long a document is.
+PIECE = 1 << 16
+#: Owners of several pieces that are broadcast; more of them are joined by key.
+LONG_OWNERS = 100_000
 #: Stands for a null id: larger than any other.
 NULL_ID = (1 << 63) - 1
 #: Words hashed at a time, and anchors in a block.
@@ -357,12 +362,14 @@ def _runs(mask: np.ndarray, *same: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + 1).tolist(), strict=True))
 
 
-_SHARD = "owner long, salt long, role int, id long, h long, firsts array<int>, words binary"
-_SHARD_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+_SHARD = "owner long, salt long, piece int, role int, id long, h long, firsts array<int>, words binary"
+_SHARD_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
 
 
 def _stretches(size: int):
-    """Rows for the shards: each document's stretches for each (owner, salt)."""
+    """Rows for the shards: each document's stretches for each (owner, salt), with role 1.
+    An owner's own stretches have role 0, their piece, and in place of a salt the number of
+    salts that they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,15 +391,13 @@ def _stretches(size: int):
                 here = slice(base, base + len(split))
                 seed = xxhash_of(hs[here] ^ xxhash_of(ids[here])) & 0x7FFFFFFF  # equal texts part as well
                 salt = seed[text] % np.maximum(n_salts, 1)
-                found: dict[tuple[int, int, int, int], list[tuple[int, int]]] = {}
+                piece = first // PIECE
+                found: dict[tuple[int, int, int, int, int], list[tuple[int, int]]] = {}
                 for i, j in _runs(follows, owner, salt, text):
-                    found.setdefault((int(owner[i]), int(salt[i]), 1, int(text[i])), []).append((int(first[i]), int(first[i]) + j - i))
-                s, most = 0, int(n_salts[own].max(initial=0))
-                while s < most:  # an owner's windows go to every salt that their anchors use
-                    for i, j in _runs(own & (n_salts > s), text):
-                        found.setdefault((int(ident[i]), s, 0, int(text[i])), []).append((int(first[i]), int(first[i]) + j - i))
-                    s += 1
-                rows = [(o, s, role, int(ids[base + t]), int(hs[base + t]), *_cut(split[t], runs, size)) for (o, s, role, t), runs in found.items()]
+                    found.setdefault((int(owner[i]), int(salt[i]), 0, 1, int(text[i])), []).append((int(first[i]), int(first[i]) + j - i))
+                for i, j in _runs(own, n_salts, piece, text):
+                    found.setdefault((int(ident[i]), int(n_salts[i]), int(piece[i]), 0, int(text[i])), []).append((int(first[i]), int(first[i]) + j - i))
+                rows = [(o, s, p, role, int(ids[base + t]), int(hs[base + t]), *_cut(split[t], runs, size)) for (o, s, p, role, t), runs in found.items()]
                 for i in range(0, len(rows), 4000):
                     columns = zip(*rows[i : i + 4000], strict=True)
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, _SHARD_KINDS, strict=True)], names=[c.split()[0] for c in _SHARD.split(", ")])
@@ -428,7 +433,7 @@ def _matched(statistics: list[int], start: int, size: int, first: list[int], end
 
 
 def _match(size: int):
-    """Rows come sorted by (owner, salt, role): a shard's reference, then its documents."""
+    """Rows come sorted by (owner, salt, piece, role): a shard's reference, then its documents."""
 
     def rows_of(out: list[tuple], rest_words: list[bytes], rest_at: list[int]) -> pa.RecordBatch:
         # hashes of all windows left over in the batch, in one go
@@ -445,9 +450,9 @@ def _match(size: int):
             out: list[tuple] = []
             rest_words: list[bytes] = []
             rest_at: list[int] = []
-            for owner, salt, role, ident, h, firsts, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (owner, salt) != shard:
-                    shard, automaton, number, marks = (owner, salt), SuffixAutomaton(), {}, 0
+            for owner, salt, piece, role, ident, h, firsts, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (owner, salt, piece) != shard:
+                    shard, automaton, number, marks = (owner, salt, piece), SuffixAutomaton(), {}, 0
                 lines = [line.split(b" ") for line in words.split(b"\n")]
                 if role == 0:
                     for line in lines:
@@ -472,6 +477,39 @@ def _match(size: int):
     return run
 
 
+def _spell(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, h, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split()
+                yield pa.record_batch({"id": pa.array([ident] * len(places), pa.int64()), "h": pa.array([h] * len(places), pa.int64()), "pos": pa.array(places, pa.int32()), "words": pa.array([b" ".join(words[p : p + size]) for p in places], pa.binary())})
+
+    return run
+
+
+def late_windows(found: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
+    """``id, h, first, end``: of the windows left over (``pos`` and ``hash`` of ``found``), those whose
+    words a smaller id has as well.  Hashes only say which windows to spell out."""
+    rest = found.where(F.size("pos") > 0).select("id", "h", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("id", "h", F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"))
+    twice = rest.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("top")).where("least < top").select("hash")
+    places = rest.join(twice, "hash", "left_semi").groupBy("id", "h").agg(F.collect_set("pos").alias("places"))
+    spelled = candidates.select("id", "h", "text").join(places, ["id", "h"]).mapInArrow(_spell(size), "id long, h long, pos int, words binary")
+    spelled = materialize(spelled, "substring-spelled")
+    least = spelled.groupBy("words").agg(F.min("id").alias("least"), F.max("id").alias("top")).where("least < top").select("words", "least")
+    late = spelled.join(least, "words").where("id > least").groupBy("id", "h").agg(F.collect_set("pos").alias("first"))
+    return late.select("id", "h", "first", F.transform("first", lambda p: p + 1).alias("end"))
+
+
+def _dealt(stretches: DataFrame, pieces: DataFrame) -> DataFrame:
+    """An owner's rows for each of its salts, the others' for each piece of their owner (``owner, pieces``: those of several)."""
+    salts = F.when(F.col("role") == 0, F.sequence(F.lit(0).cast("long"), F.col("salt") - 1)).otherwise(F.array("salt"))
+    each = stretches.select("owner", F.explode(salts).alias("salt"), "piece", "role", "id", "h", "firsts", "words")
+    # a checked bound for the broadcast; more long owners are joined by key
+    few = pieces.limit(LONG_OWNERS + 1).count() <= LONG_OWNERS
+    every = F.when((F.col("role") == 1) & F.col("pieces").isNotNull(), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("piece"))
+    return each.join(F.broadcast(pieces) if few else pieces, "owner", "left").select("owner", "salt", F.explode(every).alias("piece"), "role", "id", "h", "firsts", "words")
+
+
 def _remove(size: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -501,11 +539,11 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
 
     Defined cases: null texts have no words; a null id counts as larger than
     any other; rows with one id never cost each other words; texts of fewer
-    words than a window keep all; an empty table gives an empty result; other
-    columns are ignored.
+    words than a window keep all; texts may be of any length; an empty table
+    gives an empty result; other columns are ignored.
     """
     n = docs.count()
-    buckets = 1 << max(8, min(20, (n // 64).bit_length()))
+    buckets = 1 << max(8, min(22, (n // 64).bit_length()))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     keyed = rows.select("id", F.xxhash64("text").alias("h"), "text")
     everything = materialize(keyed.mapInArrow(_first_pass(size, buckets), _FIRST), "substring-first")
@@ -524,12 +562,12 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     with_key = keyed.withColumn("key", F.when(F.col("id") == NULL_ID, F.col("h")).otherwise(F.col("id")))
     candidates = materialize(with_key.join(listed, "key").select("id", "h", "text", "a", "owner", "n"), "substring-candidates")
 
-    dealt = candidates.mapInArrow(_stretches(size), _SHARD)
-    found = materialize(dealt.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "role").mapInArrow(_match(size), _FOUND), "substring-found")
+    pieces = first.where(F.col("n_words") > PIECE).groupBy(F.col("id").alias("owner")).agg(F.ceil(F.max("n_words") / PIECE).cast("int").alias("pieces"))
+    dealt = _dealt(candidates.mapInArrow(_stretches(size), _SHARD), materialize(pieces, "substring-pieces"))
+    shard = ["owner", "salt", "piece"]
+    found = materialize(dealt.repartition(*shard).sortWithinPartitions(*shard, "role").mapInArrow(_match(size), _FOUND), "substring-found")
 
-    rest = found.where(F.size("pos") > 0).select("id", "h", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("id", "h", F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"))
-    least = rest.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("top")).where("least < top").select("hash", "least")
-    late = rest.join(least, "hash").where("id > least").groupBy("id", "h").agg(F.collect_set("pos").alias("first")).select("id", "h", "first", F.transform("first", lambda p: p + 1).alias("end"))
+    late = late_windows(found, candidates, size)
     spans = found.where(F.size("first") > 0).select("id", "h", "first", "end").unionByName(late).groupBy("id", "h").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("end")).alias("end"))
     changed = candidates.select("id", "h", "text").join(spans, ["id", "h"]).select("id", "h", "text", "first", "end").mapInArrow(_remove(size, texts), "id long, h long, n_removed long, kept_sha binary, kept string")
     changed = changed.dropDuplicates(["id", "h"])  # repeated rows lose the same words
