@@ -6,21 +6,25 @@ how far a window may move when it ends in a given block of words; a block of
 shift 0 selects the bucket of patterns with that suffix, and direct
 comparison confirms an occurrence.
 
-Patterns are the one thing broadcast.  Their size is checked: a benchmark
-above ``block_bytes`` is cut into blocks that are searched in successive
-passes, each adding to the same row.
+Patterns are the one thing broadcast.  Their size is checked: distinct windows
+are counted by their bytes, and those beyond ``block_bytes`` are cut into
+blocks.  Each block is a pass of its own over the documents, in its own Python
+workers, so a worker holds the tables of one block; it keeps them for its
+later tasks.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import array
+import functools
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import table
+from trackloom.llm.common import materialize, table
 
 #: Lower-cases A-Z; every byte that is no word byte becomes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -40,19 +44,28 @@ def windows_of(words: list, size: int) -> list[tuple]:
 class WuManber:
     """Occurrences of equally long sequences of numbers in a sequence."""
 
-    def __init__(self, patterns: list[tuple[int, ...]], base: int, block: int = 3) -> None:
-        self.m = len(patterns[0])
-        self.block = min(block, self.m)
+    def __init__(self, patterns: Iterable[tuple[int, ...]], base: int, block: int = 3) -> None:
         self.base = base
-        self.far = self.m - self.block + 1
+        self.flat = array.array("q")  # all patterns, one after the other
         self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[int]] = {}
-        self.patterns = patterns
+        self.bucket: dict[int, int | list[int]] = {}
         for k, pattern in enumerate(patterns):
+            if not k:
+                self.m = len(pattern)
+                self.block = min(block, self.m)
+                self.far = self.m - self.block + 1
             for end in range(self.block, self.m + 1):
                 key = self._key(pattern, end - self.block)
                 self.shift[key] = min(self.shift.get(key, self.far), self.m - end)
-            self.bucket.setdefault(self._key(pattern, self.m - self.block), []).append(k)
+            self.flat.extend(pattern)
+            key = self._key(pattern, self.m - self.block)
+            others = self.bucket.get(key)
+            if others is None:
+                self.bucket[key] = k
+            elif isinstance(others, int):
+                self.bucket[key] = [others, k]
+            else:
+                others.append(k)
 
     def _key(self, seq, at: int) -> int:
         key = 0
@@ -85,31 +98,30 @@ class WuManber:
             at += 1
 
     def _confirm(self, seq: list[int], at: int, key: int) -> Iterator[tuple[int, int]]:
-        window = tuple(seq[at - self.m : at])
-        for k in self.bucket.get(key, ()):
-            if self.patterns[k] == window:
-                yield at - self.m, k
+        window, m, flat = array.array("q", seq[at - self.m : at]), self.m, self.flat
+        found = self.bucket.get(key, ())
+        for k in (found,) if isinstance(found, int) else found:
+            if flat[k * m : k * m + m] == window:
+                yield at - m, k
 
 
 class PatternSet:
-    """The windows of a set of test strings, ready to search."""
+    """Windows (their words joined by a space) and the items that have them, ready to search."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
-        owners: dict[tuple, set[str]] = {}
-        for item, text in items:
-            for window in windows_of(words_of(text), size):
-                owners.setdefault(window, set()).add(item)
+    def __init__(self, windows: list[tuple[bytes, list]]) -> None:
         self.number: dict[bytes, int] = {}
-        by_length: dict[int, tuple[list, list]] = {}
-        for window, who in owners.items():
-            seq = tuple(self.number.setdefault(w, len(self.number) + 1) for w in window)
-            patterns, names = by_length.setdefault(len(seq), ([], []))
-            patterns.append(seq)
-            names.append(tuple(who))
-        base = len(self.number) + 1
-        self.searches = [(WuManber(patterns, base), names) for patterns, names in by_length.values()]
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        by_length: dict[int, tuple[list[bytes], list]] = {}
+        same: dict[tuple, tuple] = {}
+        for window, items in windows:
+            some, names = by_length.setdefault(window.count(b" ") + 1, ([], []))
+            some.append(window)
+            names.append(same.setdefault(tuple(items), tuple(items)))
+            for w in window.split():
+                self.number.setdefault(w, len(self.number) + 1)
+        number, base = self.number, len(self.number) + 1
+        self.searches = [(WuManber((tuple([number[w] for w in x.split()]) for x in some), base), names) for some, names in by_length.values()]
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit spans (first word, one past the last) and the items hit."""
         get = self.number.get
         seq = [get(w, 0) for w in words]
@@ -132,57 +144,102 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(broadcast, size: int):
+def _item_windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(b" ".join(w), item) for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in windows_of(words_of(text), size)]
+            yield pa.record_batch({"window": pa.array([w for w, _ in found], pa.binary()), "item": pa.array([i for _, i in found], pa.string())})
+
+    return run
+
+
+_BUILT: dict[str, PatternSet] = {}
+
+
+def _patterns(token: str, broadcast) -> PatternSet:
+    """The tables of a block, made once for each Python worker."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = PatternSet(broadcast.value)
+    return _BUILT[token]
+
+
+_STATE = "id long, h long, n long, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+def _in_order(items: set) -> list:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def _search(token: str, broadcast, every: bool):
+    """A row for each document, or for each that is hit."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = PatternSet(broadcast.value, size)
+        patterns = _patterns(token, broadcast)
         for batch in batches:
-            spans_out, items_out, n_out = [], [], []
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            for text, spans0, items0 in zip(batch.column("text").to_pylist(), old_spans, old_items, strict=True):
+            spans_out, items_out, n_out, rows = [], [], [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 words = words_of(text or b"")
                 spans, items = patterns.find(words)
-                if spans0:
-                    spans = merge_spans(spans + [(x["first"], x["end"]) for x in spans0])
-                n_out.append(len(words))
-                spans_out.append([{"first": a, "end": b} for a, b in spans])
-                items_out.append(sorted(items.union(items0 or ())))
-            yield pa.record_batch(
-                {
-                    "id": batch.column("id"),
-                    "text": batch.column("text"),
-                    "n_words": pa.array(n_out, pa.int64()),
-                    "spans": pa.array(spans_out, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    "items": pa.array(items_out, pa.list_(pa.string())),
-                }
-            )
+                if every or spans:
+                    rows.append(i)
+                    n_out.append(len(words))
+                    spans_out.append([{"first": a, "end": b} for a, b in spans])
+                    items_out.append(_in_order(items))
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.record_batch({**{c: kept.column(c) for c in ("id", "h", "n")}, "n_words": pa.array(n_out, pa.int64()), "spans": pa.array(spans_out, _SPANS), "items": pa.array(items_out, pa.list_(pa.string()))})
 
     return search
 
 
-_STATE = "id long, text binary, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [[{"first": a, "end": b} for a, b in merge_spans([(x["first"], x["end"]) for x in some])] for some in batch.column("spans").to_pylist()]
+        items = [_in_order(set(some)) for some in batch.column("items").to_pylist()]
+        yield pa.record_batch({"doc_id": batch.column("id"), "n_words": batch.column("n_words"), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))})
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, n_words, spans, items`` for every row: the word spans inside any
     occurrence of a benchmark window, and the items whose windows occur.
 
-    Defined cases: null texts have no words; null item ids are named ``null``;
-    items without words match nothing; repeated rows and items are searched
-    like any other; either table may be empty; other columns are ignored.
+    ``block_bytes`` bounds the words of the distinct windows (each with all
+    its words) that one pass searches; a worker's tables take about eight
+    times that.
+
+    Defined cases: null texts have no words; an item without an id is named
+    null; items without words match nothing; repeated rows and items are
+    searched like any other; texts and items may be of any length; either
+    table may be empty; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where(F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary").alias("text")).where(F.col("text").isNotNull())
+    windows = materialize(items.mapInArrow(_item_windows(size), "window binary, item string").distinct(), "benchmark-windows")
+    total = windows.agg(F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, -(-total // block_bytes))
-    state = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<first: long, end: long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
+    passes = []
     for block in range(blocks):
-        part = [(r["item"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
-        state = state.mapInArrow(_search(spark.sparkContext.broadcast(part), size), _STATE)
-    return state.select(F.col("id").alias("doc_id"), "n_words", "spans", "items")
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).groupBy("window").agg(F.collect_list(F.struct("item")).alias("items"))
+        patterns = sorted((bytes(r["window"]), sorted((x["item"] for x in r["items"]), key=lambda x: (x is None, x or ""))) for r in part.collect())
+        passes.append(rows.mapInArrow(_search(uuid.uuid4().hex, spark.sparkContext.broadcast(patterns), not block), _STATE))
+    if blocks == 1:
+        return passes[0].select(F.col("id").alias("doc_id"), "n_words", "spans", "items")
+    # rows with one id and text have the same hits in every block
+    more = functools.reduce(DataFrame.unionAll, passes[1:]).select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("spans").alias("s2"), F.col("items").alias("i2"))
+    more = more.groupBy("id2", "h2", "n2").agg(F.flatten(F.collect_set("s2")).alias("s2"), F.flatten(F.collect_set("i2")).alias("i2"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & F.col("h").eqNullSafe(F.col("h2")) & F.col("n").eqNullSafe(F.col("n2"))
+    both = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.concat(a, b)).alias(a)
+    joined = passes[0].join(more, same, "left").select("id", "n_words", both("spans", "s2"), both("items", "i2"))
+    return joined.mapInArrow(_merged, "doc_id long, n_words long, spans array<struct<first: long, end: long>>, items array<string>")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest columns of ``find_contamination``; the item without an id goes by the name ``null``."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = found.withColumn("items", F.array_sort(F.transform("items", lambda x: F.coalesce(x, F.lit("null")))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
