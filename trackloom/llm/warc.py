@@ -54,11 +54,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from trackloom.llm.common import forget_at_exit, fresh_path, table
+from trackloom.llm.common import forget_at_exit, fresh_path, materialize, table
 
 SCHEMA = "record_id string, warc_type string, target_uri string, date string, refers_to string, header_digest string, payload_bytes long, content_length long, computed_digest string, payload binary"
 #: Columns that headers alone decide.
 HEADER_COLUMNS = ("record_id", "warc_type", "target_uri", "date", "refers_to", "header_digest", "content_length")
+#: Payloads with copies (32 bytes of hash and an id each) that are broadcast.
+SHARED = 200_000
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -139,10 +141,11 @@ class _Member:
         self.ready += self.inflate.decompress(data, max(want, 1))
         return True
 
-    def until(self, mark: bytes) -> bytes | None:
-        """Bytes up to and with ``mark``; they stay consumed."""
-        while (at := self.ready.find(mark)) < 0:
-            if not self._more(1024):
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """Bytes up to and with ``mark``, which are then consumed; None, and nothing
+        consumed, if it does not end within the next ``most`` bytes."""
+        while (at := self.ready.find(mark, 0, most)) < 0:
+            if most is not None and len(self.ready) >= most or not self._more(1024):
                 return None
         out, self.ready = self.ready[: at + len(mark)], self.ready[at + len(mark) :]
         return out
@@ -171,11 +174,12 @@ class _Plain:
     def __init__(self, file: io.BufferedReader) -> None:
         self.file, self.left = file, 0
 
-    def until(self, mark: bytes) -> bytes | None:
-        out = b""
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        start, out = self.file.tell(), b""
         while not out.endswith(mark):
-            line = self.file.readline()
+            line = self.file.readline(-1 if most is None else most - len(out))
             if not line:
+                self.file.seek(start)
                 return None
             out += line
         return out
@@ -192,11 +196,22 @@ class _Plain:
         self.file.seek(at if two else self.file.tell())
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
 def read_records(raw, wanted, payload: str) -> Iterator[dict]:
     """Records of an open file as rows of ``SCHEMA``.
 
     ``wanted`` judges the header columns; ``payload`` is ``full``, ``digest``
     (decoded and digested but not returned) or ``none``.
+
+    Defined cases: an empty file has no records; headers that the file's end
+    cuts off are no record, and a payload that it cuts off is as long as what
+    is there (where it is read); a block of type ``application/http`` without
+    a blank line is payload as a whole; a ``Content-Length`` that is no number
+    counts as 0; payloads may be of any length, and only those asked for are
+    held, one at a time.  Bytes that are no gzip where gzip began raise.
     """
     file = io.BufferedReader(raw, 1 << 18)
     while head := file.peek(2)[:2]:
@@ -205,7 +220,7 @@ def read_records(raw, wanted, payload: str) -> Iterator[dict]:
         if top is None:
             return
         h = parse_headers(top.lstrip(b"\r\n"))
-        length = int(h.get("content-length", 0))
+        length = _number(h.get("content-length")) or 0
         row = {
             "record_id": h.get("warc-record-id"), "warc_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"),
             "refers_to": h.get("warc-refers-to"), "header_digest": hex_of_base32(h.get("warc-payload-digest")), "content_length": length,
@@ -217,16 +232,17 @@ def read_records(raw, wanted, payload: str) -> Iterator[dict]:
             continue
         left = length
         if length and h.get("content-type", "").startswith("application/http"):
-            http = record.until(b"\r\n\r\n") or b""
+            http = record.until(b"\r\n\r\n", length) or b""
             left -= len(http)
-            stated = parse_headers(http).get("content-length")
-            row["payload_bytes"] = int(stated) if stated and row["warc_type"] == "revisit" else left
+            stated = _number(parse_headers(http).get("content-length"))
+            row["payload_bytes"] = stated if stated is not None and row["warc_type"] == "revisit" else left
         else:
             row["payload_bytes"] = left
         if payload == "none" or row["warc_type"] == "revisit":
             record.skip(left)
         else:
             body = record.read(left)
+            row["payload_bytes"] = len(body)
             row["computed_digest"] = hashlib.sha1(body).hexdigest()
             if payload == "full":
                 row["payload"] = body
@@ -410,13 +426,18 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Defined cases: a null payload is empty; a null url has no header; rows
     with a null id revisit the largest id of their payload, and are responses
-    if it has none; rows repeated under the largest id are responses all.
+    if it has none; rows repeated under the largest id are responses all; an
+    empty table gives no records; payloads may be of any length; other columns
+    are ignored.
     """
     raw = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), raw.alias("payload"))
-    keyed = lambda df: df.withColumn("n", F.octet_length("payload").cast("long")).withColumn("key", F.when(F.col("n") >= least, F.unhex(F.sha2("payload", 256))))
-    shared = keyed(rows).where("n >= " + str(least)).groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("copies")).where("copies > 1").select("key", "top")
-    joined = keyed(rows).join(shared, "key", "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), raw.alias("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    keyed = rows.where(F.col("n") >= least).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    shared = keyed.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("copies")).where("copies > 1").select("key", "top")
+    shared = materialize(shared, "warc-shared")
+    # a checked bound for the broadcast; more shared payloads are joined by key, and small ones pass by
+    few = shared.limit(SHARED + 1).count() <= SHARED
+    joined = keyed.join(F.broadcast(shared) if few else shared, "key", "left").drop("key").unionByName(rows.where(F.col("n") < least).withColumn("top", F.lit(None).cast("long")))
     revisit = F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     return joined.select(
