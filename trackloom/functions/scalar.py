@@ -66,6 +66,16 @@ def degenerate(points: list[Column], others: list[Column]) -> Column:
     return out
 
 
+def spread(points: list[Column]) -> Column:
+    """Width plus height of the bounding box of a few points."""
+    return sum((F.greatest(*(p[i] for p in points)) - F.least(*(p[i] for p in points)) for i in (0, 1)), F.lit(0.0))
+
+
+def too_dense(points: list[Column], others: list[Column], threshold: float) -> Column:
+    """Are the samples closer together than ``threshold`` in either image?"""
+    return F.least(spread(points), spread(others)) < threshold
+
+
 def transfer_error(x1: Column, y1: Column, x2: Column, y2: Column, h: Column, h_inv: Column) -> Column:
     """Symmetric squared transfer error of a correspondence."""
     ax, ay = homography_point(x1, y1, h)
@@ -103,9 +113,21 @@ def in_quad(px: Column, py: Column, v00: tuple, v01: tuple, v10: tuple, v11: tup
     return in_triangle(px, py, v00, v01, v11) | in_triangle(px, py, v00, v10, v11)
 
 
-def cell_of(x: Column, y: Column, cell_width: float, cell_height: float, cells: int) -> tuple[Column, Column]:
-    """1-based (row, col) of the mesh cell of a point, clamped to the mesh."""
-    at = lambda v, size: F.least(F.greatest(F.floor(v / size) + 1, F.lit(1)), F.lit(cells)).cast("int")
+def quad_bounds(v00: tuple, v01: tuple, v10: tuple, v11: tuple) -> tuple[Column, Column, Column, Column]:
+    """Least and greatest x, least and greatest y of a quad's corners."""
+    xs, ys = zip(v00, v01, v10, v11, strict=True)
+    return F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
+
+
+#: The four conventions in use at cell edges: what is taken off first, and whether a cell ends at its upper edge.
+CELL_CONVENTIONS = [(0.0, False), (0.001, False), (0.0, True), (0.0001, False)]
+
+
+def cell_of(x: Column, y: Column, cell_width: float, cell_height: float, cells: int, eps: float = 0.0, upper: bool = False) -> tuple[Column, Column]:
+    """1-based (row, col) of the mesh cell of a point, clamped to the mesh.  A point on an edge
+    belongs to the next cell, or with ``upper`` to the one that ends there; ``eps`` is taken off before."""
+    near = (lambda v, size: F.ceil((v - eps) / size)) if upper else (lambda v, size: F.floor((v - eps) / size) + 1)
+    at = lambda v, size: F.least(F.greatest(near(v, size), F.lit(1)), F.lit(cells)).cast("int")
     return at(y, cell_height), at(x, cell_width)
 
 
@@ -148,6 +170,38 @@ def inverse_rodrigues(m: Column) -> Column:
     return F.array(f * (m[7] - m[5]), f * (m[2] - m[6]), f * (m[3] - m[1]))
 
 
+def rodrigues_jacobian(v: Column) -> Column:
+    """Derivatives of :func:`rodrigues`: entry 3 i + k is that of matrix entry i along coordinate k."""
+    t2 = v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+    t = F.sqrt(t2)
+    s = F.when(t > 0, F.sin(t) / t).otherwise(1.0)
+    c = F.when(t > 0, (1 - F.cos(t)) / t2).otherwise(0.5)
+    # slopes of s and c along a coordinate, over that coordinate
+    ds = F.when(t > 0, (F.cos(t) - s) / t2).otherwise(-1 / 3)
+    dc = F.when(t > 0, (s - 2 * c) / t2).otherwise(-1 / 12)
+    out = []
+    for i in range(3):
+        for j in range(3):
+            axis = 3 - i - j
+            sign = 0 if i == j else (-1 if (j - i) % 3 == 1 else 1)
+            for k in range(3):
+                # the symmetric part c (v v' - t^2 I), then the skew part s [v]x
+                product = (v[j] if k == i else F.lit(0.0)) + (v[i] if k == j else F.lit(0.0))
+                term = dc * v[k] * v[i] * v[j] + c * product
+                if i == j:
+                    term = term - dc * v[k] * t2 - 2 * c * v[k]
+                else:
+                    term = term + sign * (ds * v[k] * v[axis] + (s if k == axis else F.lit(0.0)))
+                out.append(term)
+    return F.array(*out)
+
+
+def affine_jacobian(x: Column) -> Column:
+    """Derivatives (2 rows of 6, row-major) of :func:`affine` by the matrix's entries and the translation's."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return F.array(x[0], x[1], zero, zero, one, zero, zero, zero, x[0], x[1], zero, one)
+
+
 def affine(a: Column, t: Column, x: Column) -> Column:
     """A 2 x 2 matrix (row-major) and a translation applied to a point."""
     return F.array(a[0] * x[0] + a[1] * x[1] + t[0], a[2] * x[0] + a[3] * x[1] + t[1])

@@ -114,6 +114,29 @@ def mean_offset(paths: DataFrame) -> DataFrame:
     return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("offset"))
 
 
+#: The mesh cell, from the mesh's size, whose map places each corner (x, y as shares of the frame).
+CORNER_CELLS = [((0, 0), lambda m: (m, 1)), ((0, 1), lambda m: (1, 1)), ((1, 0), lambda m: (m, m)), ((1, 1), lambda m: (m, 1))]
+
+
+def aligned_offset(paths_a: DataFrame, paths_b: DataFrame, h: list[float], width: float, height: float, cells: int) -> list[float]:
+    """The common offset of two clips: the mean of P C^-1 of the first, set so that in the middle frame
+    the mean of both clips' corners falls on the first's.  Four cells of each clip reach the driver."""
+    import numpy as np
+
+    from trackloom.operators.geometry import apply, dlt
+
+    offset = np.array(mean_offset(paths_a).first()["offset"]).reshape(3, 3)
+    middle = max(1, (paths_a.agg(F.max("frame")).first()[0] or 1) // 2)
+    places = []
+    for paths, before in ((paths_a, np.eye(3)), (paths_b, np.array(h, float).reshape(3, 3))):
+        asked = with_motion(paths.where(F.col("frame") == middle).where(F.struct("row", "col").isin(*(F.struct(F.lit(r), F.lit(c)) for r, c in {cell(cells) for _, cell in CORNER_CELLS})))).select("row", "col", "__b").collect()
+        maps = {(r["row"], r["col"]): np.linalg.inv(offset) @ before @ np.array(r["__b"]).reshape(3, 3) for r in asked}
+        corner = lambda at: np.array([[1 + at[0] * (width - 1), 1 + at[1] * (height - 1)]])
+        places.append(np.concatenate([apply(maps[cell(cells)], corner(at)) for at, cell in CORNER_CELLS]))
+    a, b = places
+    return (dlt((a + b) / 2, a) @ np.linalg.inv(offset)).ravel().tolist()
+
+
 def stitched_points(points: DataFrame, valid: DataFrame, paths_a: DataFrame, paths_b: DataFrame, h: list[float], offset: list[float], width: float, height: float, cells: int, gap: float, head: int, tail: int) -> DataFrame:
     """``frame, k, ax, ay, bx, by`` for frames from head to tail: valid points on the padded
     canvas, -1 for the others (``valid`` has the frames and ks that are)."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.plans.stages import durable, small_side
+
 
 def bin_search(x: Column, edges: Sequence[float]) -> Column:
     """Index i with ``edges[i] <= x < edges[i + 1]``, counted from 1; 0 below the first edge,
@@ -76,10 +78,12 @@ def tree_histogram(df: DataFrame, path: list[str]) -> DataFrame:
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """``node, ancestor`` (the node itself included) of a parent table ``node, parent``;
-    a root has parent 0.  Pointer doubling: a round for each power of two of the depth."""
+    a root has parent 0.  Pointer doubling: a round for each power of two of the depth, each
+    written to the shared folder."""
     up = parents.select("node", F.when(F.col("parent") != 0, F.col("parent")).alias("jump"))
     closure = parents.select("node", F.col("node").alias("ancestor"))
     while not up.where("jump IS NOT NULL").isEmpty():
+        up, closure = durable(up), durable(closure)
         hop = up.select(F.col("node").alias("ancestor"), "jump")
         closure = closure.union(closure.join(hop, "ancestor").where("jump IS NOT NULL").select("node", F.col("jump").alias("ancestor"))).distinct()
         onward = up.select(F.col("node").alias("jump"), F.col("jump").alias("__next"))
@@ -132,14 +136,14 @@ def integral_histogram(pixels: DataFrame, label: str = "label") -> DataFrame:
 def sample_integral(integral: DataFrame, boxes: DataFrame, labels: list[str], value: str = "n") -> DataFrame:
     """Sums within boxes ``box, y0, x0, y1, x1`` (both ends inclusive) from four corners.
 
-    An empty box has sum 0.  ``boxes`` is a parameter table and is broadcast.
+    An empty box has sum 0.  ``boxes`` is a parameter table; it is broadcast if it is small.
     """
     corners = F.array(
         F.struct(F.col("y1").alias("y"), F.col("x1").alias("x"), F.lit(1).alias("sign")), F.struct((F.col("y0") - 1).alias("y"), F.col("x1").alias("x"), F.lit(-1).alias("sign")),
         F.struct(F.col("y1").alias("y"), (F.col("x0") - 1).alias("x"), F.lit(-1).alias("sign")), F.struct((F.col("y0") - 1).alias("y"), (F.col("x0") - 1).alias("x"), F.lit(1).alias("sign")),
     )
     wanted = boxes.where("y0 <= y1 AND x0 <= x1").select("box", F.explode(corners).alias("c")).select("box", "c.y", "c.x", "c.sign")
-    sums = integral.join(F.broadcast(wanted), ["y", "x"]).groupBy("box", *labels).agg(F.sum(F.col("sign") * F.col(value)).alias(value))
+    sums = integral.join(small_side(wanted), ["y", "x"]).groupBy("box", *labels).agg(F.sum(F.col("sign") * F.col(value)).alias(value))
     every = boxes.select("box")
     if labels:
         every = every.join(integral.select(*labels).distinct())

@@ -35,14 +35,19 @@ def plus_plus(df: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
     return chosen
 
 
-def kmeans(df: DataFrame, k: int, distance: str = "l2", init: str = "randsel", iterations: int = 20, min_change: float = 0.0, seed: int = 0, centres: list[list[float]] | None = None, integer: bool = False) -> tuple[list[list[float]], DataFrame, float]:
+def kmeans(df: DataFrame, k: int, distance: str = "l2", init: str = "randsel", iterations: int = 20, min_change: float = 0.0, seed: int = 0, centres: list[list[float]] | None = None, integer: bool = False, repetitions: int = 1) -> tuple[list[list[float]], DataFrame, float]:
     """Lloyd's algorithm on ``id, v``: centres, assignments ``id, centre, d`` and the energy.
 
+    Of several ``repetitions``, each from a start of its own, that of least energy is returned.
+
     A round is one grouped aggregation; only k centres reach the driver.  With
     ``l1`` a centre is the component-wise median.  Ties go to the lower
     centre; an empty cluster keeps its centre.  ``integer`` rounds centres
     down.  The ELKAN and ANN variants only change the speed of a round.
     """
+    if repetitions > 1 and not centres:
+        runs = (kmeans(df, k, distance, init, iterations, min_change, seed + r, None, integer) for r in range(repetitions))
+        return min(runs, key=lambda run: run[2])
     centres = centres or (plus_plus(df, k, seed) if init == "plusplus" else _centres(df, k, seed))
     energy = math.inf
     rows = df.where("v IS NOT NULL").select("id", "v")
@@ -119,6 +124,24 @@ def gmm(df: DataFrame, means: list[list[float]], iterations: int = 10, bound: fl
     return means, covs, priors, loglik
 
 
+def gmm_start(df: DataFrame, k: int, init: str = "rand", seed: int = 0) -> list[list[float]]:
+    """Means to begin with: ``rand``, k rows by a seeded hash; ``kmeans``, the centres of k-means from such rows."""
+    return kmeans(df, k, iterations=10, seed=seed)[0] if init == "kmeans" else _centres(df, k, seed)
+
+
+def fit_gmm(df: DataFrame, k: int, init: str = "rand", iterations: int = 10, repetitions: int = 1, bound: float = 1e-6, seed: int = 0) -> tuple[list[list[float]], list[list[float]], list[float], float]:
+    """:func:`gmm` from chosen starts (:func:`gmm_start`): of ``repetitions``, that of the highest likelihood."""
+    return max((gmm(df, gmm_start(df, k, init, seed + r), iterations, bound) for r in range(repetitions)), key=lambda run: run[3])
+
+
+def gmm_posteriors(df: DataFrame, means: list[list[float]], covs: list[list[float]], priors: list[float]) -> DataFrame:
+    """``id, q``: the posterior of every component for ``id, v``; null vectors have none."""
+    logs = F.array(*(_log_density(F.col("v"), m, c) + math.log(p) for m, c, p in zip(means, covs, priors, strict=True)))
+    scored = df.select("id", F.when(F.col("v").isNotNull(), logs).alias("l"))
+    scored = scored.withColumn("e", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
+    return scored.select("id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, t: s + t)).alias("q"))
+
+
 def _log_density(v, mean: list[float], cov: list[float]):
     """Log of a diagonal Gaussian."""
     const = -0.5 * (len(mean) * math.log(2 * math.pi) + sum(map(math.log, cov)))
@@ -213,7 +236,8 @@ def quick_shift(points: DataFrame, sigma: float, max_dist: float, image: list[st
 
     ``points`` are pixels ``y, x, f`` with a feature array; distance is over
     position and feature.  The neighbourhood is a square of offsets exploded
-    into an equi-join, so no pairs beyond it are made.  Equal densities are
+    into an equi-join, so no pairs beyond it are made.  Densities are rounded to
+    nine decimals, so that sums in another order tie alike, and equal ones are
     told apart by position.
     """
     image = image or []
@@ -224,7 +248,7 @@ def quick_shift(points: DataFrame, sigma: float, max_dist: float, image: list[st
     sent = sent.withColumn("y", F.col("y0") + F.col("dy")).withColumn("x", F.col("x0") + F.col("dx"))
     near = sent.join(p, [*image, "y", "x"]).select(*image, "y0", "x0", "y", "x", (F.col("dy") ** 2 + F.col("dx") ** 2 + pair_value("l2", F.col("f0"), F.col("f"))).alias("d2"))
     near = durable(near)
-    density = durable(near.groupBy(*image, F.col("y0").alias("y"), F.col("x0").alias("x")).agg(F.sum(F.exp(-F.col("d2") / (2 * sigma * sigma))).alias("density")))
+    density = durable(near.groupBy(*image, F.col("y0").alias("y"), F.col("x0").alias("x")).agg(F.round(F.sum(F.exp(-F.col("d2") / (2 * sigma * sigma))), 9).alias("density")))
     mine = density.select(*image, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("density").alias("own"))
     higher = near.join(density, [*image, "y", "x"]).join(mine, [*image, "y0", "x0"])
     up = (F.col("density") > F.col("own")) | ((F.col("density") == F.col("own")) & ((F.col("y") < F.col("y0")) | ((F.col("y") == F.col("y0")) & (F.col("x") < F.col("x0")))))

@@ -85,25 +85,43 @@ def best_segmentation(w: np.ndarray, trials: list[tuple], groups: int | None = N
     return found[int(np.bincount(votes, minlength=len(found)).argmax())][1]
 
 
-def misclassified(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of samples that differ under the best renaming of labels (exhaustive up to six
-    groups, greedy by the confusion table beyond)."""
+def best_agreement(table: np.ndarray) -> float:
+    """The most that one-to-one renaming makes agree in a confusion table (exhaustive up to six
+    groups, greedy beyond)."""
     from itertools import permutations
 
-    ka, kb = np.unique(a), np.unique(b)
-    table = np.array([[np.sum((a == i) & (b == j)) for j in kb] for i in ka])
     k = max(table.shape)
-    square = np.zeros((k, k), int)
+    square = np.zeros((k, k))
     square[: table.shape[0], : table.shape[1]] = table
     if k <= 6:
-        best = max(square[range(k), list(p)].sum() for p in permutations(range(k)))
-    else:
-        best, left = 0, square.astype(float)
-        for _ in range(k):
-            i, j = np.unravel_index(left.argmax(), left.shape)
-            best += square[i, j]
-            left[i, :] = left[:, j] = -1
-    return 1 - best / len(a)
+        return max(square[range(k), list(p)].sum() for p in permutations(range(k)))
+    best = 0.0
+    for _ in range(k):
+        i, j = np.unravel_index(square.argmax(), square.shape)
+        best += max(square[i, j], 0)
+        square[i, :] = square[:, j] = -1
+    return best
+
+
+def misclassified(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of samples that differ under the best renaming of labels (:func:`best_agreement`)."""
+    ka, kb = np.unique(a), np.unique(b)
+    return float(1 - best_agreement(np.array([[np.sum((a == i) & (b == j)) for j in kb] for i in ka])) / len(a))
+
+
+def compare_labels(df: DataFrame, a: str, b: str, most: int = 1000) -> DataFrame:
+    """``n, error`` in one row: :func:`misclassified` of two label columns.  Only the confusion table is
+    collected; more than ``most`` labels on a side are refused."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    rows = pairs.limit(most * most + 1).collect()
+    ka, kb = sorted({r["a"] for r in rows}), sorted({r["b"] for r in rows})
+    if max(len(ka), len(kb)) > most:
+        raise ValueError(f"more than {most} labels")
+    table = np.zeros((len(ka), len(kb)))
+    for r in rows:
+        table[ka.index(r["a"]), kb.index(r["b"])] = r["n"]
+    n = int(table.sum())
+    return df.sparkSession.createDataFrame([(n, float(1 - best_agreement(table) / n) if n else 0.0)], "n long, error double")
 
 
 def project(w: np.ndarray, dims: int | None = None) -> np.ndarray:
@@ -136,6 +154,39 @@ def repair(w: np.ndarray, known: np.ndarray, rounds: int = 50) -> np.ndarray:
     return out
 
 
+def repair_corrupted(w: np.ndarray, weight: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Every column replaced by the combination of the other columns that leaves the least L1 norm of
+    coefficients plus ``weight`` times that of what it does not explain, so gross errors in a few
+    entries go (iteratively reweighted least squares)."""
+    n, m = w.shape
+    out = w.copy()
+    for j in range(m):
+        base = np.delete(w, j, 1)
+        if not base.size:
+            continue
+        # coefficients and errors together: y = base c + e / weight'
+        a = np.hstack([base, np.eye(n) / weight])
+        z, size = np.zeros(a.shape[1]), np.ones(a.shape[1])
+        for _ in range(rounds):
+            aw = a * size
+            z = aw.T @ np.linalg.lstsq(aw @ a.T + 1e-12 * np.eye(n), w[:, j], rcond=None)[0]
+            size = np.abs(z) + 1e-6
+        out[:, j] = base @ z[: m - 1]
+    return out
+
+
+def process(w: np.ndarray, mode: str = "none", known: np.ndarray | None = None, dims: int | None = None, projected: bool = True) -> np.ndarray:
+    """A trajectory matrix made ready for segmentation: repaired as ``mode`` says (``none``, ``incomplete``
+    with a mask of ``known`` entries, ``corrupted``), then projected (:func:`project`)."""
+    if mode == "incomplete":
+        w = repair(w, known)
+    elif mode == "corrupted":
+        w = repair_corrupted(w)
+    elif mode != "none":
+        raise ValueError(f"mode: {mode}")
+    return project(w, dims) if projected else w
+
+
 def matrix_rank(w: np.ndarray, share: float = 0.05) -> int:
     """Singular values above ``share`` of the largest."""
     s = np.linalg.svd(w, compute_uv=False)

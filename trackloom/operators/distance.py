@@ -14,17 +14,80 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trackloom.functions.vectors import pair_value
+from trackloom.plans.stages import small_side
 
 QUERY_BLOCK, DATA_BLOCK = 1024, 8192
+#: Centres that are broadcast in one row.
+MOST_CENTRES = 10_000
+
+
+def _xlog(x: np.ndarray, over: np.ndarray) -> np.ndarray:
+    ok = (x > 0) & (over > 0)
+    return np.where(ok, x * np.log2(np.where(ok, x, 1) / np.where(ok, over, 1)), 0.0)
+
+
+def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    return np.where(bottom == 0, 0.0, top / np.where(bottom == 0, 1.0, bottom))
+
+
+#: The terms of ``functions.vectors`` on whole blocks; a distance is their sum.
+TERMS = {
+    "l2": lambda x, y: (x - y) ** 2, "l1": lambda x, y: np.abs(x - y), "l0": lambda x, y: (x != y).astype(float), "chi2": lambda x, y: _ratio((x - y) ** 2, x + y), "hell": lambda x, y: (np.sqrt(x) - np.sqrt(y)) ** 2,
+    "js": lambda x, y: _xlog(x, (x + y) / 2) + _xlog(y, (x + y) / 2), "kl2": lambda x, y: x * y, "kl1": np.minimum, "min": np.minimum, "kchi2": lambda x, y: _ratio(2 * x * y, x + y), "khell": lambda x, y: np.sqrt(x * y),
+    "kjs": lambda x, y: 0.5 * (_xlog_up(x, x + y) + _xlog_up(y, x + y)),
+}
+
+
+def _xlog_up(x: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    ok = (x > 0) & (whole > 0)
+    return np.where(ok, x * np.log2(np.where(ok, whole, 1) / np.where(ok, x, 1)), 0.0)
+
+
+def block_values(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The metric between all rows of two blocks; terms are added in their order, as expressions add them."""
+    a, b = x[:, None, :], y[None, :, :]
+    with np.errstate(invalid="ignore"):
+        return np.abs(a - b).max(-1, initial=0.0) if metric == "linf" else TERMS[metric](a, b).cumsum(-1)[..., -1]
+
+
+def _to_block(c: np.ndarray, kept: pa.Table, metrics: list[str], at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, dims = c.shape
+        rows = max(1, (1 << 20) // max(1, k * dims))
+        for batch in batches:
+            vectors = batch.column(at).to_pylist()
+            good = np.array([v is not None and len(v) == dims and None not in v for v in vectors], bool)
+            x = np.array([v if ok else [0.0] * dims for v, ok in zip(vectors, good, strict=True)], float).reshape(-1, dims)
+            for i in range(0, len(x), rows):
+                part, ok = x[i : i + rows], np.repeat(good[i : i + rows], k)
+                left = batch.take(pa.array(np.repeat(np.arange(i, i + len(part)), k)))
+                right = kept.take(pa.array(np.tile(np.arange(k), len(part))))
+                columns = [left.column(j) for j in range(batch.num_columns) if j != at] + [c.combine_chunks() for c in right.columns]
+                columns += [pa.array(block_values(m, part, c).ravel(), mask=~ok) for m in metrics]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
 
 def to_references(df: DataFrame, refs: DataFrame, metrics: list[str], vector: str = "v", ref_vector: str = "c") -> DataFrame:
-    """``df`` x ``refs`` with a column for each metric.  ``refs`` is the stated, small
-    side (centres, prototypes) and is left to the planner to broadcast."""
+    """``df`` x ``refs`` with a column for each metric.  ``refs`` is the stated, small side
+    (centres, prototypes): up to ``MOST_CENTRES`` whole vectors of one length go to the tasks,
+    which take whole blocks against them; more of them, or vectors with gaps, are joined.  A vector
+    that is null, has a null or another length has null values."""
+    rows = refs.limit(MOST_CENTRES + 1).collect()
+    lengths = {len(r[ref_vector]) if r[ref_vector] is not None and None not in r[ref_vector] else -1 for r in rows}
+    if len(rows) <= MOST_CENTRES and len(lengths) == 1 and min(lengths) > 0:
+        fields = [f for f in df.schema if f.name != vector] + [f for f in refs.schema if f.name != ref_vector]
+        kept = pa.table({f.name: pa.array([r[f.name] for r in rows], to_arrow_type(f.dataType)) for f in refs.schema if f.name != ref_vector})
+        schema = StructType([*fields, *(StructField(m, DoubleType()) for m in metrics)])
+        return df.mapInArrow(_to_block(np.array([r[ref_vector] for r in rows], float), kept, metrics, df.columns.index(vector), schema.names), schema)
     joined = df.crossJoin(refs)
-    return joined.select(*(c for c in df.columns if c != vector), *(c for c in refs.columns if c != ref_vector), *(pair_value(m, F.col(vector), F.col(ref_vector)).alias(m) for m in metrics))
+    whole = (F.size(vector) == F.size(ref_vector)) & ~F.exists(vector, lambda x: x.isNull()) & ~F.exists(ref_vector, lambda x: x.isNull())
+    return joined.select(*(c for c in df.columns if c != vector), *(c for c in refs.columns if c != ref_vector), *(F.when(whole, pair_value(m, F.col(vector), F.col(ref_vector))).alias(m) for m in metrics))
 
 
 def blocks(df: DataFrame, size: int, key: str = "id", vector: str = "v") -> DataFrame:
@@ -106,16 +169,25 @@ def nearest_centre(vector: Column, centres: list[tuple[int, list[float]]], metri
 
 
 def push_centres(df: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:
-    """``id, centre, d`` for ``id, v`` and a table of centres ``centre, c`` (the small side)."""
-    scored = to_references(df.select("id", "v"), centres.select("centre", "c"), [metric])
-    return scored.groupBy("id").agg(F.min(F.struct(F.col(metric).alias("d"), "centre")).alias("m")).select("id", "m.centre", "m.d")
+    """``id, centre, d`` for ``id, v`` and a table of centres ``centre, c`` (the small side, packed into
+    one row and broadcast if it has at most ``MOST_CENTRES``).  The minimum is taken where the row is,
+    so nothing is shuffled and repeated ids stay apart; ties go to the lower centre."""
+    few = centres.limit(MOST_CENTRES + 1).count() <= MOST_CENTRES
+    if not few:
+        rows = df.select("id", "v").withColumn("__r", F.monotonically_increasing_id())
+        scored = to_references(rows, centres.select("centre", "c"), [metric])
+        return scored.groupBy("__r").agg(F.first("id").alias("id"), F.min(F.struct(F.col(metric).alias("d"), "centre")).alias("m")).select("id", "m.centre", "m.d")
+    packed = centres.agg(F.array_sort(F.collect_list(F.struct("centre", "c"))).alias("__c")).where(F.size("__c") > 0)
+    best = F.array_min(F.transform("__c", lambda r: F.struct(pair_value(metric, F.col("v"), r["c"]).alias("d"), r["centre"].alias("centre"))))
+    return df.select("id", "v").crossJoin(F.broadcast(packed)).select("id", best.alias("m")).select("id", "m.centre", "m.d")
 
 
 def push_tree(df: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
     """``id, path``: nearest centres from root to leaf of a tree ``node, parent, c`` (root's parent 0)."""
     at = df.select("id", "v", F.lit(0).alias("parent"), F.array().cast("array<int>").alias("path"))
+    side = small_side(tree)
     for _ in range(depth):
-        scored = at.join(F.broadcast(tree), "parent").select("id", "v", "path", "node", pair_value("l2", F.col("v"), F.col("c")).alias("d"))
+        scored = at.join(side, "parent").select("id", "v", "path", "node", pair_value("l2", F.col("v"), F.col("c")).alias("d"))
         best = scored.groupBy("id").agg(F.min(F.struct("d", "node")).alias("m"), F.first("v").alias("v"), F.first("path").alias("path"))
         at = best.select("id", "v", F.col("m.node").alias("parent"), F.concat("path", F.array(F.col("m.node"))).alias("path"))
     return at.select("id", "path")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.scalar import cell_of
+
 CONFIDENCE, MOST_TRIALS, MOST_DRAWS = 0.99, 1000, 100
 
 
@@ -136,23 +138,50 @@ def group_seed(*key) -> int:
     return zlib.crc32(repr(key).encode())
 
 
-def fit_homographies(matches: DataFrame, keys: list[str], t: float = 0.005) -> DataFrame:
-    """``keys, h, n, inliers`` for matches ``xa, ya, xb, yb`` of every group; h is null where none fits."""
+def fit_homographies(matches: DataFrame, keys: list[str], t: float = 0.005, cells: str | None = None) -> DataFrame:
+    """``keys, h, n, inliers`` for matches ``xa, ya, xb, yb`` of every group; h is null where none fits.
+    With a column ``cells`` samples and scores go by cells (:func:`ransac_homography_cells`)."""
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["xa", "ya", "xb", "yb"]).sort_values(["xa", "ya", "xb", "yb"])
-        h, inliers = ransac_homography(pdf[["xa", "ya"]].to_numpy(float), pdf[["xb", "yb"]].to_numpy(float), t, group_seed(*map(str, key)))
+        a, b, seed = pdf[["xa", "ya"]].to_numpy(float), pdf[["xb", "yb"]].to_numpy(float), group_seed(*map(str, key))
+        h, inliers = ransac_homography_cells(a, b, t, pdf[cells].to_numpy(), seed) if cells else ransac_homography(a, b, t, seed)
         return pd.DataFrame([(*key, None if h is None else h.ravel().tolist(), len(pdf), int(inliers.sum()))], columns=[*keys, "h", "n", "inliers"])
 
     return matches.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", h array<double>, n long, inliers long")
 
 
+def residual_filter(points: DataFrame, width: float, height: float, most: float = 1000.0) -> DataFrame:
+    """Pre-warped points ``xa, ya`` in the frame whose squared distance to ``xb, yb`` is below ``most``."""
+    near = (F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2 < most
+    return points.where(near & (F.col("xa") > 0) & (F.col("ya") > 0) & (F.col("xa") < width) & (F.col("ya") < height))
+
+
+def quad_smoothness(points: DataFrame, x: str, y: str, width: float, height: float, cells: int, smooth: float = 1.0) -> DataFrame:
+    """``row, col, n, weight`` of every quad of a mesh: its points, and its smoothness, which falls with
+    them within [0.2, 5] times ``smooth``."""
+    row, col = cell_of(F.col(x) - 0.001, F.col(y) - 0.001, width / cells, height / cells, cells)
+    counts = points.groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").alias("n"))
+    mesh = points.sparkSession.range(cells * cells).select((F.floor(F.col("id") / cells) + 1).cast("int").alias("row"), (F.col("id") % cells + 1).cast("int").alias("col"))
+    total = points.agg(F.count("*").alias("__total"))
+    every = mesh.join(counts, ["row", "col"], "left").na.fill(0, ["n"]).crossJoin(F.broadcast(total))
+    share = F.when(F.col("n") == 0, 5.0).otherwise(F.least(F.lit(5.0), F.greatest(F.lit(0.2), F.col("__total") / cells**2 / F.col("n"))))
+    return every.select("row", "col", "n", (smooth * share).alias("weight"))
+
+
 def mesh_vertices(width: float, height: float, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Vertex coordinates of a ``cells`` x ``cells`` mesh, from 1 to the image's size."""
     return np.linspace(1, width, cells + 1), np.linspace(1, height, cells + 1)
 
 
+def mesh_grid(spark, width: float, height: float, cells: int) -> DataFrame:
+    """``i, j, x, y``: the vertices of :func:`mesh_vertices` as rows."""
+    place = lambda c, size: (1 + F.col(c) * ((size - 1) / cells))
+    rows = spark.range((cells + 1) ** 2).select(F.floor(F.col("id") / (cells + 1)).cast("int").alias("i"), (F.col("id") % (cells + 1)).cast("int").alias("j"))
+    return rows.select("i", "j", place("j", width).alias("x"), place("i", height).alias("y"))
+
+
 #: The two corners that, with a quad's corner, make each of its eight triangles: (corner, (second, third)).
 TRIANGLES = [((0, 0), ((1, 0), (1, 1))), ((0, 0), ((0, 1), (1, 1))), ((0, 1), ((0, 0), (1, 0))), ((0, 1), ((1, 1), (1, 0))), ((1, 0), ((0, 0), (0, 1))), ((1, 0), ((1, 1), (0, 1))), ((1, 1), ((1, 0), (0, 0))), ((1, 1), ((0, 1), (0, 0)))]
 
@@ -299,3 +328,27 @@ def derivative(f: Callable, x: np.ndarray, step: float = 1e-5) -> np.ndarray:
     """Central finite differences of ``f`` at ``x``: a column for each variable."""
     x = np.asarray(x, float)
     return np.stack([(np.asarray(f(x + d)) - np.asarray(f(x - d))) / (2 * step) for d in np.eye(len(x)) * step], axis=-1)
+
+
+def second_derivative(f: Callable, x: np.ndarray, step: float = 1e-4) -> np.ndarray:
+    """Finite second differences of a scalar ``f`` at ``x``: the matrix of second derivatives."""
+    x = np.asarray(x, float)
+    e = np.eye(len(x)) * step
+    out = [[(f(x + a + b) - f(x + a - b) - f(x - a + b) + f(x - a - b)) / (4 * step * step) for b in e] for a in e]
+    return np.array(out)
+
+
+def triplets(*parts: DataFrame) -> DataFrame:
+    """``i, j, v``: a sparse matrix from parts of ``i, j, v``, what falls on one place added up."""
+    every = parts[0].select("i", "j", "v")
+    for p in parts[1:]:
+        every = every.unionByName(p.select("i", "j", "v"))
+    return every.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def stitch_state(spark, n_frames: int, width: float, height: float, cells: int) -> DataFrame:
+    """The state that path optimisation begins with, a row for each frame and cell: ``frame, row, col``,
+    the cell's ``left, top, quad_width, quad_height``, and identities ``p`` and ``c``."""
+    eye = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
+    at = spark.range(n_frames * cells * cells).select((F.floor(F.col("id") / cells**2) + 1).cast("int").alias("frame"), (F.floor(F.col("id") / cells) % cells + 1).cast("int").alias("row"), (F.col("id") % cells + 1).cast("int").alias("col"))
+    return at.select("frame", "row", "col", ((F.col("col") - 1) * (width / cells)).alias("left"), ((F.col("row") - 1) * (height / cells)).alias("top"), F.lit(width / cells).alias("quad_width"), F.lit(height / cells).alias("quad_height"), eye.alias("p"), eye.alias("c"))

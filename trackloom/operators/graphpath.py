@@ -9,7 +9,7 @@ A dynamic program runs over the windows; each step is one equi-join and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.plans.stages import durable
@@ -62,6 +62,18 @@ def coupled_paths(edges_a: DataFrame, edges_b: DataFrame, links: DataFrame, n_wi
     return out.select("k", "s", "t", "dist", "path_a", "path_b")
 
 
+def every_path(edges_a: DataFrame, edges_b: DataFrame, links: DataFrame, n_windows: int) -> DataFrame:
+    """``dist, path_a, path_b`` of every pair of whole paths: the number is exponential in the windows, so
+    this is for holding :func:`coupled_paths` to it on few."""
+    out = links.where("k = 0").select("s", "t", F.col("w").alias("dist"), F.array("s").alias("path_a"), F.array("t").alias("path_b"))
+    for k in range(1, n_windows):
+        a = edges_a.where(F.col("k") == k - 1).select("s", F.col("t").alias("s2"), F.col("w").alias("wa"))
+        b = edges_b.where(F.col("k") == k - 1).select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("w").alias("wb"))
+        link = links.where(F.col("k") == k).select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("w").alias("l"))
+        out = out.join(a, "s").join(b, "t").join(link, ["s2", "t2"]).select(F.col("s2").alias("s"), F.col("t2").alias("t"), (F.col("dist") + F.col("wa") + F.col("wb") + F.col("l")).alias("dist"), F.concat("path_a", F.array("s2")).alias("path_a"), F.concat("path_b", F.array("t2")).alias("path_b"))
+    return out.select("dist", "path_a", "path_b")
+
+
 def best_path(paths: DataFrame, last: int) -> DataFrame:
     """The cheapest row of window ``last``."""
     cost = [c for c in ("dist", "path", "path_a", "path_b") if c in paths.columns]
@@ -109,11 +121,30 @@ def without_nodes(edges: DataFrame, ignored: DataFrame) -> DataFrame:
     return edges.join(ignored, ["k", "s"], "left_anti").join(ends, ["k", "t"], "left_anti")
 
 
-def node_index(video: int, window: int, label: int, n_labels: int, n_windows: int) -> int:
-    """0-based (video, window, label) as a 1-based node number, and back with :func:`node_parts`."""
+def set_edges(edges: DataFrame, changes: DataFrame, symmetric: bool = False) -> DataFrame:
+    """``edges`` with the weights of ``changes`` (``k, s, t, w``), new edges added; ``symmetric`` sets both directions."""
+    if symmetric:
+        changes = changes.select("k", "s", "t", "w").unionByName(changes.select("k", F.col("t").alias("s"), F.col("s").alias("t"), "w"))
+    return edges.select("k", "s", "t", "w").join(changes, ["k", "s", "t"], "left_anti").unionByName(changes.select("k", "s", "t", "w"))
+
+
+def get_edges(edges: DataFrame, asked: DataFrame, far: float) -> DataFrame:
+    """The weight of every asked edge ``k, s, t``; ``far`` where there is none."""
+    return asked.join(edges.select("k", "s", "t", "w"), ["k", "s", "t"], "left").na.fill(far, ["w"])
+
+
+def node_index(video, window, label, n_labels: int, n_windows: int):
+    """0-based (video, window, label), numbers or columns, as a 1-based node number; back with
+    :func:`node_parts` or :func:`node_columns`."""
     return (video * n_windows + window) * n_labels + label + 1
 
 
 def node_parts(index: int, n_labels: int, n_windows: int) -> tuple[int, int, int]:
     window, label = divmod(index - 1, n_labels)
     return window // n_windows, window % n_windows, label
+
+
+def node_columns(index: Column, n_labels: int, n_windows: int) -> tuple[Column, Column, Column]:
+    """The 0-based video, window and label of a node number."""
+    at = index - 1
+    return F.floor(at / (n_labels * n_windows)), F.floor(at / n_labels) % n_windows, at % n_labels

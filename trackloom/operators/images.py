@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +62,27 @@ def cross_fade(a: DataFrame, b: DataFrame, alpha: float, middle: float, value: s
     return both.select("y", "x", ((1 - share) * F.col("__a") + share * F.col("__b")).alias(value))
 
 
-def backward_warp(pixels: DataFrame, targets: DataFrame) -> DataFrame:
-    """Bilinear samples of ``pixels`` at ``targets`` (``y, x, wy, wx``); NaN where a corner is missing."""
+def _cubic(d: Column) -> Column:
+    """The cubic convolution kernel with slope -1/2."""
+    d = F.abs(d)
+    return F.when(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1).when(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2).otherwise(0.0)
+
+
+def backward_warp(pixels: DataFrame, targets: DataFrame, kernel: str = "linear", slopes: bool = False) -> DataFrame:
+    """Samples of ``pixels`` at ``targets`` (``y, x, wy, wx``), bilinear or by cubic convolution; NaN where a
+    pixel that counts is missing.  With ``slopes`` (bilinear only) also the derivatives ``vy, vx`` by
+    the place sampled; all four pixels count then."""
     y0, x0 = F.floor("wy").cast("int"), F.floor("wx").cast("int")
-    fy, fx = F.col("wy") - y0, F.col("wx") - x0
-    corners = F.array(*(F.struct((y0 + i).alias("y"), (x0 + j).alias("x"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    wanted = targets.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.explode(corners).alias("c")).select("ty", "tx", "c.y", "c.x", "c.w").where("w > 0")
-    joined = wanted.join(pixels, ["y", "x"], "left").groupBy("ty", "tx").agg(F.sum(F.col("w") * F.col("v")).alias("v"), F.count("v").alias("got"), F.count("*").alias("all"))
-    return joined.select(F.col("ty").alias("y"), F.col("tx").alias("x"), F.when(F.col("got") == F.col("all"), F.col("v")).otherwise(float("nan")).alias("v"))
+    fy, fx, i, j = F.col("wy") - y0, F.col("wx") - x0, F.col("i"), F.col("j")
+    steps = F.array(*map(F.lit, (-1, 0, 1, 2) if kernel == "cubic" else (0, 1)))
+    each = targets.select(F.col("y").alias("ty"), F.col("x").alias("tx"), "wy", "wx", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    side = (lambda f, k: _cubic(f - k)) if kernel == "cubic" else (lambda f, k: F.when(k == 1, f).otherwise(1 - f))
+    wanted = each.select("ty", "tx", (y0 + i).alias("y"), (x0 + j).alias("x"), side(fy, i).alias("__a"), side(fx, j).alias("__b"), (2 * i - 1).alias("__i"), (2 * j - 1).alias("__j"))
+    wanted = wanted.select("ty", "tx", "y", "x", (F.col("__a") * F.col("__b")).alias("w"), (F.col("__i") * F.col("__b")).alias("a"), (F.col("__j") * F.col("__a")).alias("b"))
+    wanted = wanted if slopes else wanted.where("w != 0")
+    sums = {"v": "w"} | ({"vy": "a", "vx": "b"} if slopes else {})
+    joined = wanted.join(pixels.select("y", "x", F.col("v").alias("__v")), ["y", "x"], "left").groupBy("ty", "tx").agg(F.count("__v").alias("got"), F.count("*").alias("all"), *(F.sum(F.col(w) * F.col("__v")).alias(n) for n, w in sums.items()))
+    return joined.select(F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(F.col("got") == F.col("all"), F.col(n)).otherwise(float("nan")).alias(n) for n in sums))
 
 
 def distance_transform(pixels: DataFrame, a: float = 1.0, b: float = 0.0, c: float = 1.0, d: float = 0.0, reach: int | None = None) -> DataFrame:
@@ -144,6 +159,48 @@ def drop_dark(points: DataFrame, pixels: DataFrame, sigma: float = 50.0, share:
     return points.join(bad, (F.round("y").cast("int") == F.col("__y")) & (F.round("x").cast("int") == F.col("__x")), "left_anti")
 
 
+def by_raster(pixels: DataFrame, image: list[str], kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """``image`` columns and the rows of ``schema`` that ``kernel`` makes of every image (``image, y, x, v``,
+    dense).  An image is one group, so images are spread and one must fit a task."""
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        raster = np.zeros((h, w))
+        raster[pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = pdf["v"].to_numpy(float)
+        out = pd.DataFrame(kernel(raster), columns=names)
+        for c, v in reversed(list(zip(image, key, strict=True))):
+            out.insert(0, c, v)
+        return out
+
+    return pixels.select(*image, "y", "x", "v").groupBy(*image).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in image), schema]))
+
+
+def _pixels(values: np.ndarray) -> list[tuple]:
+    return [(y, x, values[y, x]) for y in range(values.shape[0]) for x in range(values.shape[1])]
+
+
+def whitened(pixels: DataFrame, image: list[str], alpha: float = 1.0, cut: float = 0.8) -> DataFrame:
+    """``image, y, x, v`` of every image, its spectrum flattened (:func:`whiten`)."""
+    return by_raster(pixels, image, lambda r: _pixels(whiten(r, alpha, cut)), "y int, x int, v double")
+
+
+def superpixel_labels(pixels: DataFrame, image: list[str], size: int, regularizer: float = 0.1, least: int = 0) -> DataFrame:
+    """``image, y, x, label`` of every image (:func:`superpixels`)."""
+    return by_raster(pixels, image, lambda r: _pixels(superpixels(r, size, regularizer, least=least)), "y int, x int, label int")
+
+
+def filled_regions(pixels: DataFrame, image: list[str], seed: tuple[int, int]) -> DataFrame:
+    """``image, y, x``: the extremal region of one seed in every image (:func:`fill_region`)."""
+    return by_raster(pixels, image, lambda r: [(int(y), int(x)) for y, x in zip(*np.nonzero(fill_region(r, seed)), strict=True)], "y int, x int")
+
+
+def region_table(pixels: DataFrame, image: list[str], **options) -> DataFrame:
+    """``image, y, x, level, area``: the seeds of every image's stable regions (:func:`stable_regions`)."""
+    return by_raster(pixels, image, lambda r: [(*divmod(int(seed), r.shape[1]), int(level), int(area)) for seed, level, area in stable_regions(r, **options)], "y int, x int, level int, area int")
+
+
 # Whole rasters, for use in one group's function.
 
 

@@ -28,7 +28,7 @@ def subset(df: DataFrame, n: float, mode: str, pos: str = "pos", keys: list[str]
         i = F.round((F.col("rank") - (1 if n > 1 else total)) / step).cast("long") if step else F.lit(0)
         return ranked.where((near(i) == F.col("rank")) & (i >= 0) & (i < n)).drop("rank")
     order = {
-        "beginning": [F.col(pos)], "ending": [F.col(pos)], "random": [F.xxhash64(F.lit(seed), pos), F.col(pos)],
+        "beginning": [F.col(pos)], "ending": [F.col(pos)], "random": [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(pos).cast("string"))), F.col(pos)],
         "smallest": [*(F.col(k) for k in keys or []), F.col(pos)], "largest": [*(F.col(k) for k in keys or []), F.col(pos)],
     }[mode]
     ranked = running_sums(df, order, {})

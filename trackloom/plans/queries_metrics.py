@@ -125,6 +125,7 @@ ORACLE_SQL = {
         WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS m FROM customer)
         SELECT c_custkey, c_acctbal FROM c WHERE r IN (SELECT floor(1 + i * (m - 1) / 36 + 0.5) FROM range(37) t(i))""",
     "subset_largest": "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 20",
+    "subset_random": "SELECT c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (ORDER BY md5('0:' || c_custkey), c_custkey) <= round(0.05 * count(*) OVER ())",
     "subset_smallest": "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20",
     "natural_order": "SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(c_name, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), '') AS key FROM customer",
     "cap_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) <= 3",

@@ -177,7 +177,16 @@ def good_labels(spark, sf_dir):
     return G.good_labels(through, edges, best, 1.5, 0.0)
 
 
+def every_path(spark, sf_dir):
+    """The cheapest of all pairs of paths through three windows, found by writing them all out."""
+    edges, links = _layered(spark, sf_dir)
+    a, b = (edges.where(f"video = {v}").drop("video") for v in (0, 1))
+    every = G.every_path(a, b, links, 3)
+    return every.agg(F.count("*").alias("n"), F.round(F.min("dist"), 8).alias("dist"))
+
+
 QUERIES = {
+    "every_path": every_path,
     "track_lifespans": lifespans, "track_trim": trimmed, "track_alive": alive_counts, "track_windows": window_members, "frame_windows": frame_windows, "track_steps": steps,
     "label_co_membership": co_membership, "background_verdict": background, "relabel_small_groups": relabelled, "robust_filter": robust, "in_frame": in_frame, "repeats_dropped": repeats_dropped,
     "band_smooth": band_smooth, "band_affinity": band_affinity, "local_maxima_1d": local_maxima_1d, "mesh_votes": mesh_votes, "projected_points": projected, "normalised_points": normalised,
@@ -267,5 +276,15 @@ ORACLE_SQL = {
     "paths_through_node": f"WITH {_LAYERED}, {_unrolled(True, 'p')}, {_unrolled(False, 'b')} SELECT k, s, round(p.dist + b.dist, 8) AS dist FROM p JOIN b USING (k, s)",
     "coupled_paths": f"WITH {_LAYERED}, {_unrolled_coupled()} " + " UNION ALL ".join(f"SELECT {k} AS k, s, t, round(dist, 8) AS dist FROM q{k}" for k in range(LAYERS)),
     "best_coupled_path": f"WITH {_LAYERED}, {_unrolled_coupled()} SELECT round(dist, 8) AS dist, array_to_string(pa, ',') AS path_a, array_to_string(pb, ',') AS path_b FROM q{LAYERS - 1} ORDER BY q{LAYERS - 1}.dist, pa, pb LIMIT 1",
+    "good_labels": f"""
+        WITH {_LAYERED}, {_unrolled(True, 'p')}, {_unrolled(False, 'b')}, th AS (SELECT k, s, p.dist + b.dist AS dist FROM p JOIN b USING (k, s)),
+        ch AS (SELECT k, s FROM th WHERE dist < 1.5::DOUBLE * (SELECT min(dist) FROM th)),
+        fw AS (SELECT k, s, t FROM edges WHERE video = 0 QUALIFY row_number() OVER (PARTITION BY k, s ORDER BY w, t) = 1),
+        bw AS (SELECT k + 1 AS k, t AS s, s AS p FROM edges WHERE video = 0 QUALIFY row_number() OVER (PARTITION BY k, t ORDER BY w, s) = 1)
+        SELECT k, s FROM ch UNION SELECT fw.k + 1, fw.t FROM fw JOIN ch USING (k, s) UNION SELECT bw.k - 1, bw.p FROM bw JOIN ch USING (k, s)""",
+    "every_path": f"""
+        WITH {_LAYERED} SELECT count(*) AS n, round(min(l0.w + a0.w + b0.w + l1.w + a1.w + b1.w + l2.w), 8) AS dist FROM links l0
+        JOIN edges a0 ON a0.video = 0 AND a0.k = 0 AND a0.s = l0.s JOIN edges b0 ON b0.video = 1 AND b0.k = 0 AND b0.s = l0.t JOIN links l1 ON l1.k = 1 AND l1.s = a0.t AND l1.t = b0.t
+        JOIN edges a1 ON a1.video = 0 AND a1.k = 1 AND a1.s = l1.s JOIN edges b1 ON b1.video = 1 AND b1.k = 1 AND b1.s = l1.t JOIN links l2 ON l2.k = 2 AND l2.s = a1.t AND l2.t = b1.t WHERE l0.k = 0""",
     "nearest_label": f"WITH {_LAYERED} SELECT k, s, t, round(w, 8) AS w FROM edges WHERE video = 0 QUALIFY row_number() OVER (PARTITION BY k, s ORDER BY w, t) = 1",
 }

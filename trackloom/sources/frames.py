@@ -43,6 +43,16 @@ def read_gray(spark: SparkSession, path: str) -> DataFrame:
     return img.select("origin", "height", "width", "nChannels", "data").mapInArrow(unpack, "path string, y int, x int, v double")
 
 
+def bitmap(rows: list[list[tuple[int, int, int]]]) -> bytes:
+    """A 24-bit bitmap file of rows of (red, green, blue)."""
+    import struct
+
+    height, width = len(rows), len(rows[0])
+    pad = b"\0" * (-3 * width % 4)
+    body = b"".join(b"".join(bytes((b, g, r)) for r, g, b in row) + pad for row in reversed(rows))
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
 def write_frames(frames: DataFrame, path: str, name: str = "%d.jpg", index: str = "frame_idx", content: str = "content") -> DataFrame:
     """Write each row's bytes to a file named by its index, and list what was written.
 
@@ -91,6 +101,24 @@ def read_keypoints(spark: SparkSession, path: str, form: str = "ubc") -> DataFra
     return cut.select("path", "k", F.array(r[1] + 1, r[0] + 1, r[2], -r[3]).alias("frame"), raw.alias("d")).select("path", "k", "frame", turned.alias("descriptor"))
 
 
+def read_sequence(spark: SparkSession, path: str, normalise: bool = False, masked: bool = False) -> DataFrame:
+    """``track_id, frame, x, y, label`` of a labelled motion sequence kept as Parquet, with ``seen`` if ``masked``.
+
+    ``normalise`` brings coordinates between -1 and 1 by the sequence's own extent.
+    Asking for the mask of a sequence without a column ``seen`` raises.
+    """
+    rows = spark.read.parquet(path)
+    if masked and "seen" not in rows.columns:
+        raise ValueError(f"no mask for {path}")
+    out = rows.select("track_id", "frame", "x", "y", "label", *(["seen"] if masked else []))
+    if not normalise:
+        return out
+    ends = out.agg(*(f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    both = out.crossJoin(F.broadcast(ends))
+    at = lambda c: F.when(F.col(f"__hi{c}") > F.col(f"__lo{c}"), 2 * (F.col(c) - F.col(f"__lo{c}")) / (F.col(f"__hi{c}") - F.col(f"__lo{c}")) - 1).otherwise(0.0)
+    return both.withColumns({"x": at("x"), "y": at("y")}).select(*out.columns)
+
+
 def pattern(spark: SparkSession, kind: str, height: int, width: int) -> DataFrame:
     """``y, x, v``: a synthetic image, made from a range: step, ramp, checker, disc or stripes."""
     grid = spark.range(height * width).select((F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))

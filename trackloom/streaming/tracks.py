@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def track_lifecycle(points: DataFrame, max_age: int = 100, gap: int = 1) -> DataFrame:
+def track_lifecycle(points: DataFrame, max_age: int = 100, gap: int = 1, ts: str | None = None, late: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
     """``track_id, head, tail, len`` of every track that ends, for a stream ``track_id, frame``.
 
     A track is begun by its first point, goes on while frames follow within
     ``gap``, and retires at ``max_age`` frames or when its next point comes later
-    than that.  Its state is three integers, however long it lives.  Points of
-    one micro-batch may come in any order.
+    than that.  With an event time ``ts`` (rows later than ``late`` are dropped) it
+    also ends once the watermark is ``idle_ms`` past its last point, and its
+    state goes; without one a track that just stops stays open.  Its state is
+    three integers, however long it lives.  Points of one micro-batch may come
+    in any order.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = sorted(f for pdf in batches for f in pdf["frame"] if pd.notna(f))
-        head, tail = state.get if state.exists else (None, None)
+        head, tail, last = state.get if state.exists else (None, None, 0)
         ended = []
-        for f in map(int, frames):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], head, tail, tail - head + 1)], columns=["track_id", "head", "tail", "len"])
+            return
+        rows = sorted((int(f), int(m)) for pdf in batches for f, m in zip(pdf["frame"], pdf["ms"], strict=True) if pd.notna(f))
+        for f, ms in rows:
+            last = max(last or 0, ms)
             if head is None:
                 head = tail = f
             elif f <= tail:
@@ -40,11 +48,18 @@ def track_lifecycle(points: DataFrame, max_age: int = 100, gap: int = 1) -> Data
             if state.exists:
                 state.remove()
         else:
-            state.update((head, tail))
+            state.update((head, tail, last))
+            if ts:
+                state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         if ended:
             yield pd.DataFrame([(key[0], a, b, b - a + 1) for a, b in ended], columns=["track_id", "head", "tail", "len"])
 
-    return points.groupBy("track_id").applyInPandasWithState(step, "track_id long, head long, tail long, len long", "head long, tail long", "append", GroupStateTimeout.NoTimeout)
+    if ts:
+        timed = points.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+        rows, timeout = timed.select("track_id", "frame", F.unix_millis("__ts").alias("ms"), "__ts"), GroupStateTimeout.EventTimeTimeout
+    else:
+        rows, timeout = points.select("track_id", "frame", F.lit(0).cast("long").alias("ms")), GroupStateTimeout.NoTimeout
+    return rows.groupBy("track_id").applyInPandasWithState(step, "track_id long, head long, tail long, len long", "head long, tail long, last long", "append", timeout)
 
 
 def sliding_counts(events: DataFrame, size: str = "40 seconds", hop: str = "20 seconds", late: str = "1 minute", key: str = "event_type") -> DataFrame:
@@ -74,3 +89,77 @@ def carry_masks(frames: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["clip", "frame", "cells"])
 
     return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, cells array<int>", "cells array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
+def carry_seams(frames: DataFrame, stable: float = 5.0) -> DataFrame:
+    """``clip, frame, mask``: the seam cut of a stream of overlapping frame pairs; 1 where the pixel comes from ``b``.
+
+    ``frames`` are ``clip, frame, height, width, a, b, cover_a, cover_b`` (binary: three
+    bytes a pixel, and one).  Frames of a clip come in order.  Each step cuts two
+    frames, the first bound to the mask that the step before left it, so a clip
+    is one key whose state is one frame and its mask.  The first frame is
+    answered with the second.
+    """
+    import numpy as np
+
+    from trackloom.operators.flow import seam
+
+    def unpack(h: int, w: int, raw: tuple) -> list:
+        a, b = (np.frombuffer(x, np.uint8).reshape(h, w, 3) for x in raw[:2])
+        return [a, b, np.zeros((h, w)), np.zeros((h, w)), *(np.frombuffer(x, np.uint8).reshape(h, w).astype(bool) for x in raw[2:])]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, h, w, *held = state.get if state.exists else (None,) * 8
+        mask = held.pop() if state.exists else None
+        out = []
+        for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.frame):
+            now = (bytes(r.a), bytes(r.b), bytes(r.cover_a), bytes(r.cover_b))
+            if at is not None:
+                pair = [np.stack(x) for x in zip(unpack(h, w, held), unpack(h, w, now), strict=True)]
+                before = np.frombuffer(mask, np.uint8).reshape(h, w).astype(bool) if mask else None
+                masks, _ = seam(*pair, before=before, stable=stable)
+                if not mask:
+                    out.append((key[0], at, masks[0].astype(np.uint8).tobytes()))
+                mask = masks[1].astype(np.uint8).tobytes()
+                out.append((key[0], int(r.frame), mask))
+            at, h, w, held = int(r.frame), int(r.height), int(r.width), now
+        if at is not None:
+            state.update((at, h, w, *held, mask or b""))
+        if out:
+            yield pd.DataFrame(out, columns=["clip", "frame", "mask"])
+
+    kinds = "frame long, height int, width int, a binary, b binary, cover_a binary, cover_b binary, mask binary"
+    return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, mask binary", kinds, "append", GroupStateTimeout.NoTimeout)
+
+
+def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) -> DataFrame:
+    """``clip, frame, k, xa, ya, xb, yb``: correspondences carried from frame to frame.
+
+    ``frames`` are ``clip, frame, fresh, moved``: the matches found in a frame (array of
+    ``xa, ya, xb, yb``), and where the frame's tracker takes points of the frame
+    before (array of ``xa, ya, ua, va, xb, yb, ub, vb, error``).  A carried match
+    follows the tracker if its error is at most ``near`` and goes otherwise;
+    fresh matches join it, those at a place already held do not, and a frame
+    holds at most ``most``, carried ones first.  State: one frame's matches.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(m) for m in zip(*state.get, strict=True)] if state.exists else []
+        out = []
+        for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.frame):
+            to = {(m["xa"], m["ya"], m["xb"], m["yb"]): (m["ua"], m["va"], m["ub"], m["vb"]) for m in r.moved if m["error"] <= near}
+            now = [to[m] for m in held if m in to]
+            taken = {(round(m[0]), round(m[1])) for m in now}
+            for m in r.fresh:
+                m = (m["xa"], m["ya"], m["xb"], m["yb"])
+                if (round(m[0]), round(m[1])) not in taken:
+                    taken.add((round(m[0]), round(m[1])))
+                    now.append(m)
+            held = now[:most]
+            out += [(key[0], int(r.frame), k, *m) for k, m in enumerate(held)]
+        state.update(tuple([m[i] for m in held] for i in range(4)))
+        if out:
+            yield pd.DataFrame(out, columns=["clip", "frame", "k", "xa", "ya", "xb", "yb"])
+
+    kinds = ", ".join(f"{c} array<double>" for c in ("xa", "ya", "xb", "yb"))
+    return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, k int, xa double, ya double, xb double, yb double", kinds, "append", GroupStateTimeout.NoTimeout)
