@@ -106,6 +106,26 @@ def test_pattern_tables_are_flat():
     assert spans == [(0, 10), (11, 21), (22, 32)] and items == {"item"}
 
 
+# --- SimHash ---------------------------------------------------------------
+
+
+def test_long_lists_are_dealt_over_tasks(spark, monkeypatch):
+    """Lists cut over tasks link what brute force links."""
+    rnd = random.Random(13)
+    base = rnd.getrandbits(64)
+    fps = {base ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(1, 9))) for _ in range(500)}
+    fps = sorted(f & ((1 << 64) - 1) for f in fps)
+    want = roots_of(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    for split in (1 << 16, 10):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+        at = {f: i for i, f in enumerate(signed)}
+        assert all((fps[at[r.u]] ^ fps[at[r.v]]).bit_count() <= 3 for r in links)
+        got = roots_of(len(fps), [(at[r.u], at[r.v]) for r in links])
+        assert len({(a, b) for a, b in zip(got, want, strict=True)}) == len(set(want)) == len(set(got))
+
+
 # --- substring dedup -------------------------------------------------------
 
 
@@ -292,6 +312,14 @@ def test_bpe_files(tmp_path):
             bpe.check_spec(spec | change)
 
 
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.bpe_round_trip(empty, bpe.vocabulary_path()).count() == 0
+    assert simhash.similar_groups(empty).count() == 0
+    assert sharding.shard_documents(empty).count() == 0
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
 # --- PII -------------------------------------------------------------------
 
 
