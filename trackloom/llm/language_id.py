@@ -6,13 +6,12 @@ classified by softmax; a document takes the mean of its windows' class
 probabilities, weighted by their bytes.  All windows of a text count.
 
 The network is fitted on the driver on a bounded sample of labelled rows
-(``per_language`` rows of each of at most ``max_languages`` labels); its few
-thousand weights are all that is broadcast.
+(about ``per_language`` of each label, ``max_rows`` in all, ``max_characters``
+of each); its few thousand weights are all that is broadcast.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +23,11 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import table
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Is any character of Unicode category L (which number signs such as ``½`` and ``Ⅷ`` are not)?"""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -154,20 +157,23 @@ class ByteCNN:
         return out
 
 
-def labelled_sample(rows: DataFrame, per_language: int, max_languages: int) -> list[tuple[str, bytes]]:
+def labelled_sample(rows: DataFrame, per_language: int, max_rows: int, max_characters: int) -> list[tuple[str, bytes]]:
     """A bounded sample of ``lang, text`` from ``doc_id, text, lang``: about ``per_language``
-    rows by hash of each of the most frequent labels, and of each row at most
-    4096 characters from a hashed place.  The cut for each label follows from
-    its count, so the rows are found in the scan, without a shuffle."""
+    rows by hash of each label (fewer where the labels are so many that this
+    would pass ``max_rows``), and of each row at most ``max_characters`` from a
+    hashed place.  The cut for each label follows from its count, so the rows
+    are found in the scan, without a shuffle."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()
     if not frequent:
         return []
-    cuts = F.create_map(*(F.lit(x) for r in frequent for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(cuts, F.col("lang")) * (1 << 30))
-    somewhere = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 4096, F.lit(0)) + 1).cast("int") + 1
-    # rows repeated under one id share a hash: the limit keeps them from adding up
-    found = drawn.select("lang", F.substring("text", somewhere, F.lit(4096)).cast("binary").alias("text")).limit(4 * per_language * len(frequent)).collect()
+    each = max(1, min(per_language, max_rows // len(frequent)))
+    cuts = F.create_map(*(F.lit(x) for r in frequent for x in (r["lang"], min(1.0, each / r["count"]))))
+    drawn = rows.withColumn("order", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))).where(F.col("order") < F.element_at(cuts, F.col("lang")) * (1 << 30))
+    somewhere = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - max_characters, F.lit(0)) + 1).cast("int") + 1
+    # rows repeated under one id share a hash: the limit, in hash order, keeps them from adding up
+    drawn = drawn.select("order", "lang", F.substring("text", somewhere, F.lit(max_characters)).cast("binary").alias("text"))
+    found = drawn.orderBy("order", "lang", "text").limit(4 * each * len(frequent)).collect()
     return sorted((r["lang"], bytes(r["text"])) for r in found)
 
 
@@ -175,28 +181,32 @@ def _predict(model_cast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_cast.value
         for batch in batches:
-            texts = [(t.encode() if t and model.labels and _LETTER.search(t) else b"") for t in batch.column(2).to_pylist()]
+            texts = [(t.encode() if t and model.labels and has_letter(t) else b"") for t in batch.column(2).to_pylist()]
             found = model.classify(texts) if model.labels else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array([a for a, _ in found], pa.string()), "score": pa.array([b for _, b in found], pa.float64())})
 
     return run
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 200) -> DataFrame:
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_rows: int = 80_000, max_characters: int = 4096) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row.
 
     Rows whose ``crc32(id as text) mod 4`` is 2 are held out: the network
-    learns from the others only, from their text and non-null label.
-
-    Defined cases: null texts and texts without a letter are ``und`` with
-    score 0; a null id is not held out; without any label everything is
-    ``und``; repeated rows and empty tables pass through; other columns are
-    ignored and no column but the text enters a prediction.
+    learns from the others only, from their text and non-null label.  It fits
+    on about ``per_language`` rows of each label, ``max_rows`` in all (labels
+    beyond the ``max_rows`` most frequent are not learned), and on
+    ``max_characters`` characters of each; predictions take whole texts.
+
+    Defined cases: null texts and texts without a letter (Unicode category L)
+    are ``und`` with score 0; texts may be of any length; a null id is not
+    held out; without any label everything is ``und``; repeated rows and empty
+    tables pass through; other columns are ignored, whatever their names, and
+    no column but the text enters a prediction.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    sample = labelled_sample(rows.where(~F.col("held_out")).select("doc_id", "text", "lang"), per_language, max_languages)
+    sample = labelled_sample(rows.where(~F.col("held_out")).select("doc_id", "text", "lang"), per_language, max_rows, max_characters)
     labels = sorted({lang for lang, _ in sample})
     model = ByteCNN(labels)
     if len(labels) > 1:
