@@ -11,7 +11,8 @@ and the rest are verified bit by bit.
 
 Equal fingerprints are folded first and take no part as pairs.  A posting
 list emits a spanning forest of its links, never all its pairs, and is cut
-finer by further bytes (again with no pair lost) where it is long.
+finer by further bytes (again with no pair lost) where it is long: within its
+task, and over tasks where it is longer still.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ SEED = 42
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
 #: Lists up to this length are compared directly, longer ones are cut finer first.
 DIRECT = 512
+#: Longer lists than this are dealt over tasks by the next bytes.
+SPLIT = 1 << 16
+#: Of the five bytes that linked pairs share, two lie beyond a triple: all pairs of further positions.
+FURTHER = [[pair for pair in combinations([p for p in range(8) if p not in t], 2)] for t in TRIPLES]
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -178,45 +183,46 @@ def _thin(links: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def _posting_links(distance: int):
-    def links(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        found = list_links(fps, TRIPLES[t], distance)
+    def links(fps: np.ndarray, t: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        found = list_links(fps, (*TRIPLES[t], *(FURTHER[t][cut] if cut >= 0 else ())), distance)
         found = _thin(found, len(fps)) if len(fps) > DIRECT else found
         ij = np.array(found, np.int64).reshape(-1, 2)
         return fps[ij[:, 0]], fps[ij[:, 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (t, key); a list may run over batches."""
+        """Rows come sorted by (t, key, cut, more), a list is what shares them; it may run over batches."""
         held: list[np.ndarray] = []  # of the list not known to be over
-        held_at: tuple[int, int] | None = None
+        held_at: tuple | None = None
 
         def close() -> list[tuple[np.ndarray, np.ndarray]]:
             fps = np.unique(np.concatenate(held))
-            return [links(fps, held_at[0])] if len(fps) > 1 else []
+            return [links(fps, held_at[0], held_at[2])] if len(fps) > 1 else []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, key, fp = (batch.column(i).to_numpy() for i in range(3))
+            *at, fp = (batch.column(i).to_numpy() for i in range(5))
             fp = fp.view(np.uint64)
-            starts = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(key) != 0)])
-            ends = np.r_[starts[1:], len(t)]
+            starts = np.flatnonzero(np.r_[True, np.any([np.diff(x) != 0 for x in at], axis=0)])
+            ends = np.r_[starts[1:], len(fp)]
+            place = lambda i, at=at: tuple(int(x[i]) for x in at)
             out = []
-            if held and (int(t[0]), int(key[0])) == held_at:
+            if held and place(0) == held_at:
                 held.append(fp[: ends[0]])
                 starts, ends = starts[1:], ends[1:]
             if len(starts):
                 if held:
                     out += close()
-                held, held_at = [fp[starts[-1] :]], (int(t[-1]), int(key[-1]))
+                held, held_at = [fp[starts[-1] :]], place(-1)
                 starts, ends = starts[:-1], ends[:-1]
             sizes = ends - starts
             for n in np.unique(sizes[(sizes > 1) & (sizes <= 16)]):  # short lists, all of a length at once
-                at = starts[sizes == n]
+                first = starts[sizes == n]
                 for i, j in combinations(range(int(n)), 2):
-                    a, b = fp[at + i], fp[at + j]
+                    a, b = fp[first + i], fp[first + j]
                     hit = _linked(a, b, distance)
                     out.append((a[hit], b[hit]))
-            out += [links(np.unique(fp[a:b]), int(t[a])) for a, b in zip(starts[sizes > 16], ends[sizes > 16], strict=True)]
+            out += [links(np.unique(fp[a:b]), place(a)[0], place(a)[2]) for a, b in zip(starts[sizes > 16], ends[sizes > 16], strict=True)]
             if out:
                 yield _pairs(out)
         if held and (out := close()):
@@ -237,7 +243,13 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     entries = F.array(*(F.struct(F.lit(k).alias("t"), (byte(a) * 65536 + byte(b) * 256 + byte(c)).alias("key")) for k, (a, b, c) in enumerate(TRIPLES)))
     postings = distinct.select("fp", F.explode(entries).alias("e")).select(F.col("e.t").alias("t"), F.col("e.key").alias("key"), "fp")
-    return postings.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_posting_links(distance), "u long, v long").distinct()
+    long = if_small(materialize(postings.groupBy("t", "key").count().where(F.col("count") > SPLIT).select("t", "key", F.lit(True).alias("long")), "simhash-long"))
+    cut = lambda k, i, j: F.struct(F.lit(k).alias("cut"), (byte(i) * 256 + byte(j)).cast("int").alias("more"))
+    finer = F.coalesce(*(F.when(F.col("t") == t, F.array(*(cut(k, i, j) for k, (i, j) in enumerate(pairs)))) for t, pairs in enumerate(FURTHER)))
+    whole = F.array(F.struct(F.lit(-1).alias("cut"), F.lit(0).alias("more")))
+    dealt = postings.join(long, ["t", "key"], "left").select("t", "key", F.explode(F.when(F.col("long"), finer).otherwise(whole)).alias("c"), "fp").select("t", "key", "c.cut", "c.more", "fp")
+    order = ["t", "key", "cut", "more"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_posting_links(distance), "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
