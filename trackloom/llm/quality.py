@@ -177,15 +177,20 @@ def fit_model(rows: list[tuple[str | None, int, int]], most_words: int = 300, z_
     return DocumentModel({w: (v[0], v[1]) for w, v in words.items()}, edges, np.split(weights, cuts), (bias[0], bias[1]))
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 6000) -> DocumentModel:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 6000, max_characters: int = 100_000) -> DocumentModel:
     """Fit on the ``max_labelled`` labelled rows of least hash (null labels are left out).
 
-    The ids chosen are at most ``max_labelled`` longs, so they are broadcast;
-    texts beyond 100,000 characters do not take part in the fit.
+    The ids chosen are at most ``max_labelled`` longs, so they are broadcast.
+    A text of more than ``max_characters`` characters takes part with that many
+    from a hashed place, so the driver gets at most ``max_labelled`` times
+    ``max_characters`` characters, however often an id is repeated.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("id"), "quality", "toxic").distinct().orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= 100_000).join(F.broadcast(chosen), "id").select("text", "quality", "toxic").collect()
-    return fit_model(sorted(((r["text"] or "", int(r["quality"]), int(r["toxic"])) for r in rows)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    somewhere = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - max_characters, F.lit(0)) + 1).cast("int") + 1
+    rows = docs.select(F.col(id_col).alias("id"), F.substring(text, somewhere, F.lit(max_characters)).alias("text")).join(F.broadcast(chosen), "id")
+    found = rows.select("text", "quality", "toxic").orderBy(F.xxhash64("id"), F.xxhash64("text"), "quality", "toxic").limit(max_labelled).collect()
+    return fit_model(sorted(((r["text"], int(r["quality"]), int(r["toxic"])) for r in found)))
 
 
 def document_scores(model_cast):
@@ -242,19 +247,25 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     return nested.select("host", "path", "post_q", "post_t"), means
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, broadcast_sites: int = 50_000, quality_least: float = 0.3, toxic_least: float = 0.15, passed: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, max_characters: int = 100_000, broadcast_sites: int = 50_000, quality_least: float = 0.3, toxic_least: float = 0.15, passed: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``passed``) with a struct ``__judged``: document log-odds, site posteriors, final
     probabilities ``p_quality`` and ``p_toxic``, and ``keep``: quality at least
     ``quality_least`` (on held-out labels it costs hardly any good document) and
-    toxicity below ``toxic_least`` (which costs as few).
+    toxicity below ``toxic_least`` (which costs as few).  The models are fitted
+    on at most ``max_labelled`` labelled rows and ``max_characters`` characters
+    of each, and have at most 300 words each (see ``fit_model``); every whole
+    text is judged.
 
     Defined cases: a null text is judged as an empty one; null sources form
     one site; without labels (or with one class) documents carry no evidence
     of that kind and are kept; repeated rows count as often as they occur;
-    an empty table gives an empty result; further columns pass through.
+    texts may be of any length; an empty table gives an empty result; further
+    columns pass through, and one called ``__judged`` (in any case) raises.
     """
+    if any(c.lower() == "__judged" for c in passed or docs.columns):
+        raise ValueError("a column is called __judged")
     spark = docs.sparkSession
-    model = fit_on_labels(docs, labels, id_col, text_col, max_labelled)
+    model = fit_on_labels(docs, labels, id_col, text_col, max_labelled, max_characters)
     udf = document_scores(spark.sparkContext.broadcast(model))
     host, path = site_of(F.col(source_col))
     rows = materialize(docs.select(F.struct(*(passed or ["*"])).alias("__row"), udf(F.col(text_col)).alias("__s"), host.alias("__host"), path.alias("__path")), "quality-scored")
