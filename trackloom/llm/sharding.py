@@ -132,10 +132,19 @@ _STEP = "shiftleft(1L, greatest(length(bin(gsize)) - 11, 0))"
 _CLASS = f"(gsize + {_STEP} - 1) div {_STEP} * {_STEP}"
 
 
-def shard_groups(groups: DataFrame, shards: int | None = 16, capacity: int | None = None, salts: int = 64) -> DataFrame:
+#: Rows that one task ranks, about.
+RANKED = 200_000
+
+
+def _parts(n: int) -> int:
+    return max(64, -(-n // RANKED))
+
+
+def shard_groups(groups: DataFrame, shards: int | None = 16, capacity: int | None = None) -> DataFrame:
     """``key, shard`` for ``key, gsize`` (unique keys): either ``shards`` shards
     of near equal size, or the least shards found of a fixed ``capacity``."""
     spark = groups.sparkSession
+    salts = _parts(groups.count())
     classed = groups.withColumn("class", F.expr(_CLASS)).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
     counts = classed.groupBy("class", "salt").agg(F.count("*").alias("n"))
     histogram = [(r["class"], r["n"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()]
@@ -149,7 +158,7 @@ def shard_groups(groups: DataFrame, shards: int | None = 16, capacity: int | Non
     return ranked.join(F.broadcast(runs_df), (ranked["class"] == runs_df["class"]) & (F.col("before") + F.col("rn") >= F.col("lo")) & (F.col("before") + F.col("rn") < F.col("hi"))).select("key", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, buckets: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """Every row's shard: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Defined cases: a null text has no bytes (size 1, crc32 of nothing) and
@@ -160,6 +169,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = materialize(rows, "shard-rows")
+    buckets = _parts(rows.count() // max(1, shards or 1))
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("gsize")), "shard-groups")
     placed = rows.join(shard_groups(groups, shards, capacity), "key").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)))
     placed = materialize(placed, "shard-placed")
