@@ -18,6 +18,7 @@ from __future__ import annotations
 import array
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -115,14 +116,43 @@ _LOW_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{
 _HIGH = re.compile("[^\\x00-\\u012f\\u0131-\\u017f]")
 
 
+#: Fixed values of the file format: the preparation that ``_LOW_SPLIT`` does in one pass, and the model's options.
+PREPARED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+UNSUPPORTED = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def check_spec(spec: dict) -> None:
+    """Raise for a file that asks for something this encoder does not do."""
+    bad = [o for o in UNSUPPORTED if spec["model"].get(o)]
+    bad += [f"added token {t['content']}" for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"]]
+    if spec["model"].get("type", "BPE") != "BPE" or "ByteLevel" not in json.dumps(spec["pre_tokenizer"]):
+        bad.append("other than byte-level BPE")
+    if spec.get("decoder") is not None:
+        bad.append("decoder")
+    if bad:
+        raise ValueError(f"not supported in a vocabulary file: {', '.join(bad)}")
+
+
 class WordBPE:
-    """Encoder and decoder for a word-end BPE vocabulary in the ``tokenizers`` JSON format."""
+    """Encoder and decoder for a byte-level BPE vocabulary in the ``tokenizers`` JSON format.
+
+    Normaliser and splitter are those of the file; texts of low characters take
+    a shorter way if the file prepares texts as ``PREPARED`` says.  Files that
+    ask for more than this does (``check_spec``) are refused.
+    """
 
     def __init__(self, path: str, cache_words: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
@@ -132,6 +162,8 @@ class WordBPE:
             self.ranks[self.vocab[a] << 20 | self.vocab[b]] = rank
             self.merged.append(self.vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._mark = os.path.commonprefix(list(self.added))
+        self._low_way = (spec["normalizer"], spec["pre_tokenizer"]) == PREPARED
         self._cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         library = Tokenizer.from_file(path)
@@ -158,14 +190,14 @@ class WordBPE:
         return self._encode_bytes(bytes([self._byte[c] for c in word]))
 
     def _plain(self, text: str) -> bytes:
-        if _HIGH.search(text) is None:
+        if self._low_way and _HIGH.search(text) is None:
             return b"".join(map(self._low.__getitem__, _LOW_SPLIT.findall(text.lower())))
-        words = self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))
+        words = self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text) if self._normalizer else text)
         return b"".join([self._high[w] for w, _ in words if w])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self._cut is None or "<|" not in text:
+        if self._cut is None or self._mark not in text:
             out = self._plain(text)
         else:
             parts, at = [], 0
@@ -235,7 +267,8 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Defined cases: null texts count as empty and have no tokens; texts and
     words may be of any length; repeated rows, null ids and empty tables pass
-    through; other columns are ignored.
+    through; other columns are ignored, whatever their names; a vocabulary
+    file that ``check_spec`` refuses raises.
     """
     kind = "string" if digest else "array<long>"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_round_trip(path, digest), f"doc_id long, n_tokens long, ids {kind}, decoded string")
