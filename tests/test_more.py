@@ -14,6 +14,7 @@ from trackloom.operators import descriptors as V
 from trackloom.operators import distance as D
 from trackloom.operators import flow as Q
 from trackloom.operators import geometry as H
+from trackloom.operators import keypoints as K
 from trackloom.operators import svm as M
 from trackloom.plans import runtime
 from trackloom.streaming import tracks as R
@@ -128,6 +129,34 @@ def test_multi_scale_descriptors(spark):
     assert all(450 < n**0.5 <= 512 for n in norms.values())
 
 
+def test_keypoints_of_a_shifted_image_match(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(0, 10, (40, 44))
+    for axis in (0, 1):
+        a = (a + np.roll(a, 1, axis) + np.roll(a, -1, axis)) / 3
+    b = np.roll(a, (2, 3), (0, 1))
+    for method in ("dog", "hessian"):
+        rows = K.detect_and_match(image(spark, a), image(spark, b), method, 0.001, 1.2, sigmas=[0.6, 0.8, 1.1, 1.5, 2.0]).collect()
+        right = [(r.xb - r.xa, r.yb - r.ya) == (3.0, 2.0) for r in rows]
+        assert len(rows) >= 4 and sum(right) >= 0.8 * len(rows), method
+    corners = K.detect(image(spark, a), "harris", [1.0, 1.3, 1.7], 0.0)
+    assert corners.where("r > 0").count() > 0
+    with pytest.raises(ValueError):
+        K.detect(image(spark, a), "other")
+
+
+def test_intensity_orders_of_the_turned_patch(spark):
+    rng = np.random.default_rng(8)
+    patch = rng.random((21, 21))
+    d = V.intensity_orders(patch)
+    assert len(d) == 144 and abs(np.linalg.norm(d) - 1) < 1e-9
+    # a turn by a right angle permutes places, not orders: the disc and its circles are the same
+    assert np.allclose(d, V.intensity_orders(np.rot90(patch)), atol=1e-6)
+    assert not V.intensity_orders(np.zeros((9, 9))).any()
+    rows = V.patch_descriptors(image(spark, patch).withColumn("k", F.lit(1)), ["k"]).collect()
+    assert np.allclose([dict((r.bin, r.v) for r in rows).get(i, 0.0) for i in range(144)], d)
+
+
 def stream_of(spark, tmp_path, df, name, batches):
     """``df`` as files that a stream reads one at a time, in the order of ``batch``."""
     for i in range(batches):

@@ -229,25 +229,30 @@ def grouped_lengths(data: DataFrame, label: str, vector: str, eps: float, affine
     by aggregation, and each group's are solved on their own."""
     dims = len(data.select(vector).first()[0])
     total = data.count()
-    moments = [F.sum(F.col(vector)[i] * F.col(vector)[j]).alias(f"g{i}_{j}") for i in range(dims) for j in range(i + 1)]
-    means = [F.avg(F.col(vector)[i]).alias(f"m{i}") for i in range(dims)]
-    rows = data.groupBy(label).agg(F.count("*").alias("m"), *moments, *means)
     kind = data.schema[label].dataType.simpleString()
 
+    def grams(batches):
+        """Of every batch and label: the count, then the sums, then the Gram matrix, as numbered terms."""
+        for pdf in batches:
+            for key, part in pdf.groupby("k", dropna=False):
+                x = np.stack(part["v"].to_numpy()).astype(float)
+                terms = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+                yield pd.DataFrame({"k": [key] * len(terms), "i": np.arange(len(terms)), "s": terms})
+
+    parts = data.select(F.col(label).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(grams, f"k {kind}, i int, s double")
+    rows = parts.groupBy("k", "i").agg(F.sum("s").alias("s")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("t"))
+
     def run(batches):
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                g, m, mean = np.zeros((dims, dims)), r.m, np.array([getattr(r, f"m{i}") for i in range(dims)])
-                for i in range(dims):
-                    for j in range(i + 1):
-                        g[i, j] = g[j, i] = getattr(r, f"g{i}_{j}")
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+                m, mean, g = int(t[0]), np.array(t[1 : dims + 1]) / t[0], np.array(t[dims + 1 :]).reshape(dims, dims)
                 extra = 0.0
                 if affine:
                     g = g - m * np.outer(mean, mean)
                     extra = dims / 2 * math.log2(1 + mean @ mean / eps**2)
                 s2 = np.clip(np.linalg.eigvalsh(g), 0, None)
-                out.append((getattr(r, label), m, extra + (m + dims) / 2 * np.log2(1 + dims / (eps**2 * m) * s2).sum() - m * math.log2(m / total)))
+                out.append((k, m, extra + (m + dims) / 2 * np.log2(1 + dims / (eps**2 * m) * s2).sum() - m * math.log2(m / total)))
             yield pd.DataFrame(out, columns=[label, "m", "bits"])
 
     return rows.mapInPandas(run, f"{label} {kind}, m long, bits double")

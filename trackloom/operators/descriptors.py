@@ -8,11 +8,13 @@ one place and images are spread by their columns.
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.images import gaussian_weights, smooth
+from trackloom.operators.images import by_raster, gaussian_weights, smooth
 from trackloom.operators.windows import gradient
 
 CLIP = 0.2
@@ -129,3 +131,41 @@ def multi_scale_descriptors(pixels: DataFrame, sizes: list[int], step: int, magn
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def intensity_orders(patch: np.ndarray, neighbours: int = 4, bins: int = 6, radius: float | None = None, threshold: float = 0.05) -> np.ndarray:
+    """A square patch's histogram of local intensity orders: ``bins`` times ``neighbours``! numbers of unit length.
+
+    Pixels in the disc that leaves room for the neighbours are ranked into
+    bins by intensity.  Each votes for the order of its neighbours' values,
+    which lie on a circle of ``radius`` from the direction away from the centre
+    on, with the number of their pairs that differ by more than ``threshold``
+    times the range of values.  Turning the patch changes nothing.
+    """
+    side = patch.shape[0]
+    radius = radius if radius is not None else max(1.0, side / 7)
+    middle = (side - 1) / 2
+    yy, xx = np.mgrid[:side, :side] - middle
+    inside = (np.hypot(yy, xx) <= middle - radius) & (np.hypot(yy, xx) > 0)  # the centre has no direction
+    y, x, v = yy[inside], xx[inside], patch[inside]
+    orders = {p: i for i, p in enumerate(permutations(range(neighbours)))}
+    out = np.zeros((bins, len(orders)))
+    if not len(v):
+        return out.ravel()
+    rank = np.argsort(np.argsort(v, kind="stable"), kind="stable")
+    angle = np.arctan2(y, x)[:, None] + 2 * np.pi * np.arange(neighbours) / neighbours
+    py, px = y[:, None] + radius * np.sin(angle) + middle, x[:, None] + radius * np.cos(angle) + middle
+    y0, x0 = np.clip(np.floor(py).astype(int), 0, side - 2), np.clip(np.floor(px).astype(int), 0, side - 2)
+    fy, fx = py - y0, px - x0
+    around = (1 - fy) * ((1 - fx) * patch[y0, x0] + fx * patch[y0, x0 + 1]) + fy * ((1 - fx) * patch[y0 + 1, x0] + fx * patch[y0 + 1, x0 + 1])
+    far = np.abs(around[:, :, None] - around[:, None, :]) > threshold * (np.ptp(patch) or 1.0)
+    weight = far.sum((1, 2)) / 2
+    for r, w, order in zip(rank, weight, np.argsort(np.round(around, 9), axis=1, kind="stable"), strict=True):
+        out[r * bins // len(v), orders[tuple(order.tolist())]] += w
+    size = np.linalg.norm(out)
+    return (out / size if size else out).ravel()
+
+
+def patch_descriptors(patches: DataFrame, image: list[str], **options) -> DataFrame:
+    """``image, bin, v``: :func:`intensity_orders` of every square patch (``image, y, x, v``); zeros have no row."""
+    return by_raster(patches, image, lambda r: [(i, float(v)) for i, v in enumerate(intensity_orders(r, **options)) if v], "bin int, v double")

@@ -94,12 +94,12 @@ def describe(pixels: DataFrame, keypoints: DataFrame, size: int = 3) -> DataFram
     return filled.select((F.col("y") + half).alias("y"), (F.col("x") + half).alias("x"), vector.alias("v"))
 
 
-def detect_and_match(a: DataFrame, b: DataFrame, method: str = "dog", threshold: float = 0.0, ratio: float = 1.5, size: int = 3, width: int = 1 << 20) -> DataFrame:
+def detect_and_match(a: DataFrame, b: DataFrame, method: str = "dog", threshold: float = 0.0, ratio: float = 1.5, size: int = 3, width: int = 1 << 20, sigmas: list[float] = SIGMAS) -> DataFrame:
     """``xa, ya, xb, yb``: keypoints of two images matched by the ratio test on their descriptors.  ``width``
     is above every x."""
     sides = []
     for pixels in (a, b):
-        described = describe(pixels, detect(pixels, method, threshold=threshold), size)
+        described = describe(pixels, detect(pixels, method, sigmas, threshold), size)
         sides.append(durable(described.select((F.col("y").cast("long") * width + F.col("x")).alias("id"), "v")))
     pairs = ratio_match(sides[0], sides[1], ratio)
     place = lambda k, n: ((F.col(k) % width).cast("double").alias(f"x{n}"), F.floor(F.col(k) / width).cast("double").alias(f"y{n}"))

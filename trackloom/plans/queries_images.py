@@ -80,6 +80,11 @@ def quick_shift(spark, sf_dir):
     return _links(spark, sf_dir).select("y", "x", F.round("density", 6).alias("density"), "parent_y", "parent_x", F.when(F.col("gap") < 1e9, F.round("gap", 6)).otherwise(1e9).alias("gap"))
 
 
+def medoid_shift(spark, sf_dir):
+    grid = day_grid(spark, sf_dir).select("y", "x", F.array((F.col("v") / 100000.0)).alias("f"))
+    return C.medoid_shift(grid, 1.0).select("y", "x", "parent_y", "parent_x", F.round("gap", 6).alias("gap"))
+
+
 def segments(spark, sf_dir):
     """Quick shift, cut where the gap is longer than 2, and flattened."""
     links = _links(spark, sf_dir)
@@ -159,7 +164,7 @@ def region_table(spark, sf_dir):
 
 
 QUERIES = {
-    "stream_tracks": stream_tracks, "image_warp_cubic": warped_cubic, "image_warp_slopes": warp_slopes, "labelled_sequence": labelled_sequence, "whitened": whitened, "superpixel_labels": superpixel_labels, "filled_regions": filled_regions, "region_table": region_table,
+    "stream_tracks": stream_tracks, "medoid_shift": medoid_shift, "image_warp_cubic": warped_cubic, "image_warp_slopes": warp_slopes, "labelled_sequence": labelled_sequence, "whitened": whitened, "superpixel_labels": superpixel_labels, "filled_regions": filled_regions, "region_table": region_table,
     "image_distance_transform": distance_transform, "image_up": upsampled, "image_blend": blended, "image_patterns": patterns, "image_harris": harris, "image_warp": warped,
     "quick_shift": quick_shift, "quick_segments": segments, "homographies": homographies, "svm": svm, "coding_bits": coding_bits, "stream_windows": stream_windows,
 }
@@ -228,6 +233,12 @@ ORACLE_SQL = {
     "filled_regions": "WITH p AS (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM range(768) r(i)) SELECT 'step' AS kind, y, x FROM p WHERE x < 16 UNION ALL SELECT 'dark disc', y, x FROM p WHERE (y - 12) ** 2 + (x - 16) ** 2 <= 36",
     "region_table": "SELECT 'dark disc' AS kind, count(*)::INT AS area, 1::BIGINT AS n FROM range(768) r(i) WHERE (i // 32 - 12) ** 2 + (i % 32 - 16) ** 2 <= 36",
     "quick_shift": f"WITH {_QUICK} SELECT y, x, round(density, 6) AS density, parent_y, parent_x, round(gap, 6) AS gap FROM qs",
+    "medoid_shift": f"""
+        WITH {GRID_SQL}, p AS (SELECT y, x, v / 100000.0 AS f FROM g),
+        n AS (SELECT a.y AS y0, a.x AS x0, b.y, b.x, b.f, (a.y - b.y) ** 2 + (a.x - b.x) ** 2 + (a.f - b.f) ** 2 AS d2 FROM p a JOIN p b ON abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3),
+        m AS (SELECT y0, x0, sum(exp(-d2 / 2) * y) / sum(exp(-d2 / 2)) AS my, sum(exp(-d2 / 2) * x) / sum(exp(-d2 / 2)) AS mx, sum(exp(-d2 / 2) * f) / sum(exp(-d2 / 2)) AS mf FROM n GROUP BY 1, 2)
+        SELECT n.y0 AS y, n.x0 AS x, n.y AS parent_y, n.x AS parent_x, round(sqrt(d2), 6) AS gap FROM n JOIN m ON m.y0 = n.y0 AND m.x0 = n.x0
+        QUALIFY row_number() OVER (PARTITION BY n.y0, n.x0 ORDER BY round((n.y - my) ** 2 + (n.x - mx) ** 2 + (n.f - mf) ** 2, 9), n.y, n.x) = 1""",
     "quick_segments": f"""
         WITH RECURSIVE {_QUICK}, par AS (SELECT y * 1000 + x AS node, CASE WHEN gap > 2 THEN y * 1000 + x ELSE parent_y * 1000 + parent_x END AS parent FROM qs),
         up_(node, at_) AS (SELECT node, parent FROM par UNION SELECT u.node, p.parent FROM up_ u JOIN par p ON p.node = u.at_ WHERE p.parent <> u.at_)
