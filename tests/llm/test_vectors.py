@@ -216,23 +216,28 @@ def test_spelling_variants(spark):
 
 
 def test_unlike_words_of_one_hash(spark, monkeypatch):
-    """With hashes of 8 bits the joined pair decides."""
-    mixed = spelling_variants._mixed
-    monkeypatch.setattr(spelling_variants, "_mixed", lambda h: mixed(h) & np.uint64(255))
+    """Where letters share their mixed values, the joined pair decides."""
+    monkeypatch.setattr(spelling_variants, "_mixed", lambda h: h % np.uint64(5))
     docs = typos(random.Random(13), 40)
     got = spelling_variants.spelling_variants(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {tuple(r) for r in got} == variants(docs)
 
 
-def test_neighbourhood_is_whole_and_distinct():
+def test_neighbourhood_is_whole_and_distinct(monkeypatch):
     rnd, alphabet = random.Random(3), "abcé"
-    hasher, points = spelling_variants.Hasher(12), spelling_variants.code_points("abcé")
-    for _ in range(50):
-        w = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 12)))
-        want = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in alphabet} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in alphabet}
-        want = sorted((len(x), int(hasher.word(spelling_variants.code_points(x)))) for x in want - {w, ""})
-        got = sorted((n, int(h)) for n, hashes in hasher.neighbours(spelling_variants.code_points(w), points) for h in hashes)
-        assert got == want
+    for size in (1 << 17, 8):
+        monkeypatch.setattr(spelling_variants, "SLICE", size)
+        hasher, points = spelling_variants.Hasher(12), spelling_variants.code_points("abcé")
+        for n in range(1, 12):
+            words = ["".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(9)]
+            got = collections.defaultdict(list)
+            for length, h, real in hasher.neighbours(spelling_variants.code_points("".join(words)).reshape(9, n), points):
+                for at in zip(*np.nonzero(real), strict=True):
+                    got[at[0]].append((length, int(h[at].view(np.int64))))
+            for i, w in enumerate(words):
+                want = {w[:i] + w[i + 1 :] for i in range(n)} | {w[:i] + c + w[i + 1 :] for i in range(n) for c in alphabet} | {w[:i] + c + w[i:] for i in range(n + 1) for c in alphabet}
+                want = sorted(want - {w, ""})
+                assert sorted(got[i]) == sorted(zip(map(len, want), spelling_variants.hashes(want).tolist(), strict=True))
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data here")

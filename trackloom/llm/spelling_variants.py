@@ -24,10 +24,12 @@ RUNS = "[A-Za-z\u00C0-\u00FF]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of the vocabulary's bitmap (16 MB), and of a part of it.
 BITS, PART = 1 << 27, 1 << 18
+#: Leaves of a hash the bits that number a bit of the map.
+SHIFT = np.uint64(64 - 27)
 #: Odd multipliers of the hashes.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Candidates looked up at once.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 def counted_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = RUNS, damage: int = 199) -> DataFrame:
@@ -46,56 +48,72 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hashes of code points, modulo 2 to the 64, each code point mixed first."""
+    """Polynomial hashes of code points, modulo 2 to the 64, each code point mixed first.  Words of one
+    length are hashed together, as rows of a matrix."""
 
     def __init__(self, longest: int):
         self.powers = np.ones(longest + 2, np.uint64)
         np.multiply.accumulate(np.full(longest + 1, BASE), out=self.powers[1:])
+        self.inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
 
-    def sums(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed code points, and the sums before each place and after the last."""
-        points = _mixed(word.astype(np.uint64) + np.uint64(1))
-        sums = np.zeros(len(word) + 1, np.uint64)
-        np.cumsum(points * self.powers[: len(word)], out=sums[1:])
+    def sums(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mixed code points, and the sums before each place and after the last, which is the hash."""
+        points = _mixed(words.astype(np.uint64) + np.uint64(1))
+        sums = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+        np.cumsum(points * self.powers[: words.shape[1]], axis=1, out=sums[:, 1:])
         return points, sums
 
-    def word(self, word: np.ndarray) -> np.uint64:
-        return _mixed(self.sums(word)[1][-1:])[0]
-
-    def neighbours(self, word: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """``(length, hashes)`` of all distinct deletions, replacements and insertions, in slices."""
-        points, sums = self.sums(word)
-        n, letters = len(word), _mixed(alphabet.astype(np.uint64) + np.uint64(1))
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    def neighbours(self, words: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(length, hashes, real)`` of all deletions, replacements and insertions, in slices whose first axis
+        are the words; ``real`` marks one of each that are the same and none of the word itself."""
+        points, sums = self.sums(words)
+        n, letters = words.shape[1], _mixed(alphabet.astype(np.uint64) + np.uint64(1))
+        whole = sums[:, n, None]
         # a run of one letter gives the same word whichever of it goes
-        places = np.nonzero(np.append(word[1:] != word[:-1], True))[0]
-        with np.errstate(over="ignore"):
-            if n > 1:
-                yield n - 1, _mixed(sums[places] + (sums[n] - sums[places + 1]) * inverse)
-            step = max(1, SLICE // max(1, len(alphabet)))
-            for k in range(0, n, step):
-                at = slice(k, min(k + step, n))
-                changed = sums[n] + (letters[None, :] - points[at, None]) * self.powers[at, None]
-                yield n, _mixed(changed[alphabet[None, :] != word[at, None]])
-            for k in range(0, n + 1, step):
-                at = slice(k, min(k + step, n + 1))
-                longer = sums[at, None] + letters[None, :] * self.powers[at, None] + ((sums[n] - sums[at]) * BASE)[:, None]
-                # before its like, a letter gives the same word as after it
-                follows = np.append(word.astype(np.int64), -1)[at]
-                yield n + 1, _mixed(longer[alphabet[None, :] != follows[:, None]])
+        last = np.ones(words.shape, bool)
+        last[:, :-1] = words[:, 1:] != words[:, :-1]
+        if n > 1:
+            yield n - 1, sums[:, :n] + (whole - sums[:, 1:]) * self.inverse, last
+        step = max(1, SLICE // max(1, len(words) * len(alphabet)))
+        for k in range(0, n, step):
+            at = slice(k, min(k + step, n))
+            fixed = whole - points[:, at] * self.powers[at]
+            yield n, fixed[:, :, None] + letters * self.powers[at, None], words[:, at, None] != alphabet
+        # before its like, a letter gives the same word as after it
+        follows = np.concatenate([words.astype(np.int64), np.full((len(words), 1), -1)], 1)
+        for k in range(0, n + 1, step):
+            at = slice(k, min(k + step, n + 1))
+            fixed = sums[:, at] + (whole - sums[:, at]) * BASE
+            yield n + 1, fixed[:, :, None] + letters * self.powers[at, None], follows[:, at, None] != alphabet
+
+
+def by_length(words: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(places, matrix)`` of the words of each length, at most ``most`` code points at once where several."""
+    held: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        held.setdefault(len(w), []).append(i)
+    for n, places in held.items():
+        step = max(1, most // max(1, n))
+        for k in range(0, len(places), step):
+            at = places[k : k + step]
+            yield np.array(at), code_points("".join(words[i] for i in at)).reshape(len(at), n)
 
 
 def code_points(word: str) -> np.ndarray:
     return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    hasher, out = Hasher(max(map(len, words), default=0)), np.zeros(len(words), np.int64)
+    for places, matrix in by_length(words, 1 << 18):
+        out[places] = hasher.sums(matrix)[1][:, -1].view(np.int64)
+    return out
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [code_points(w) for w in batch.column(0).to_pylist()]
-        hasher = Hasher(max(map(len, words), default=0))
-        with np.errstate(over="ignore"):
-            h = np.array([hasher.word(w) for w in words], np.uint64).view(np.int64)
-        yield pa.record_batch([*batch.columns, pa.array(h), pa.array(list(map(len, words)), pa.int32())], names=["word", "n", "h", "length"])
+        words = batch.column(0).to_pylist()
+        yield pa.record_batch([*batch.columns, pa.array(hashes(words)), pa.array(list(map(len, words)), pa.int32())], names=["word", "n", "h", "length"])
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +122,11 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"c": pa.array(found.astype(np.int32))})
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(37)).astype(np.int64)  # the upper 27 bits
-
-
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each task's parts of the bitmap, as far as it has any of their bits."""
     seen = np.zeros(BITS // 8, np.uint8)
     for batch in batches:
-        at = _places(batch.column(0).to_numpy())
+        at = (batch.column(0).to_numpy().view(np.uint64) >> SHIFT).astype(np.int64)
         np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
     for p in range(BITS // PART):
         part = seen[p * PART // 8 : (p + 1) * PART // 8]
@@ -140,24 +154,15 @@ def _neighbourhood(alphabet: np.ndarray, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = seen.value
         for batch in batches:
-            words = [code_points(w) for w in batch.column(1).to_pylist()]
+            keys, words = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             hasher = Hasher(max(map(len, words), default=0))
-            keys, held = batch.column(0).to_numpy(), []
-
-            def out(held):
-                return pa.record_batch({"key": pa.array(np.concatenate([np.full(len(h), k) for k, _, h in held])), "h": pa.array(np.concatenate([h for _, _, h in held])), "length": pa.array(np.concatenate([np.full(len(h), n, np.int32) for _, n, h in held]))})
-
-            for key, word in zip(keys, words, strict=True):
-                for n, h in hasher.neighbours(word, alphabet):
-                    at = _places(h)
-                    h = h[(known[at >> 3] >> (at & 7)) & 1 == 1].view(np.int64)
-                    if len(h):
-                        held.append((key, n, h))
-                if sum(len(h) for _, _, h in held) > 1 << 16:
-                    yield out(held)
-                    held = []
-            if held:
-                yield out(held)
+            for places, matrix in by_length(words, max(1, SLICE // max(1, len(alphabet)))):
+                for n, h, real in hasher.neighbours(matrix, alphabet):
+                    at = h >> SHIFT
+                    found = (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                    hit = np.nonzero(real & (found == 1))
+                    if len(hit[0]):
+                        yield pa.record_batch({"key": pa.array(keys[places[hit[0]]]), "h": pa.array(h[hit].view(np.int64)), "length": pa.array(np.full(len(hit[0]), n, np.int32))})
 
     return run
 
