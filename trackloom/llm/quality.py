@@ -247,8 +247,16 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     return nested.select("host", "path", "post_q", "post_t"), means
 
 
+def verdict_name(columns: list[str]) -> str:
+    """``__judged``, with as many underscores behind it as it takes to be none of the columns."""
+    name, taken = "__judged", {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_labelled: int = 6000, max_characters: int = 100_000, broadcast_sites: int = 50_000, quality_least: float = 0.3, toxic_least: float = 0.15, passed: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``passed``) with a struct ``__judged``: document log-odds, site posteriors, final
+    """``docs`` (or its columns ``passed``) with a struct ``__judged`` (:func:`verdict_name`): document log-odds, site posteriors, final
     probabilities ``p_quality`` and ``p_toxic``, and ``keep``: quality at least
     ``quality_least`` (on held-out labels it costs hardly any good document) and
     toxicity below ``toxic_least`` (which costs as few).  The models are fitted
@@ -260,10 +268,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one site; without labels (or with one class) documents carry no evidence
     of that kind and are kept; repeated rows count as often as they occur;
     texts may be of any length; an empty table gives an empty result; further
-    columns pass through, and one called ``__judged`` (in any case) raises.
+    columns pass through, whatever they are called.
     """
-    if any(c.lower() == "__judged" for c in passed or docs.columns):
-        raise ValueError("a column is called __judged")
+    verdict = verdict_name(passed or docs.columns)
     spark = docs.sparkSession
     model = fit_on_labels(docs, labels, id_col, text_col, max_labelled, max_characters)
     udf = document_scores(spark.sparkContext.broadcast(model))
@@ -281,12 +288,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col("__s.quality").alias("logit_quality"), F.col("__s.toxic").alias("logit_toxic"), F.col("__site.post_q").alias("site_quality"), F.col("__site.post_t").alias("site_toxic"),
         p_q.alias("p_quality"), p_t.alias("p_toxic"), (F.lit(True) if none else (p_q >= quality_least) & (p_t < toxic_least)).alias("keep"),
     )
-    return joined.select("__row.*", judged.alias("__judged"))
+    return joined.select("__row.*", judged.alias(verdict))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that the classifier keeps, with their own columns only."""
-    return judge(docs, labels, **options).where("__judged.keep").drop("__judged")
+    verdict = verdict_name(docs.columns)
+    return judge(docs, labels, **options).where(F.col(verdict)["keep"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
