@@ -1,14 +1,18 @@
-"""Queries on scale-space features of many images."""
+"""Queries on scale-space features of many images, and on points followed over clips."""
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.operators import features as T
+from trackloom.operators import images as I
+from trackloom.plans.stages import durable, forget_at_exit, shared_folder
 from trackloom.plans.tables import table
+from trackloom.streaming import tracks as R
 
 #: Images that users' events are dealt to, their height and width, octaves, and the least response of a keypoint.
 IMAGES, HEIGHT, WIDTH, OCTAVES, PEAK = 64, 24, 31, 2, 1.0
@@ -37,7 +41,41 @@ def adapted_features(spark, sf_dir):
     return found.select(F.col("image").cast("int").alias("image"), "octave", *(F.round(c, 4).alias(c) for c in ("y", "x", "sigma", "angle", "response")), *shape, F.array_join("d", ",").alias("d"))
 
 
-QUERIES = {"oriented_features": oriented_features, "adapted_features": adapted_features}
+#: Frames of a clip, their sides, the step of the window from frame to frame, and how much larger the grid is made.
+FRAMES, SIDES, STEP, TIMES = 8, (64, 80), (1, 3), 4
+
+
+def type_clips(spark, sf_dir):
+    """``clip, frame, height, width, pixels``: a window that moves over the values by hour and day of each type of event."""
+    ev = table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL")
+    sums = ev.groupBy(F.crc32("event_type").alias("image"), F.hour("ts").alias("y"), (F.dayofmonth("ts") - 1).alias("x")).agg(F.sum("value").alias("v"))
+    places = F.explode(F.expr(f"sequence(0, {HEIGHT * WIDTH - 1})"))
+    empty = sums.select("image").distinct().select("image", places.alias("p")).select("image", F.floor(F.col("p") / WIDTH).cast("int").alias("y"), (F.col("p") % WIDTH).cast("int").alias("x"))
+    grid = empty.join(sums, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    for _ in range(int(math.log2(TIMES))):
+        grid = I.smooth(I.up(grid, ["image"]), I.gaussian_weights(1.0), image=["image"])
+    top = grid.groupBy("image").agg(F.max("v").alias("top"))
+    gray = grid.join(F.broadcast(top), "image").select("image", "y", "x", F.round(255 * F.col("v") / F.col("top")).cast("int").alias("g"))
+    seen = gray.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    seen = seen.select("image", "frame", (F.col("y") - STEP[0] * F.col("frame")).alias("y"), (F.col("x") - STEP[1] * F.col("frame")).alias("x"), "g").where(f"y BETWEEN 0 AND {SIDES[0] - 1} AND x BETWEEN 0 AND {SIDES[1] - 1}")
+    rows = seen.groupBy("image", "frame").agg(F.array_sort(F.collect_list(F.struct("y", "x", "g"))).alias("p"))
+    raw = F.unhex(F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["g"]), 2, "0")), ""))
+    return rows.select(F.col("image").alias("clip"), F.col("frame").cast("long").alias("frame"), F.lit(SIDES[0]).alias("height"), F.lit(SIDES[1]).alias("width"), raw.alias("pixels"))
+
+
+def stream_points(spark, sf_dir):
+    """Points followed over every clip as a stream: the moves from frame to frame."""
+    out = f"{shared_folder(spark)}/trackloom-stages/points-{uuid.uuid4().hex}"
+    frames = durable(type_clips(spark, sf_dir))
+    stream = spark.readStream.schema(frames.schema).parquet(frames.inputFiles()[0].rsplit("/", 1)[0])
+    query = R.track_points(stream, mesh=4, demand=64).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    forget_at_exit(spark, out)
+    forget_at_exit(spark, f"{out}-state")
+    return spark.read.parquet(out).select("clip", "frame", "track_id", "age", *(F.round(c, 2).alias(c) for c in ("x", "y", "px", "py")))
+
+
+QUERIES = {"oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
 
 _O = T.Options()
 _LAYERS = _O.levels + 3

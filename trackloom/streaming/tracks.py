@@ -141,16 +141,24 @@ def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) ->
     follows the tracker if its error is at most ``near`` and goes otherwise;
     fresh matches join it, those at a place already held do not, and a frame
     holds at most ``most``, carried ones first.  State: one frame's matches.
+
+    In place of ``moved`` there may be the moves of each view by itself, ``la`` and ``lb`` (:func:`moves_of`):
+    a match then follows the points of both views that it joins, with the larger of their errors.
     """
+    alone = "moved" not in frames.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [tuple(m) for m in zip(*state.get, strict=True)] if state.exists else []
         out = []
         for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.frame):
-            to = {(m["xa"], m["ya"], m["xb"], m["yb"]): (m["ua"], m["va"], m["ub"], m["vb"]) for m in r.moved if m["error"] <= near}
+            if alone:
+                la, lb = ({(m["x"], m["y"]): (m["u"], m["v"]) for m in (side if side is not None else ()) if m["error"] <= near} for side in (r.la, r.lb))
+                to = {m: la[m[:2]] + lb[m[2:]] for m in held if m[:2] in la and m[2:] in lb}
+            else:
+                to = {(m["xa"], m["ya"], m["xb"], m["yb"]): (m["ua"], m["va"], m["ub"], m["vb"]) for m in r.moved if m["error"] <= near}
             now = [to[m] for m in held if m in to]
             taken = {(round(m[0]), round(m[1])) for m in now}
-            for m in r.fresh:
+            for m in r.fresh if r.fresh is not None else ():
                 m = (m["xa"], m["ya"], m["xb"], m["yb"])
                 if (round(m[0]), round(m[1])) not in taken:
                     taken.add((round(m[0]), round(m[1])))
@@ -163,3 +171,74 @@ def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) ->
 
     kinds = ", ".join(f"{c} array<double>" for c in ("xa", "ya", "xb", "yb"))
     return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, k int, xa double, ya double, xb double, yb double", kinds, "append", GroupStateTimeout.NoTimeout)
+
+
+def track_points(frames: DataFrame, mesh: int = 8, demand: float = 256, most_error: float = 1.0, max_age: int = 100, ts: str | None = None, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
+    """``clip, frame, track_id, age, x, y, px, py, error``: the live points of every frame of a stream of images.
+
+    ``frames`` are ``clip, frame, height, width, pixels`` (binary, a byte a pixel).  Points are followed by
+    pyramidal registration; a point lives on if its way there and back ends within ``most_error``
+    pixels of its beginning, and retires at ``max_age`` frames.  Cells of a ``mesh`` x ``mesh`` grid that hold under
+    0.7 of their share of ``demand`` are refilled with corners.  ``px, py`` is a point's place in the
+    frame before (null for a new one), so a frame's rows are the moves that :func:`propagate_matches` asks for.
+
+    A clip is one key; its state is one frame and its live points.  With an event time ``ts`` (rows later than
+    ``late`` are dropped) the state goes once the watermark is ``idle_ms`` past the clip's last frame; without one it stays.  Frames of a micro-batch may come in any order; one that is not after the last is
+    dropped, and one of another size begins anew.
+    """
+    import numpy as np
+
+    from trackloom.operators.klt import new_points, tracked
+
+    names = ["clip", "frame", "track_id", "age", "x", "y", "px", "py", "error"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, height, width, raw, ids, ages, xs, ys, following, seen = state.get if state.exists else (None, 0, 0, b"", [], [], [], [], 0, 0)
+        ids, ages, at = np.array(ids, np.int64), np.array(ages, np.int64), np.column_stack([xs, ys]).astype(float).reshape(-1, 2)
+        out = []
+        for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.frame):
+            seen = max(seen, int(r.ms))
+            if last is not None and r.frame <= last:
+                continue
+            now = np.frombuffer(r.pixels, np.uint8).reshape(int(r.height), int(r.width))
+            if last is None or now.shape != (height, width):
+                ids, ages, at, was, error = ids[:0], ages[:0], at[:0], at[:0], np.zeros(0)
+            else:
+                found, error = tracked(np.frombuffer(raw, np.uint8).reshape(height, width), now, at)
+                lives = (error <= most_error) & (ages < max_age)
+                was, at, ids, ages, error = at[lives], found[lives], ids[lives], ages[lives] + 1, error[lives]
+            more = new_points(now, at, mesh, demand)
+            none = np.full(len(more), np.nan)
+            ids, ages = np.concatenate([ids, following + np.arange(len(more))]), np.concatenate([ages, np.ones(len(more), np.int64)])
+            at, was, error = np.concatenate([at, more]), np.concatenate([was, np.column_stack([none, none])]), np.concatenate([error, none])
+            following, last, raw, (height, width) = following + len(more), int(r.frame), bytes(r.pixels), now.shape
+            out.append(pd.DataFrame({"clip": key[0], "frame": last, "track_id": ids, "age": ages, "x": at[:, 0], "y": at[:, 1], "px": was[:, 0], "py": was[:, 1], "error": error})[names])
+        if last is not None:
+            state.update((last, height, width, raw, ids.tolist(), ages.tolist(), at[:, 0].tolist(), at[:, 1].tolist(), int(following), seen))
+            if ts:
+                state.setTimeoutTimestamp(max(seen + idle_ms, state.getCurrentWatermarkMs() + 1))
+        for pdf in out:
+            yield pdf.astype({"px": object, "py": object, "error": object}).where(pdf.notna(), None)
+
+    held = "frame long, height int, width int, pixels binary, ids array<long>, ages array<long>, xs array<double>, ys array<double>, following long, seen long"
+    made = "clip long, frame long, track_id long, age long, x double, y double, px double, py double, error double"
+    columns = ["clip", "frame", "height", "width", "pixels"]
+    if ts:
+        timed = frames.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+        rows, timeout = timed.select(*columns, F.unix_millis("__ts").alias("ms"), "__ts"), GroupStateTimeout.EventTimeTimeout
+    else:
+        rows, timeout = frames.select(*columns, F.lit(0).cast("long").alias("ms")), GroupStateTimeout.NoTimeout
+    return rows.groupBy("clip").applyInPandasWithState(step, made, held, "append", timeout)
+
+
+def moves_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``clip, frame, la, lb``: the moves of two views' tracked points (as :func:`track_points` gives them, read back as
+    tables), each an array of ``x, y, u, v, error`` from the frame before to this one."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        move = F.struct(F.col("px").alias("x"), F.col("py").alias("y"), F.col("x").alias("u"), F.col("y").alias("v"), "error")
+        return df.where("px IS NOT NULL").groupBy("clip", "frame").agg(F.array_sort(F.collect_list(move)).alias(name))
+
+    return side(left, "la").join(side(right, "lb"), ["clip", "frame"], "full")
