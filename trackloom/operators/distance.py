@@ -183,11 +183,12 @@ def push_centres(df: DataFrame, centres: DataFrame, metric: str = "l2") -> DataF
 
 
 def push_tree(df: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
-    """``id, path``: nearest centres from root to leaf of a tree ``node, parent, c`` (root's parent 0)."""
+    """``id, path``: nearest centres from root to leaf of a tree ``node, parent, c`` (root's parent 0).
+    A step is taken where the row is, so repeated ids stay apart."""
+    children = small_side(tree.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("node", "c"))).alias("__c")))
+    best = F.array_min(F.transform("__c", lambda r: F.struct(pair_value("l2", F.col("v"), r["c"]).alias("d"), r["node"].alias("node"))))
     at = df.select("id", "v", F.lit(0).alias("parent"), F.array().cast("array<int>").alias("path"))
-    side = small_side(tree)
     for _ in range(depth):
-        scored = at.join(side, "parent").select("id", "v", "path", "node", pair_value("l2", F.col("v"), F.col("c")).alias("d"))
-        best = scored.groupBy("id").agg(F.min(F.struct("d", "node")).alias("m"), F.first("v").alias("v"), F.first("path").alias("path"))
-        at = best.select("id", "v", F.col("m.node").alias("parent"), F.concat("path", F.array(F.col("m.node"))).alias("path"))
+        at = at.join(children, "parent").select("id", "v", "path", best["node"].alias("parent"))
+        at = at.select("id", "v", "parent", F.concat("path", F.array("parent")).alias("path"))
     return at.select("id", "path")

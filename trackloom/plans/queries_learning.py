@@ -31,6 +31,12 @@ def kmeans_rounds(spark, sf_dir):
     return assigned.select("id", "centre", F.round("d", 5).alias("d"))
 
 
+def bounded_kmeans_rounds(spark, sf_dir):
+    """The same three rounds with bounds beside the rows, and the nearest of their centres."""
+    _, assigned, _ = C.elkan_kmeans(vectors(spark, sf_dir).select("id", "v"), _start(spark, sf_dir), ROUNDS + 1)
+    return assigned.select("id", "centre", F.round("d", 5).alias("d"))
+
+
 def integer_kmeans_rounds(spark, sf_dir):
     """The same on whole numbers, with centres rounded down."""
     rows = vectors(spark, sf_dir).select("id", F.transform("v", lambda x: F.floor(x * 100).cast("double")).alias("v"))
@@ -112,7 +118,7 @@ def _keypoints(method):
 
 QUERIES = {
     "dog_keypoints": _keypoints("dog"), "hessian_keypoints": _keypoints("hessian"),
-    "kmeans_rounds": kmeans_rounds, "integer_kmeans_rounds": integer_kmeans_rounds, "gmm_rounds": gmm_rounds, "svm_trace": svm_trace, "pegasos_scores": pegasos_scores, "gmm_posteriors": gmm_posteriors, "fisher_whole": fisher_whole,
+    "kmeans_rounds": kmeans_rounds, "bounded_kmeans_rounds": bounded_kmeans_rounds, "integer_kmeans_rounds": integer_kmeans_rounds, "gmm_rounds": gmm_rounds, "svm_trace": svm_trace, "pegasos_scores": pegasos_scores, "gmm_posteriors": gmm_posteriors, "fisher_whole": fisher_whole,
     "kernel_map_whole": kernel_map_whole, "hog": _hog("uoctti"), "hog_dalal_triggs": _hog("dalaltriggs"), "dense_descriptors": dense_descriptors,
 }
 
@@ -229,6 +235,7 @@ ORACLE_SQL = {
     "dog_keypoints": f"{_sql_layers()}, res AS (SELECT a.s, a.y, a.x, b.v - a.v AS r FROM lay a JOIN lay b ON b.s = a.s + 1 AND b.y = a.y AND b.x = a.x) {_sql_extrema(True)}",
     "hessian_keypoints": f"{_sql_layers()}, {_SQL_HESSIAN} {_sql_extrema(False)}",
     "kmeans_rounds": f"WITH {_CENTRES}, {_sql_lloyd('e', 'SELECT centre, c FROM c', False)}",
+    "bounded_kmeans_rounds": f"WITH {_CENTRES}, {_sql_lloyd('e', 'SELECT centre, c FROM c', False)}",
     "integer_kmeans_rounds": f"WITH {_CENTRES}, w AS (SELECT id, list_transform(v, lambda q: floor(q * 100)) AS v FROM e), {_sql_lloyd('w', 'SELECT centre, list_transform(c, lambda q: floor(q * 100)) AS c FROM c', True)}",
     "gmm_rounds": f"WITH {VECTORS_SQL}, {_sql_em(2)}",
     "svm": f"WITH {VECTORS_SQL}, {_sql_descent(STEPS)}, mean AS (SELECT i, avg(w) AS w FROM ({' UNION ALL '.join(f'SELECT * FROM w{t}' for t in range(STEPS // 2 + 1, STEPS + 1))}) GROUP BY 1) SELECT id, min(y)::INT AS y, round(sum(x * w), 6) AS score FROM f JOIN mean USING (i) GROUP BY 1",
