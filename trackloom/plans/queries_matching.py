@@ -9,6 +9,7 @@ from trackloom.operators import cluster as C
 from trackloom.operators import distance as D
 from trackloom.operators import encode as E
 from trackloom.operators import forest as K
+from trackloom.operators import inverted as V
 from trackloom.plans.tables import VECTORS_SQL, table, vectors
 
 METRICS = ["l2", "l1", "l0", "linf", "chi2", "hell", "js", "kl2", "kl1", "kchi2", "khell", "kjs"]
@@ -52,6 +53,12 @@ def approximate_neighbours(spark, sf_dir):
     return found.select("q", "rank", "id", F.round("d2", 5).alias("d2"))
 
 
+def indexed_neighbours(spark, sf_dir):
+    """Seven nearest rows by inverted lists over residual codes; nearly those of ``nearest_neighbours``."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    return V.query(_queries(rows), V.index(rows), 7).select("q", "rank", "id", F.round("d2", 5).alias("d2"))
+
+
 def nearest_centre(spark, sf_dir):
     return D.push_centres(vectors(spark, sf_dir).select("id", "v"), _centres(spark, sf_dir)).select("id", "centre", F.round("d", 5).alias("d"))
 
@@ -127,7 +134,7 @@ def bottleneck(spark, sf_dir):
 
 
 QUERIES = {
-    "ratio_match": ratio_match, "pair_distances": pair_distances, "nearest_neighbours": nearest_neighbours, "approximate_neighbours": approximate_neighbours, "nearest_centre": nearest_centre, "centre_tree": centre_tree,
+    "ratio_match": ratio_match, "pair_distances": pair_distances, "nearest_neighbours": nearest_neighbours, "approximate_neighbours": approximate_neighbours, "indexed_neighbours": indexed_neighbours, "nearest_centre": nearest_centre, "centre_tree": centre_tree,
     "vlad": vlad, "fisher": fisher, "kernel_map": kernel_map, "kmeans_energy": kmeans_energy, "kmeans_step": kmeans_step, "kmeans": kmeans, "gmm": gmm,
     "mutual_information": mutual_information, "bottleneck": bottleneck,
 }
