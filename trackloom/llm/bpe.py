@@ -147,7 +147,7 @@ class WordBPE:
     ask for more than this does (``check_spec``) are refused.
     """
 
-    def __init__(self, path: str, cache_words: int = 800_000) -> None:
+    def __init__(self, path: str, cache_words: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -215,20 +215,23 @@ class WordBPE:
 
 
 class _Cache(dict):
-    """Words already merged; emptied when it holds more than ``most``."""
+    """Words already merged, in two generations of at most ``most`` each: those asked for again outlive the older."""
 
     def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.make(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= 64:
             self[word] = found
         return found
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
 
 

@@ -33,6 +33,7 @@ from pyspark.sql.types import DoubleType
 
 from trackloom.llm.common import materialize, table
 from trackloom.llm.components import component_roots
+from trackloom.operators.quantise import codebooks, encoded, lloyd, looked_up, nearest_rows, parts_of
 
 #: Rows of a list for each of its sides in a task; longer lists are dealt out by blocks.
 BLOCK = 4096
@@ -53,21 +54,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _lloyd(x: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
-    for _ in range(rounds):
-        at = _nearest(x, c)
-        n = np.bincount(at, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-    return c
-
-
-def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half, step = (c * c).sum(1) / 2, max(1, (1 << 22) // len(c))
-    return np.concatenate([(half - x[i : i + step] @ c.T).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, int)])
-
-
 @dataclass
 class Quantiser:
     """Of vectors of one length: list centres, their mutual distances, codebooks of the parts, pivots of families."""
@@ -91,13 +77,9 @@ class Quantiser:
                     if np.count_nonzero(own) >= FAMILY:
                         pivots.append(x[own].mean(0))
         apart = x[kept]
-        centres = _lloyd(apart, apart[:lists].copy(), 6) if len(apart) else np.zeros((1, x.shape[1]))
-        left = apart - centres[_nearest(apart, centres)]
-        books = []
-        for part in cls.parts(x.shape[1]):
-            words = np.unique(left[: 16 * CODEWORDS, part], axis=0)
-            words = words[np.random.RandomState(0).permutation(len(words))[:CODEWORDS]]
-            books.append(_lloyd(left[: 16 * CODEWORDS, part], words, 4) if len(words) else np.zeros((1, part.stop - part.start)))
+        centres = lloyd(apart, apart[:lists].copy(), 6) if len(apart) else np.zeros((1, x.shape[1]))
+        some = apart[: 64 * CODEWORDS]
+        books = codebooks(some - centres[nearest_rows(some, centres)], parts_of(x.shape[1], SUBSPACES), CODEWORDS)
         return cls(centres, books, np.array(pivots).reshape(-1, x.shape[1]))
 
     @classmethod
@@ -105,11 +87,6 @@ class Quantiser:
         """One list and one codeword: of a length that the sample has not."""
         return cls.fit(np.zeros((0, dims)), 1, 0.0)
 
-    @staticmethod
-    def parts(dims: int) -> list[slice]:
-        cuts = np.linspace(0, dims, min(SUBSPACES, dims) + 1).astype(int)
-        return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-
     def lists_of(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """The home of each row, and the other lists that it visits."""
         sizes, homes, visits = (self.centres**2).sum(1), [np.zeros(0, int)], []
@@ -126,28 +103,18 @@ class Quantiser:
 
     def codes(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(rows, parts)`` codes of the residuals, and the length of what they lose."""
-        left, out, lost = x - self.centres[home], [], np.zeros(len(x))
-        for part, book in zip(self.parts(x.shape[1]), self.books, strict=True):
-            at = _nearest(left[:, part], book)
-            out.append(at.astype(np.uint8))
-            lost += ((left[:, part] - book[at]) ** 2).sum(1)
-        return np.stack(out, 1), np.sqrt(lost)
+        return encoded(x - self.centres[home], parts_of(x.shape[1], SUBSPACES), self.books)
 
     def family(self, x: np.ndarray, radius: float) -> np.ndarray:
         """The pivot within half the radius, or -1."""
         if not len(self.pivots):
             return np.full(len(x), -1)
-        at = _nearest(x, self.pivots)
+        at = nearest_rows(x, self.pivots)
         return np.where(np.sqrt(((x - self.pivots[at]) ** 2).sum(1)) <= radius / 2 * (1 - 1e-6), at, -1)
 
     def table_distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances from the queries to the decoded rows of list ``at``, by table look-up."""
-        left, total = q - self.centres[at], np.zeros((len(q), len(codes)))
-        for m, (part, book) in enumerate(zip(self.parts(q.shape[1]), self.books, strict=True)):
-            own = left[:, part]
-            tables = (own * own).sum(1)[:, None] - 2 * own @ book.T + (book * book).sum(1)
-            total += tables[:, codes[:, m]]
-        return np.sqrt(np.maximum(total, 0))
+        return np.sqrt(looked_up(q - self.centres[at], codes, parts_of(q.shape[1], SUBSPACES), self.books))
 
 
 def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
