@@ -13,8 +13,6 @@ from trackloom.operators import inverted as V
 from trackloom.plans.tables import VECTORS_SQL, table, vectors
 
 METRICS = ["l2", "l1", "l0", "linf", "chi2", "hell", "js", "kl2", "kl1", "kchi2", "khell", "kjs"]
-#: Fixed parameters of fisher's two-part mixture over the first components, as in its SQL.
-DIMS = 4
 
 
 def _centres(spark, sf_dir):
@@ -80,17 +78,6 @@ def vlad(spark, sf_dir):
     return E.vlad(rows.select("id", "v"), centres, near).select("k", "dim", F.round("val", 6).alias("val"))
 
 
-def fisher(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("id", F.slice("v", 1, DIMS).alias("v"))
-    mixture = [([0.0] * DIMS, [1.0] * DIMS, 0.5), ([0.5] * DIMS, [2.0] * DIMS, 0.5)]
-    return E.fisher(rows, mixture).select("k", "moment", "dim", F.round("val", 6).alias("val"))
-
-
-def kernel_map(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("id", E.kernel_map(F.col("v")[0], 1, "chi2").alias("m"))
-    return rows.select("id", *(F.round(F.col("m")[i], 6).alias(f"m{i}") for i in range(3)))
-
-
 def kmeans_energy(spark, sf_dir):
     """Energy after each point goes to its nearest label mean, by centre."""
     near = D.push_centres(vectors(spark, sf_dir).select("id", "v"), _centres(spark, sf_dir))
@@ -135,7 +122,7 @@ def bottleneck(spark, sf_dir):
 
 QUERIES = {
     "ratio_match": ratio_match, "pair_distances": pair_distances, "nearest_neighbours": nearest_neighbours, "approximate_neighbours": approximate_neighbours, "indexed_neighbours": indexed_neighbours, "nearest_centre": nearest_centre, "centre_tree": centre_tree,
-    "vlad": vlad, "fisher": fisher, "kernel_map": kernel_map, "kmeans_energy": kmeans_energy, "kmeans_step": kmeans_step, "kmeans": kmeans, "gmm": gmm,
+    "vlad": vlad, "kmeans_energy": kmeans_energy, "kmeans_step": kmeans_step, "kmeans": kmeans, "gmm": gmm,
     "mutual_information": mutual_information, "bottleneck": bottleneck,
 }
 
@@ -176,24 +163,12 @@ ORACLE_SQL = {
         mu AS (SELECT centre AS k, generate_subscripts(c, 1) - 1 AS dim, unnest(c) AS mu FROM c),
         r AS (SELECT k, dim, coalesce(s - m * mu, 0) AS val FROM mu LEFT JOIN s USING (k, dim))
         SELECT k, dim::INT AS dim, round(val / greatest(sqrt((SELECT sum(val * val) FROM r)), 1e-12), 6) AS val FROM r""",
-    "fisher": f"""
-        WITH {VECTORS_SQL}, p AS (SELECT id, v[1:4] AS v FROM e), m(k, mu, s2, pr) AS (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE), (1, 0.5, 2.0, 0.5)),
-        l AS (SELECT id, v, k, mu, s2, pr, ln(pr) - 0.5 * (4 * ln(2 * pi()) + 4 * ln(s2)) - 0.5 * list_sum(list_transform(v, lambda x: (x - mu) * (x - mu) / s2)) AS l FROM p, m),
-        q AS (SELECT *, exp(l - max(l) OVER (PARTITION BY id)) AS w FROM l), z AS (SELECT *, w / sum(w) OVER (PARTITION BY id) AS q FROM q),
-        d AS (SELECT k, mu, s2, pr, q, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM z),
-        s AS (SELECT k, dim, mu, s2, pr, (SELECT count(*) FROM e) AS n, sum(q) q0, sum(q * x) q1, sum(q * x * x) q2 FROM d GROUP BY ALL)
-        SELECT k, 1 AS moment, dim::INT AS dim, round((q1 - q0 * mu) / sqrt(s2) / (n * sqrt(pr)), 6) AS val FROM s
-        UNION ALL SELECT k, 2, dim::INT, round(((q2 - 2 * mu * q1 + q0 * mu * mu) / s2 - q0) / (n * sqrt(2 * pr)), 6) FROM s""",
     "centre_tree": f"""
         WITH {_CENTRES}, u AS (SELECT label % 2 + 1 AS node, i, round(avg(x), 6) AS x FROM mean GROUP BY 1, 2), top AS (SELECT node, list(x ORDER BY i) AS c FROM u GROUP BY 1),
         a AS (SELECT e.id, e.v, node, list_sum(list_transform(list_zip(e.v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM e, top),
         l AS (SELECT id, v, node AS level1 FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, node) = 1),
         b AS (SELECT id, level1, centre + 3 AS node, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM l JOIN c ON centre % 2 + 1 = level1)
         SELECT id, level1, node AS level2 FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, node) = 1""",
-    "kernel_map": f"""
-        WITH {VECTORS_SQL}, p AS (SELECT id, v[1] AS x, 2 * pi() / (5.86::DOUBLE + 3.65::DOUBLE) AS s FROM e), k AS (SELECT id, x, s, 2 / (exp(pi() * s) + exp(-pi() * s)) AS q FROM p)
-        SELECT id, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(s * abs(x)) END, 6) AS m0, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(2 * s * q * abs(x)) * cos(s * ln(abs(x))) END, 6) AS m1,
-               round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(2 * s * q * abs(x)) * sin(s * ln(abs(x))) END, 6) AS m2 FROM k""",
     "kmeans_energy": f"WITH {_NEAR} SELECT centre, count(*) AS n, round(sum(d), 4) AS energy FROM near GROUP BY 1",
     "kmeans_step": f"WITH {_NEAR}, q AS (SELECT centre, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM near) SELECT centre, dim::INT AS dim, round(avg(x), 6) AS x FROM q GROUP BY 1, 2",
     "mutual_information": """
