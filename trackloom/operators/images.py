@@ -68,21 +68,22 @@ def _cubic(d: Column) -> Column:
     return F.when(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1).when(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2).otherwise(0.0)
 
 
-def backward_warp(pixels: DataFrame, targets: DataFrame, kernel: str = "linear", slopes: bool = False) -> DataFrame:
-    """Samples of ``pixels`` at ``targets`` (``y, x, wy, wx``), bilinear or by cubic convolution; NaN where a
+def backward_warp(pixels: DataFrame, targets: DataFrame, kernel: str = "linear", slopes: bool = False, image: list[str] | None = None) -> DataFrame:
+    """Samples of ``pixels`` at ``targets`` (``[image,] y, x, wy, wx``), bilinear or by cubic convolution; NaN where a
     pixel that counts is missing.  With ``slopes`` (bilinear only) also the derivatives ``vy, vx`` by
     the place sampled; all four pixels count then."""
+    image = image or []
     y0, x0 = F.floor("wy").cast("int"), F.floor("wx").cast("int")
     fy, fx, i, j = F.col("wy") - y0, F.col("wx") - x0, F.col("i"), F.col("j")
     steps = F.array(*map(F.lit, (-1, 0, 1, 2) if kernel == "cubic" else (0, 1)))
-    each = targets.select(F.col("y").alias("ty"), F.col("x").alias("tx"), "wy", "wx", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    each = targets.select(*image, F.col("y").alias("ty"), F.col("x").alias("tx"), "wy", "wx", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
     side = (lambda f, k: _cubic(f - k)) if kernel == "cubic" else (lambda f, k: F.when(k == 1, f).otherwise(1 - f))
-    wanted = each.select("ty", "tx", (y0 + i).alias("y"), (x0 + j).alias("x"), side(fy, i).alias("__a"), side(fx, j).alias("__b"), (2 * i - 1).alias("__i"), (2 * j - 1).alias("__j"))
-    wanted = wanted.select("ty", "tx", "y", "x", (F.col("__a") * F.col("__b")).alias("w"), (F.col("__i") * F.col("__b")).alias("a"), (F.col("__j") * F.col("__a")).alias("b"))
+    wanted = each.select(*image, "ty", "tx", (y0 + i).alias("y"), (x0 + j).alias("x"), side(fy, i).alias("__a"), side(fx, j).alias("__b"), (2 * i - 1).alias("__i"), (2 * j - 1).alias("__j"))
+    wanted = wanted.select(*image, "ty", "tx", "y", "x", (F.col("__a") * F.col("__b")).alias("w"), (F.col("__i") * F.col("__b")).alias("a"), (F.col("__j") * F.col("__a")).alias("b"))
     wanted = wanted if slopes else wanted.where("w != 0")
     sums = {"v": "w"} | ({"vy": "a", "vx": "b"} if slopes else {})
-    joined = wanted.join(pixels.select("y", "x", F.col("v").alias("__v")), ["y", "x"], "left").groupBy("ty", "tx").agg(F.count("__v").alias("got"), F.count("*").alias("all"), *(F.sum(F.col(w) * F.col("__v")).alias(n) for n, w in sums.items()))
-    return joined.select(F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(F.col("got") == F.col("all"), F.col(n)).otherwise(float("nan")).alias(n) for n in sums))
+    joined = wanted.join(pixels.select(*image, "y", "x", F.col("v").alias("__v")), [*image, "y", "x"], "left").groupBy(*image, "ty", "tx").agg(F.count("__v").alias("got"), F.count("*").alias("all"), *(F.sum(F.col(w) * F.col("__v")).alias(n) for n, w in sums.items()))
+    return joined.select(*image, F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(F.col("got") == F.col("all"), F.col(n)).otherwise(float("nan")).alias(n) for n in sums))
 
 
 def distance_transform(pixels: DataFrame, a: float = 1.0, b: float = 0.0, c: float = 1.0, d: float = 0.0, reach: int | None = None) -> DataFrame:

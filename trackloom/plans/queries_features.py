@@ -1,4 +1,4 @@
-"""Queries on scale-space features of many images, and on points followed over clips."""
+"""Queries on scale-space features of many images, rendered meshes, and points followed over clips."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import features as T
 from trackloom.operators import images as I
+from trackloom.operators import render as N
 from trackloom.plans.stages import durable, forget_at_exit, shared_folder
 from trackloom.plans.tables import table
 from trackloom.streaming import tracks as R
@@ -75,7 +76,25 @@ def stream_points(spark, sf_dir):
     return spark.read.parquet(out).select("clip", "frame", "track_id", "age", *(F.round(c, 2).alias(c) for c in ("x", "y", "px", "py")))
 
 
-QUERIES = {"oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
+#: Rows and columns of the mesh, its cells' height and width, and the canvas's margin.
+MESH, CELL, GAP = (4, 5), (6.0, 6.2), 4
+
+
+def moved_mesh(spark, sf_dir):
+    """``image, i, j, x, y``: the vertices of every image's mesh, moved by up to two pixels, some over their neighbours."""
+    images = user_images(spark, sf_dir).select("image").distinct()
+    grid = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(MESH[0]))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(MESH[1]))).alias("j"))
+    shift = lambda a, b, c: (F.pmod(F.col("image") * a + F.col("i") * b + F.col("j") * c, F.lit(9)) - 4) * 0.55
+    return grid.select("image", "i", "j", (F.col("j") * CELL[1] + shift(7, 3, 5) + 0.3).alias("x"), (F.col("i") * CELL[0] + shift(4, 7, 2) - 0.2).alias("y"))
+
+
+def rendered_meshes(spark, sf_dir):
+    """Every image under its moved mesh, on a wider canvas."""
+    found = N.render(user_images(spark, sf_dir), moved_mesh(spark, sf_dir), ["image"], HEIGHT, WIDTH, *CELL, gap=GAP)
+    return found.select(F.col("image").cast("int").alias("image"), "y", "x", (F.round("v", 4) + 0.0).alias("v"))
+
+
+QUERIES = {"rendered_meshes": rendered_meshes, "oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
 
 _O = T.Options()
 _LAYERS = _O.levels + 3
@@ -135,6 +154,28 @@ def _sql_smoothing() -> str:
     return ", ".join(f"({k - 6}, {float(v)!r}::DOUBLE)" for k, v in enumerate(w))
 
 
+_SQL_IMAGES = f"""ev AS (SELECT user_id % {IMAGES} AS image, hour(ts) AS y, day(ts) - 1 AS x, sum(round(value * 100)::BIGINT) / 100 AS v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL),
+        b0 AS (SELECT image, y, x, coalesce(v, 0)::DOUBLE AS v FROM (SELECT image, (i // {WIDTH})::INT AS y, (i % {WIDTH})::INT AS x FROM (SELECT DISTINCT image FROM ev), range({HEIGHT * WIDTH}) r(i)) LEFT JOIN ev USING (image, y, x))"""
+_SQL_KEYS = lambda d: f"CASE WHEN abs({d}) <= 1 THEN 1.5 * pow(abs({d}), 3) - 2.5 * pow({d}, 2) + 1 WHEN abs({d}) < 2 THEN -0.5 * pow(abs({d}), 3) + 2.5 * pow({d}, 2) - 4 * abs({d}) + 2 ELSE 0 END"
+
+
+def _sql_rendered() -> str:
+    shift = lambda a, b, c: f"((image * {a} + i * {b} + j * {c}) % 9 - 4) * 0.55::DOUBLE"
+    corner = ", ".join(f"max(x) FILTER (a = {a} AND b = {b}) AS x{n}, max(y) FILTER (a = {a} AND b = {b}) AS y{n}" for n, (a, b) in enumerate(N.CORNERS))
+    return f"""WITH {_SQL_IMAGES},
+        v AS (SELECT image, i, j, j * {CELL[1]}::DOUBLE + {shift(7, 3, 5)} + 0.3 AS x, i * {CELL[0]}::DOUBLE + {shift(4, 7, 2)} - 0.2 AS y FROM (SELECT DISTINCT image FROM ev), range({MESH[0] + 1}) p(i), range({MESH[1] + 1}) q(j)),
+        q AS (SELECT image, i - a AS r, j - b AS c, {corner} FROM v, range(2) p(a), range(2) q(b) WHERE i - a BETWEEN 0 AND {MESH[0] - 1} AND j - b BETWEEN 0 AND {MESH[1] - 1} GROUP BY ALL),
+        c AS (SELECT p.y - {GAP} AS y, q.x - {GAP} AS x FROM range({HEIGHT + 2 * GAP}) p(y), range({WIDTH + 2 * GAP}) q(x)),
+        o AS (SELECT q.*, c.y, c.x FROM q JOIN c ON c.x >= floor(least(x0, x1, x2, x3)) AND c.x < ceil(greatest(x0, x1, x2, x3)) AND c.y >= floor(least(y0, y1, y2, y3)) AND c.y < ceil(greatest(y0, y1, y2, y3)) QUALIFY row_number() OVER (PARTITION BY image, c.y, c.x ORDER BY r DESC, c DESC) = 1),
+        s AS (SELECT *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS g, ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS h FROM o),
+        m AS (SELECT image, y, x, r, c, x1 - x0 + g * x1 AS a, x3 - x0 + h * x3 AS b, x0 AS t, y1 - y0 + g * y1 AS d, y3 - y0 + h * y3 AS e, y0 AS f, g, h FROM s),
+        w AS (SELECT image, y, x, round((r + ((f * g - d) * x + (a - t * g) * y + t * d - a * f) / ((d * h - e * g) * x + (b * g - a * h) * y + a * e - b * d)) * {CELL[0]}::DOUBLE, 9) AS wy,
+            round((c + ((e - f * h) * x + (t * h - b) * y + b * f - t * e) / ((d * h - e * g) * x + (b * g - a * h) * y + a * e - b * d)) * {CELL[1]}::DOUBLE, 9) AS wx FROM m),
+        k AS (SELECT w.image, w.y, w.x, floor(wy) + i - 1 AS sy, floor(wx) + j - 1 AS sx, ({_SQL_KEYS("(wy - floor(wy) - i + 1)")}) * ({_SQL_KEYS("(wx - floor(wx) - j + 1)")}) AS weight FROM w, range(4) p(i), range(4) q(j) WHERE wy BETWEEN -1 AND {HEIGHT} AND wx BETWEEN -1 AND {WIDTH}),
+        z AS (SELECT k.image, k.y, k.x, CASE WHEN count(b0.v) = count(*) THEN sum(weight * b0.v) END AS v FROM k LEFT JOIN b0 ON b0.image = k.image AND b0.y = sy AND b0.x = sx WHERE weight <> 0 GROUP BY ALL)
+        SELECT image::INT AS image, w.y::INT AS y, w.x::INT AS x, round(z.v, 4) + 0.0 AS v FROM w LEFT JOIN z USING (image, y, x)"""
+
+
 def _sql_features() -> str:
     sizes = [(HEIGHT, WIDTH)]
     for _ in range(OCTAVES - 1):
@@ -142,8 +183,7 @@ def _sql_features() -> str:
     of = lambda c: " UNION ALL ".join(f"SELECT * FROM {c}{o}" for o in range(OCTAVES))
     turn, cells, bins, dirs = repr(T.TURN), T.CELLS, T.BINS, T.DIRECTIONS
     return ",\n".join([
-        f"""WITH ev AS (SELECT user_id % {IMAGES} AS image, hour(ts) AS y, day(ts) - 1 AS x, sum(round(value * 100)::BIGINT) / 100 AS v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL),
-        b0 AS (SELECT image, y, x, coalesce(v, 0)::DOUBLE AS v FROM (SELECT image, (i // {WIDTH})::INT AS y, (i % {WIDTH})::INT AS x FROM (SELECT DISTINCT image FROM ev), range({HEIGHT * WIDTH}) r(i)) LEFT JOIN ev USING (image, y, x))""",
+        f"WITH {_SQL_IMAGES}",
         *(part for o, (h, w) in enumerate(sizes) for part in _sql_octave(o, h, w)),
         f"k AS MATERIALIZED (SELECT row_number() OVER () AS id, octave, image, y, x, response, {_O.sigma} * pow(2, s / {_O.levels}) AS sigma, greatest(-1, least({_O.levels + 1}, floor(s + 0.5))) AS s FROM ({of('k')}))",
         f"g AS MATERIALIZED (SELECT octave, s, image, y, x, sqrt(gx * gx + gy * gy) AS m, atan2(gy, gx) AS a FROM ({of('t')}))",
@@ -166,4 +206,4 @@ def _sql_features() -> str:
     ]) + " SELECT image::INT AS image, octave, round(y * pow(2, octave), 4) AS y, round(x * pow(2, octave), 4) AS x, round(sigma * pow(2, octave), 4) AS sigma, round(angle, 4) AS angle, round(response, 4) AS response, d FROM kd JOIN dg USING (kid) WHERE abs(response) >= " + repr(PEAK)
 
 
-ORACLE_SQL = {"oriented_features": _sql_features()}
+ORACLE_SQL = {"oriented_features": _sql_features(), "rendered_meshes": _sql_rendered()}
