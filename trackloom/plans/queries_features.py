@@ -1,4 +1,4 @@
-"""Queries on scale-space features of many images, rendered meshes, and points followed over clips."""
+"""Queries on scale-space features of many images, videos, rendered meshes, and points followed over clips."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from trackloom.operators import images as I
 from trackloom.operators import render as N
 from trackloom.plans.stages import durable, forget_at_exit, shared_folder
 from trackloom.plans.tables import table
+from trackloom.sources import video as IO
 from trackloom.streaming import tracks as R
 
 #: Images that users' events are dealt to, their height and width, octaves, and the least response of a keypoint.
@@ -94,7 +95,21 @@ def rendered_meshes(spark, sf_dir):
     return found.select(F.col("image").cast("int").alias("image"), "y", "x", (F.round("v", 4) + 0.0).alias("v"))
 
 
-QUERIES = {"rendered_meshes": rendered_meshes, "oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
+#: Pages of a clip.
+CLIP = 64
+
+
+def video_frames(spark, sf_dir):
+    """All pages as the frames of clips of 64, written as videos and read back by their sample tables."""
+    out = f"{shared_folder(spark)}/trackloom-stages/videos-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / CLIP).alias("clip"), F.col("page_id").alias("frame_idx"), F.col("html").alias("content"))
+    IO.write_videos(pages, out, rate=5)
+    forget_at_exit(spark, out)
+    clip = F.regexp_extract("path", "([0-9]+)[.]mp4$", 1).cast("long")
+    return IO.read_video(spark, out).select(clip.alias("clip"), "frame_idx", F.round("pts", 4).alias("pts"), "length", F.md5("content").alias("digest"))
+
+
+QUERIES = {"video_frames": video_frames, "rendered_meshes": rendered_meshes, "oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
 
 _O = T.Options()
 _LAYERS = _O.levels + 3
@@ -206,4 +221,7 @@ def _sql_features() -> str:
     ]) + " SELECT image::INT AS image, octave, round(y * pow(2, octave), 4) AS y, round(x * pow(2, octave), 4) AS x, round(sigma * pow(2, octave), 4) AS sigma, round(angle, 4) AS angle, round(response, 4) AS response, d FROM kd JOIN dg USING (kid) WHERE abs(response) >= " + repr(PEAK)
 
 
-ORACLE_SQL = {"oriented_features": _sql_features(), "rendered_meshes": _sql_rendered()}
+_SQL_VIDEO = f"""
+    WITH p AS (SELECT page_id // {CLIP} AS clip, row_number() OVER (PARTITION BY page_id // {CLIP} ORDER BY page_id) AS n, coalesce(html, '') AS html FROM pages)
+    SELECT clip, n::INT AS frame_idx, round((n - 1) / 5.0::DOUBLE, 4) AS pts, octet_length(encode(html)) AS length, md5(html) AS digest FROM p"""
+ORACLE_SQL = {"video_frames": _SQL_VIDEO, "oriented_features": _sql_features(), "rendered_meshes": _sql_rendered()}
