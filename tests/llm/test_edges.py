@@ -582,3 +582,17 @@ def test_quality_beside_columns_of_its_own_names(spark):
     assert out.columns == [*docs.columns, "__judged__"] and [r["__judged"] for r in out.orderBy("doc_id").collect()] == list(range(40))
     kept = quality.keep_good(docs, marks)
     assert kept.columns == docs.columns and kept.count() <= 40
+
+
+def test_windows_of_many_items_go_by_number(spark):
+    rnd = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    windows = [" ".join(rnd.sample(words, 10)) for _ in range(30)]
+    items = [(f"item{i}", windows[rnd.randrange(4) if i % 2 else rnd.randrange(30)]) for i in range(200)] + [(None, windows[0]), ("short", "w1 w2")]
+    docs = [(i, " ".join(rnd.choice(windows + ["x", "y"]) for _ in range(rnd.randrange(6)))) for i in range(80)] + [(None, windows[0]), (5, windows[1]), (9, None)]
+    given, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    read = lambda **o: collections.Counter((r.doc_id, r.n_words, tuple((x["first"], x["end"]) for x in r.spans), tuple(r["items"])) for r in decontaminate.find_contamination(given, marks, **o).collect())
+    want = read()
+    assert any(len(k[3]) > 20 and None in k[3] for k in want)
+    for o in ({"most_names": 3}, {"most_names": 0}, {"most_names": 3, "block_bytes": 700}, {"block_bytes": 2000}):
+        assert read(**o) == want

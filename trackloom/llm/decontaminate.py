@@ -164,7 +164,7 @@ def _patterns(token: str, broadcast) -> PatternSet:
     return _BUILT[token]
 
 
-_STATE = "id long, h long, n long, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
+_STATE = "id long, h long, n long, n_words long, spans array<struct<first: long, end: long>>, items array<string>, shared array<long>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
@@ -178,7 +178,7 @@ def _search(token: str, broadcast, every: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = _patterns(token, broadcast)
         for batch in batches:
-            spans_out, items_out, n_out, rows = [], [], [], []
+            spans_out, items_out, shared_out, n_out, rows = [], [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 words = words_of(text or b"")
                 spans, items = patterns.find(words)
@@ -186,9 +186,11 @@ def _search(token: str, broadcast, every: bool):
                     rows.append(i)
                     n_out.append(len(words))
                     spans_out.append([{"first": a, "end": b} for a, b in spans])
-                    items_out.append(_in_order(items))
+                    # a window of many items goes by a number
+                    shared_out.append([x for x in items if isinstance(x, int)])
+                    items_out.append(_in_order({x for x in items if not isinstance(x, int)}))
             kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.record_batch({**{c: kept.column(c) for c in ("id", "h", "n")}, "n_words": pa.array(n_out, pa.int64()), "spans": pa.array(spans_out, _SPANS), "items": pa.array(items_out, pa.list_(pa.string()))})
+            yield pa.record_batch({**{c: kept.column(c) for c in ("id", "h", "n")}, "n_words": pa.array(n_out, pa.int64()), "spans": pa.array(spans_out, _SPANS), "items": pa.array(items_out, pa.list_(pa.string())), "shared": pa.array(shared_out, pa.list_(pa.int64()))})
 
     return search
 
@@ -200,13 +202,14 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column("id"), "n_words": batch.column("n_words"), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, most_names: int = 256) -> DataFrame:
     """``doc_id, n_words, spans, items`` for every row: the word spans inside any
     occurrence of a benchmark window, and the items whose windows occur.
 
-    ``block_bytes`` bounds the words of the distinct windows (each with all
-    its words) that one pass searches; a worker's tables take about eight
-    times that.
+    ``block_bytes`` bounds the distinct windows (each with all its words) and the names of
+    their items that one pass searches; a worker's tables take about eight
+    times that.  A window of more than ``most_names`` items takes part by a number, and
+    their names are joined to what it hits afterwards.
 
     Defined cases: null texts have no words; an item without an id is named
     null; items without words match nothing; repeated rows and items are
@@ -216,19 +219,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("binary").alias("text")).where(F.col("text").isNotNull())
     windows = materialize(items.mapInArrow(_item_windows(size), "window binary, item string").distinct(), "benchmark-windows")
-    total = windows.agg(F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-total // block_bytes))
+    names = windows.groupBy("window").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("item"), F.lit(0)) + 64).alias("bytes"))
+    names = materialize(names.select("window", "bytes", F.when(F.col("n") > most_names, F.monotonically_increasing_id()).alias("key")), "benchmark-names")
+    sums = names.agg(F.coalesce(F.sum(F.octet_length("window") + F.when(F.col("key").isNull(), F.col("bytes")).otherwise(64)), F.lit(0)).alias("b"), F.count("key").alias("shared")).first()
+    blocks = max(1, -(-sums["b"] // block_bytes))
+    named = windows.join(names.where("key IS NULL").select("window"), "window") if sums["shared"] else windows
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
     passes = []
     for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).groupBy("window").agg(F.collect_list(F.struct("item")).alias("items"))
-        patterns = sorted((bytes(r["window"]), sorted((x["item"] for x in r["items"]), key=lambda x: (x is None, x or ""))) for r in part.collect())
+        here = F.pmod(F.xxhash64("window"), F.lit(blocks)) == block
+        patterns = [(bytes(r["window"]), sorted((x["item"] for x in r["items"]), key=lambda x: (x is None, x or ""))) for r in named.where(here).groupBy("window").agg(F.collect_list(F.struct("item")).alias("items")).collect()]
+        if sums["shared"]:
+            patterns += [(bytes(r["window"]), [r["key"]]) for r in names.where(here & F.col("key").isNotNull()).collect()]
+        patterns.sort(key=lambda p: p[0])
         passes.append(rows.mapInArrow(_search(uuid.uuid4().hex, spark.sparkContext.broadcast(patterns), not block), _STATE))
-    if blocks == 1:
+    if blocks == 1 and not sums["shared"]:
         return passes[0].select(F.col("id").alias("doc_id"), "n_words", "spans", "items")
     # rows with one id and text have the same hits in every block
-    more = functools.reduce(DataFrame.unionAll, passes[1:]).select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("spans").alias("s2"), F.col("items").alias("i2"))
+    others = [p.select("id", "h", "n", "spans", "items") for p in passes[1:]]
+    if sums["shared"]:
+        passes = [materialize(p, "benchmark-hits") for p in passes]
+        hit = functools.reduce(DataFrame.unionAll, passes).select("id", "h", "n", F.explode("shared").alias("key")).distinct()
+        known = names.where("key IS NOT NULL").select("window", "key").join(windows, "window").select("key", F.array("item").alias("items"))
+        none = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("end"))), 1, 0)
+        others = [p.select("id", "h", "n", "spans", "items") for p in passes[1:]] + [hit.join(known, "key").select("id", "h", "n", none.alias("spans"), "items")]
+    more = functools.reduce(DataFrame.unionAll, others).select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("spans").alias("s2"), F.col("items").alias("i2"))
     more = more.groupBy("id2", "h2", "n2").agg(F.flatten(F.collect_set("s2")).alias("s2"), F.flatten(F.collect_set("i2")).alias("i2"))
     same = F.col("id").eqNullSafe(F.col("id2")) & F.col("h").eqNullSafe(F.col("h2")) & F.col("n").eqNullSafe(F.col("n2"))
     both = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.concat(a, b)).alias(a)
