@@ -133,48 +133,114 @@ def project(w: np.ndarray, dims: int | None = None) -> np.ndarray:
     return np.linalg.svd(w, full_matrices=False)[0][:, : min(dims, n)].T @ w
 
 
-def repair(w: np.ndarray, known: np.ndarray, rounds: int = 50) -> np.ndarray:
+def basis_pursuit(a: np.ndarray, y: np.ndarray, gap: float = 1e-7, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of least L1 norm with ``a @ c = y``, and the duality gap of each relative to its norm.
+
+    All columns of ``y`` go through the alternating directions of one projection together.  Every few rounds the support of
+    what is left is solved exactly, and a dual point is made feasible: its bound proves how far a column is
+    from the least norm, and a column whose gap is closed takes no further part.  Columns that no
+    combination gives have their least-squares combination and an infinite gap.
+    """
+    n, k = a.shape[1], y.shape[1]
+    best, gaps = np.zeros((n, k)), np.zeros(k)
+    inverse = np.linalg.pinv(a)
+    start = inverse @ y
+    size = np.abs(y).max(0, initial=0)
+    hopeless = np.abs(a @ start - y).max(0, initial=0) > 1e-8 * np.maximum(size, 1e-300)
+    best[:], gaps[hopeless] = start, np.inf
+    open_ = np.nonzero(~hopeless & (size > 0))[0]
+    best[:, size == 0] = 0
+    bound, norm = np.full(k, -np.inf), np.abs(best).sum(0)
+    scale = np.maximum(np.abs(start).mean(0), 1e-300)  # a column's own step
+    z, u = np.zeros((n, len(open_))), np.zeros((n, len(open_)))
+    for round_ in range(1, rounds + 1):
+        if not len(open_):
+            break
+        x = z - u
+        x += start[:, open_] - inverse @ (a @ x)
+        z = x + u
+        z = np.sign(z) * np.maximum(np.abs(z) - scale[open_], 0)
+        u += x - z
+        if round_ % 25 == 0:
+            for i, j in enumerate(open_):
+                dual = inverse.T @ (u[:, i] / scale[j])
+                found = [x[:, i]]
+                support = np.abs(z[:, i]) > 0
+                if support.any() and support.sum() <= len(a):
+                    c = np.zeros(n)
+                    c[support] = np.linalg.lstsq(a[:, support], y[:, j], rcond=None)[0]
+                    if np.abs(a @ c - y[:, j]).max() <= 1e-9 * size[j]:
+                        found.append(c)
+                        # the dual of a vertex meets its signs
+                        dual = dual + np.linalg.lstsq(a[:, support].T, np.sign(c[support]) - a[:, support].T @ dual, rcond=None)[0]
+                for c in found:
+                    if np.abs(c).sum() < norm[j]:
+                        best[:, j], norm[j] = c, np.abs(c).sum()
+                bound[j] = max(bound[j], y[:, j] @ dual / max(1.0, np.abs(a.T @ dual).max()))
+                gaps[j] = (norm[j] - bound[j]) / max(norm[j], 1e-300)
+            left = gaps[open_] > gap
+            open_, z, u = open_[left], z[:, left], u[:, left]
+    return best, gaps
+
+
+def repair(w: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Fill unknown entries (``known`` false) of each column by the combination of complete
-    columns of least L1 norm that matches its known entries (iteratively
-    reweighted least squares).  Without complete columns nothing changes."""
+    columns of least L1 norm that matches its known entries (:func:`basis_pursuit`, columns of the same
+    entries together).  Without complete columns nothing changes."""
     whole = known.all(0)
-    base = w[:, whole]
-    out = w.copy()
+    base, out = w[:, whole], w.copy()
+    patterns: dict[bytes, list[int]] = {}
     for j in np.flatnonzero(~whole):
-        k = known[:, j]
-        if not base.size or not k.any():
-            continue
-        a, y = base[k], w[k, j]
-        c, weight = np.zeros(base.shape[1]), np.ones(base.shape[1])
-        for _ in range(rounds):
-            aw = a * weight
-            c = aw.T @ np.linalg.lstsq(aw @ a.T + 1e-12 * np.eye(len(a)), y, rcond=None)[0]
-            weight = np.abs(c) + 1e-6
-        out[~k, j] = base[~k] @ c
+        patterns.setdefault(known[:, j].tobytes(), []).append(j)
+    for columns in patterns.values():
+        k = known[:, columns[0]]
+        if base.size and k.any():
+            c, _ = basis_pursuit(base[k], w[np.ix_(k, columns)])
+            out[np.ix_(~k, columns)] = base[~k] @ c
     return out
 
 
-def repair_corrupted(w: np.ndarray, weight: float = 1.0, rounds: int = 50) -> np.ndarray:
+def repair_corrupted(w: np.ndarray, weight: float = 1.0) -> np.ndarray:
     """Every column replaced by the combination of the other columns that leaves the least L1 norm of
     coefficients plus ``weight`` times that of what it does not explain, so gross errors in a few
-    entries go (iteratively reweighted least squares)."""
+    entries go (:func:`basis_pursuit`)."""
     n, m = w.shape
     out = w.copy()
     for j in range(m):
         base = np.delete(w, j, 1)
-        if not base.size:
-            continue
-        # coefficients and errors together: y = base c + e / weight'
-        a = np.hstack([base, np.eye(n) / weight])
-        z, size = np.zeros(a.shape[1]), np.ones(a.shape[1])
-        for _ in range(rounds):
-            aw = a * size
-            z = aw.T @ np.linalg.lstsq(aw @ a.T + 1e-12 * np.eye(n), w[:, j], rcond=None)[0]
-            size = np.abs(z) + 1e-6
-        out[:, j] = base @ z[: m - 1]
+        if base.size:
+            # coefficients and errors together: y = base c + e / weight
+            z, _ = basis_pursuit(np.hstack([base, np.eye(n) / weight]), w[:, j : j + 1])
+            out[:, j] = base @ z[: m - 1, 0]
     return out
 
 
+def repaired_tracks(points: DataFrame, keys: list[str], column: str = "track_id", row: str = "frame", value: str = "v") -> DataFrame:
+    """``keys, column, row, value, filled``: the gaps (null or absent) of every window's columns filled from its complete ones.
+
+    ``points`` are the entries of one matrix for each combination of ``keys`` (a clip and a window: its
+    length bounds the rows, what is alive in it the columns), which is one group.  Windows without a complete
+    column, and columns without any entry, keep their gaps as nulls.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[column, row]).drop_duplicates([column, row])
+        grid = pdf.pivot(index=row, columns=column, values=value).astype(float)
+        w, known = grid.to_numpy(), grid.notna().to_numpy()
+        possible = known.any(0) & known.all(0).any()
+        out = repair(np.where(known, w, 0.0), known) if w.size else w
+        out = np.where(known | possible[None, :], out, np.nan)
+        made = pd.DataFrame({column: np.repeat(grid.columns.to_numpy(), len(grid)), row: np.tile(grid.index.to_numpy(), grid.shape[1]), value: out.T.ravel(), "filled": (~known & ~np.isnan(out)).T.ravel()})
+        made[value] = made[value].astype(object).where(made[value].notna(), None)
+        for k, v in reversed(list(zip(keys, key, strict=True))):
+            made.insert(0, k, v)
+        return made
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{column} {kinds[column]}", f"{row} {kinds[row]}", f"{value} double", "filled boolean"])
+    return points.select(*keys, column, row, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(fill, schema)
+
+
 def process(w: np.ndarray, mode: str = "none", known: np.ndarray | None = None, dims: int | None = None, projected: bool = True) -> np.ndarray:
     """A trajectory matrix made ready for segmentation: repaired as ``mode`` says (``none``, ``incomplete``
     with a mask of ``known`` entries, ``corrupted``), then projected (:func:`project`)."""

@@ -15,7 +15,7 @@ from trackloom.operators import svm as V
 from trackloom.operators import tracks as T
 from trackloom.operators.images import gaussian_weights
 from trackloom.plans.stages import forget_at_exit, shared_folder
-from trackloom.plans.tables import GRID_SQL, TRACKS_SQL, day_grid, user_tracks, vectors
+from trackloom.plans.tables import GRID_SQL, TRACKS_SQL, day_grid, table, user_tracks, vectors
 from trackloom.sources import frames as IO
 from trackloom.streaming import tracks as R
 
@@ -110,6 +110,13 @@ def coding_bits(spark, sf_dir):
     return L.grouped_lengths(rows, "label", "v", 0.5).select("label", "m", F.round("bits", 4).alias("bits"))
 
 
+def repaired_tracks(spark, sf_dir):
+    """Users' weekly values by type of event, the weeks without one filled from users who have all."""
+    ev = table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL")
+    weeks = ev.groupBy("event_type", F.col("user_id").alias("track_id"), F.floor((F.dayofmonth("ts") - 1) / 8).alias("frame")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / 100).alias("v"))
+    return L.repaired_tracks(weeks, ["event_type"]).select("event_type", "track_id", "frame", F.round("v", 4).alias("v"), "filled")
+
+
 def stream_windows(spark, sf_dir):
     """Half-overlapping windows over events as a stream; windows that the watermark closes."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -164,7 +171,7 @@ def region_table(spark, sf_dir):
 
 
 QUERIES = {
-    "stream_tracks": stream_tracks, "medoid_shift": medoid_shift, "image_warp_cubic": warped_cubic, "image_warp_slopes": warp_slopes, "labelled_sequence": labelled_sequence, "whitened": whitened, "superpixel_labels": superpixel_labels, "filled_regions": filled_regions, "region_table": region_table,
+    "stream_tracks": stream_tracks, "repaired_tracks": repaired_tracks, "medoid_shift": medoid_shift, "image_warp_cubic": warped_cubic, "image_warp_slopes": warp_slopes, "labelled_sequence": labelled_sequence, "whitened": whitened, "superpixel_labels": superpixel_labels, "filled_regions": filled_regions, "region_table": region_table,
     "image_distance_transform": distance_transform, "image_up": upsampled, "image_blend": blended, "image_patterns": patterns, "image_harris": harris, "image_warp": warped,
     "quick_shift": quick_shift, "quick_segments": segments, "homographies": homographies, "svm": svm, "coding_bits": coding_bits, "stream_windows": stream_windows,
 }
