@@ -147,7 +147,7 @@ class WordBPE:
     ask for more than this does (``check_spec``) are refused.
     """
 
-    def __init__(self, path: str, cache_words: int = 100_000) -> None:
+    def __init__(self, path: str, cache_words: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -175,11 +175,11 @@ def mesh_vertices(width: float, height: float, cells: int) -> tuple[np.ndarray,
     return np.linspace(1, width, cells + 1), np.linspace(1, height, cells + 1)
 
 
-def mesh_grid(spark, width: float, height: float, cells: int) -> DataFrame:
-    """``i, j, x, y``: the vertices of :func:`mesh_vertices` as rows."""
-    place = lambda c, size: (1 + F.col(c) * ((size - 1) / cells))
-    rows = spark.range((cells + 1) ** 2).select(F.floor(F.col("id") / (cells + 1)).cast("int").alias("i"), (F.col("id") % (cells + 1)).cast("int").alias("j"))
-    return rows.select("i", "j", place("j", width).alias("x"), place("i", height).alias("y"))
+def mesh_grid(sizes: DataFrame, keys: list[str], cells: int, width: str = "width", height: str = "height") -> DataFrame:
+    """``keys, i, j, x, y``: the vertices of :func:`mesh_vertices` as rows, for every ``keys, width, height``."""
+    place = lambda c, size: 1 + F.col(c) * ((F.col(size) - 1) / cells)
+    rows = sizes.select(*keys, width, height, F.explode(F.sequence(F.lit(0), F.lit(cells))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(cells))).alias("j"))
+    return rows.select(*keys, "i", "j", place("j", width).alias("x"), place("i", height).alias("y"))
 
 
 #: The two corners that, with a quad's corner, make each of its eight triangles: (corner, (second, third)).
@@ -346,9 +346,11 @@ def triplets(*parts: DataFrame) -> DataFrame:
     return every.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def stitch_state(spark, n_frames: int, width: float, height: float, cells: int) -> DataFrame:
-    """The state that path optimisation begins with, a row for each frame and cell: ``frame, row, col``,
-    the cell's ``left, top, quad_width, quad_height``, and identities ``p`` and ``c``."""
+def stitch_state(clips: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """The state that path optimisation begins with, a row for each frame and cell of every ``keys, frames, width,
+    height``: ``frame, row, col``, the cell's ``left, top, quad_width, quad_height``, and identities ``p`` and ``c``."""
     eye = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
-    at = spark.range(n_frames * cells * cells).select((F.floor(F.col("id") / cells**2) + 1).cast("int").alias("frame"), (F.floor(F.col("id") / cells) % cells + 1).cast("int").alias("row"), (F.col("id") % cells + 1).cast("int").alias("col"))
-    return at.select("frame", "row", "col", ((F.col("col") - 1) * (width / cells)).alias("left"), ((F.col("row") - 1) * (height / cells)).alias("top"), F.lit(width / cells).alias("quad_width"), F.lit(height / cells).alias("quad_height"), eye.alias("p"), eye.alias("c"))
+    at = clips.where("frames > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("frames").cast("int"))).alias("frame"))
+    at = at.select("*", F.explode(F.sequence(F.lit(1), F.lit(cells))).alias("row")).select("*", F.explode(F.sequence(F.lit(1), F.lit(cells))).alias("col"))
+    wide, high = F.col("width") / cells, F.col("height") / cells
+    return at.select(*keys, "frame", "row", "col", ((F.col("col") - 1) * wide).alias("left"), ((F.col("row") - 1) * high).alias("top"), wide.alias("quad_width"), high.alias("quad_height"), eye.alias("p"), eye.alias("c"))

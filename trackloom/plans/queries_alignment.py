@@ -300,13 +300,9 @@ def keypoints(spark, sf_dir):
 
 
 def synthetic_images(spark, sf_dir):
-    """Every synthetic image on a small raster."""
-    kinds = ["step", "ramp", "checker", "disc", "stripes"]
-    parts = [IO.pattern(spark, kind, 24, 32).select(F.lit(kind).alias("kind"), "y", "x", F.round("v", 6).alias("v")) for kind in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every synthetic image in a size of its own for every supplier."""
+    sizes = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5 + 8).alias("height"), (F.col("s_suppkey") % 7 + 10).cast("int").alias("width"))
+    return IO.patterns(sizes, ["s_suppkey"], ["step", "ramp", "checker", "disc", "stripes"]).select("s_suppkey", "kind", "y", "x", F.round("v", 6).alias("v"))
 
 
 def stage_cached(spark, sf_dir):
@@ -455,8 +451,8 @@ ORACLE_SQL = {
         WITH s AS (SELECT *, (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS k FROM supplier WHERE s_suppkey <= 9)
         SELECT 'ubc' AS form, k, list_aggregate({_UBC_BINS}, 'string_agg', ',') AS descriptor, s_nationkey + 1.0::DOUBLE AS f0, s_suppkey + 1.5::DOUBLE AS f1, 2.25::DOUBLE AS f2, -0.5::DOUBLE AS f3 FROM s
         UNION ALL SELECT 'oxford', k, '7,8,' || s_nationkey, s_suppkey + 1.0::DOUBLE, s_nationkey + 1.0::DOUBLE, round(s_suppkey / (0.5::DOUBLE * s_suppkey - 0.0625), 6), round(-0.25::DOUBLE / (0.5::DOUBLE * s_suppkey - 0.0625), 6) FROM s""",
-    "synthetic_images": "WITH p AS (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM range(768) r(i)) " + " UNION ALL ".join(
-        f"SELECT '{kind}' AS kind, y, x, round(({v})::DOUBLE, 6) AS v FROM p" for kind, v in (("step", "(x >= 16)::INT"), ("ramp", "x / 31"), ("checker", "(y // 8 + x // 8) % 2"), ("disc", "((y - 12) ** 2 + (x - 16) ** 2 <= 36)::INT"), ("stripes", "0.5::DOUBLE + 0.5::DOUBLE * sin(x * 0.5::DOUBLE)"))
+    "synthetic_images": "WITH s AS (SELECT s_suppkey, s_nationkey % 5 + 8 AS h, (s_suppkey % 7 + 10)::INT AS w FROM supplier), p AS (SELECT s.*, a.i::INT AS y, b.i::INT AS x FROM s, range(12) a(i), range(16) b(i) WHERE a.i < h AND b.i < w) " + " UNION ALL ".join(
+        f"SELECT s_suppkey, '{kind}' AS kind, y, x, round(({v})::DOUBLE, 6) AS v FROM p" for kind, v in (("step", "(x >= w // 2)::INT"), ("ramp", "x / (w - 1)"), ("checker", "(y // 8 + x // 8) % 2"), ("disc", "((y - h / 2) ** 2 + (x - w / 2) ** 2 <= (least(h, w) / 4) ** 2)::INT"), ("stripes", "0.5::DOUBLE + 0.5::DOUBLE * sin(x * 0.5::DOUBLE)"))
     ),
     "stage_cached": f"WITH {TRACKS_SQL} SELECT track_id, count(*) AS n, 1 AS made FROM t GROUP BY 1",
 }

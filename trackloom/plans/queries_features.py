@@ -20,6 +20,10 @@ from trackloom.streaming import tracks as R
 IMAGES, HEIGHT, WIDTH, OCTAVES, PEAK = 64, 24, 31, 2, 1.0
 
 
+#: Side of a superpixel.
+SIDE = 8
+
+
 def user_images(spark, sf_dir):
     """``image, y, x, v``: the values of all events by hour and day, an image for users of equal remainder."""
     ev = table(spark, sf_dir, "events").where("value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL")
@@ -43,6 +47,28 @@ def adapted_features(spark, sf_dir):
     return found.select(F.col("image").cast("int").alias("image"), "octave", *(F.round(c, 4).alias(c) for c in ("y", "x", "sigma", "angle", "response")), *shape, F.array_join("d", ",").alias("d"))
 
 
+def whitened(spark, sf_dir):
+    """Every image with its spectrum flattened."""
+    return I.whitened(user_images(spark, sf_dir), ["image"]).select(F.col("image").cast("int").alias("image"), "y", "x", (F.round("v", 4) + 0.0).alias("v"))
+
+
+def superpixel_labels(spark, sf_dir):
+    return I.superpixel_labels(user_images(spark, sf_dir), ["image"], SIDE).select(F.col("image").cast("int").alias("image"), "y", "x", "label")
+
+
+def filled_regions(spark, sf_dir):
+    """Around the middle of every image, what is no brighter than it."""
+    return I.filled_regions(user_images(spark, sf_dir), ["image"], (HEIGHT // 2, WIDTH // 2)).select(F.col("image").cast("int").alias("image"), "y", "x")
+
+
+def region_table(spark, sf_dir):
+    """The stable regions of every image after a blur, in 256 levels of its largest value."""
+    images = I.smooth(user_images(spark, sf_dir), I.gaussian_weights(1.5), image=["image"])
+    top = images.groupBy("image").agg(F.max("v").alias("top")).where("top > 0")
+    gray = images.join(F.broadcast(top), "image").select("image", "y", "x", F.floor(255 * F.col("v") / F.col("top")).cast("double").alias("v"))
+    return I.region_table(gray, ["image"]).select(F.col("image").cast("int").alias("image"), "y", "x", "level", "area")
+
+
 #: Frames of a clip, their sides, the step of the window from frame to frame, and how much larger the grid is made.
 FRAMES, SIDES, STEP, TIMES = 8, (64, 80), (1, 3), 4
 
@@ -109,7 +135,7 @@ def video_frames(spark, sf_dir):
     return IO.read_video(spark, out).select(clip.alias("clip"), "frame_idx", F.round("pts", 4).alias("pts"), "length", F.md5("content").alias("digest"))
 
 
-QUERIES = {"video_frames": video_frames, "rendered_meshes": rendered_meshes, "oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
+QUERIES = {"whitened": whitened, "superpixel_labels": superpixel_labels, "filled_regions": filled_regions, "region_table": region_table, "video_frames": video_frames, "rendered_meshes": rendered_meshes, "oriented_features": oriented_features, "adapted_features": adapted_features, "stream_points": stream_points}
 
 _O = T.Options()
 _LAYERS = _O.levels + 3
@@ -221,7 +247,37 @@ def _sql_features() -> str:
     ]) + " SELECT image::INT AS image, octave, round(y * pow(2, octave), 4) AS y, round(x * pow(2, octave), 4) AS x, round(sigma * pow(2, octave), 4) AS sigma, round(angle, 4) AS angle, round(response, 4) AS response, d FROM kd JOIN dg USING (kid) WHERE abs(response) >= " + repr(PEAK)
 
 
+def _sql_superpixels(rounds: int = 10) -> str:
+    parts = [
+        f"c0 AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY y, x) - 1 AS k, y::DOUBLE AS cy, x::DOUBLE AS cx, v AS c FROM b0 WHERE y % {SIDE} = {SIDE // 2} AND x % {SIDE} = {SIDE // 2})",
+        "l0 AS (SELECT image, y, x, v, 0 AS k FROM b0)",
+    ]
+    for r in range(1, rounds + 1):
+        parts += [
+            f"a{r} AS MATERIALIZED (SELECT b0.image, y, x, k FROM b0 JOIN c{r - 1} c ON b0.image = c.image AND y BETWEEN greatest(0, trunc(cy - {SIDE})) AND trunc(cy + {SIDE}) AND x BETWEEN greatest(0, trunc(cx - {SIDE})) AND trunc(cx + {SIDE}) "
+            f"QUALIFY row_number() OVER (PARTITION BY b0.image, y, x ORDER BY (v - c) * (v - c) + {0.1 / SIDE**2!r}::DOUBLE * ((y - cy) * (y - cy) + (x - cx) * (x - cx)), k) = 1)",
+            f"l{r} AS MATERIALIZED (SELECT image, y, x, v, coalesce(a{r}.k, l{r - 1}.k) AS k FROM l{r - 1} LEFT JOIN a{r} USING (image, y, x))",
+            f"c{r} AS MATERIALIZED (SELECT image, k, coalesce(m.cy, c.cy) AS cy, coalesce(m.cx, c.cx) AS cx, coalesce(m.c, c.c) AS c FROM c{r - 1} c LEFT JOIN (SELECT image, k, avg(y) AS cy, avg(x) AS cx, avg(v) AS c FROM l{r} GROUP BY ALL) m USING (image, k))",
+        ]
+    return f"WITH {_SQL_IMAGES}, {', '.join(parts)} SELECT image::INT AS image, y, x, k::INT AS label FROM l{rounds}"
+
+
+def _sql_whitened() -> str:
+    wave = lambda k, x, n: f"2 * pi() * {k} * {x} / {n}"
+    part = lambda c, n: f"2.0::DOUBLE * (CASE WHEN {c} <= {(n - 1) // 2} THEN {c} ELSE {c} - {n} END) / {n}"
+    h, w = HEIGHT, WIDTH
+    return f"""WITH {_SQL_IMAGES},
+        r AS (SELECT image, y, u, sum(v * cos({wave("u", "x", w)})) AS a, -sum(v * sin({wave("u", "x", w)})) AS b FROM b0, range({w}) p(u) GROUP BY ALL),
+        f AS (SELECT image, t, u, sum(a * cos({wave("t", "y", h)}) + b * sin({wave("t", "y", h)})) AS a, sum(b * cos({wave("t", "y", h)}) - a * sin({wave("t", "y", h)})) AS b FROM r, range({h}) p(t) GROUP BY ALL),
+        q AS (SELECT *, sqrt(pow({part("t", h)}, 2) + pow({part("u", w)}, 2)) AS rho FROM f), g AS (SELECT image, t, u, a * rho * exp(-pow(rho / 0.8, 4)) AS a, b * rho * exp(-pow(rho / 0.8, 4)) AS b FROM q),
+        s AS (SELECT image, y, u, sum(a * cos({wave("t", "y", h)}) - b * sin({wave("t", "y", h)})) AS a, sum(b * cos({wave("t", "y", h)}) + a * sin({wave("t", "y", h)})) AS b FROM g, range({h}) p(y) GROUP BY ALL)
+        SELECT image::INT AS image, y::INT AS y, x::INT AS x, round(sum(a * cos({wave("u", "x", w)}) - b * sin({wave("u", "x", w)})) / {h * w}, 4) + 0.0 AS v FROM s, range({w}) p(x) GROUP BY ALL"""
+
+
+_SQL_FILLED = f"""WITH RECURSIVE {_SQL_IMAGES}, s AS (SELECT image, v AS top FROM b0 WHERE y = {HEIGHT // 2} AND x = {WIDTH // 2}),
+        f AS (SELECT image, {HEIGHT // 2} AS y, {WIDTH // 2} AS x FROM s UNION SELECT n.image, n.y, n.x FROM f JOIN s USING (image) JOIN b0 n ON n.image = f.image AND abs(n.y - f.y) + abs(n.x - f.x) = 1 AND n.v <= top)
+        SELECT image::INT AS image, y::INT AS y, x::INT AS x FROM f"""
 _SQL_VIDEO = f"""
     WITH p AS (SELECT page_id // {CLIP} AS clip, row_number() OVER (PARTITION BY page_id // {CLIP} ORDER BY page_id) AS n, coalesce(html, '') AS html FROM pages)
     SELECT clip, n::INT AS frame_idx, round((n - 1) / 5.0::DOUBLE, 4) AS pts, octet_length(encode(html)) AS length, md5(html) AS digest FROM p"""
-ORACLE_SQL = {"video_frames": _SQL_VIDEO, "oriented_features": _sql_features(), "rendered_meshes": _sql_rendered()}
+ORACLE_SQL = {"whitened": _sql_whitened(), "superpixel_labels": _sql_superpixels(), "filled_regions": _SQL_FILLED, "video_frames": _SQL_VIDEO, "oriented_features": _sql_features(), "rendered_meshes": _sql_rendered()}

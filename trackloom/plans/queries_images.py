@@ -143,35 +143,8 @@ def stream_tracks(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-def _synthetic(spark):
-    """Four small synthetic images of 24 x 32: ``kind, y, x, v``."""
-    grid = spark.range(24 * 32).select(F.floor(F.col("id") / 32).cast("int").alias("y"), (F.col("id") % 32).cast("int").alias("x"))
-    disc = ((F.col("y") - 12) ** 2 + (F.col("x") - 16) ** 2 <= 36).cast("double")
-    values = {"step": (F.col("x") >= 16).cast("double") * 200, "dark disc": (1 - disc) * 200, "flat": F.lit(7.0), "wave": F.cos(F.col("x") * (2 * math.pi * 4 / 32))}
-    parts = [grid.select(F.lit(k).alias("kind"), "y", "x", v.alias("v")) for k, v in values.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-def whitened(spark, sf_dir):
-    """A wave keeps its form and loses height by its frequency; what is flat vanishes."""
-    return I.whitened(_synthetic(spark).where("kind IN ('flat', 'wave')"), ["kind"]).select("kind", "y", "x", F.round(F.round("v", 6) + 0.0, 6).alias("v"))
-
-
-def superpixel_labels(spark, sf_dir):
-    return I.superpixel_labels(_synthetic(spark).where("kind = 'flat'"), ["kind"], 8)
-
-
-def filled_regions(spark, sf_dir):
-    return I.filled_regions(_synthetic(spark).where("kind IN ('step', 'dark disc')"), ["kind"], (12, 15))
-
-
-def region_table(spark, sf_dir):
-    """The stable region of a dark disc."""
-    return I.region_table(_synthetic(spark).where("kind = 'dark disc'"), ["kind"]).groupBy("kind").agg(F.max("area").alias("area"), F.count("*").alias("n"))
-
-
 QUERIES = {
-    "stream_tracks": stream_tracks, "repaired_tracks": repaired_tracks, "medoid_shift": medoid_shift, "image_warp_cubic": warped_cubic, "image_warp_slopes": warp_slopes, "labelled_sequence": labelled_sequence, "whitened": whitened, "superpixel_labels": superpixel_labels, "filled_regions": filled_regions, "region_table": region_table,
+    "stream_tracks": stream_tracks, "repaired_tracks": repaired_tracks, "medoid_shift": medoid_shift, "image_warp_cubic": warped_cubic, "image_warp_slopes": warp_slopes, "labelled_sequence": labelled_sequence,
     "image_distance_transform": distance_transform, "image_up": upsampled, "image_blend": blended, "image_patterns": patterns, "image_harris": harris, "image_warp": warped,
     "quick_shift": quick_shift, "quick_segments": segments, "homographies": homographies, "svm": svm, "coding_bits": coding_bits, "stream_windows": stream_windows,
 }
@@ -235,10 +208,6 @@ ORACLE_SQL = {
         n AS (SELECT *, sum(cut) OVER (PARTITION BY track_id ORDER BY frame) AS part FROM d),
         s AS (SELECT track_id, part, min(frame) AS head, max(frame) AS tail, max(ms) AS ms FROM n GROUP BY 1, 2)
         SELECT track_id, head, tail, tail - head + 1 AS len FROM s QUALIFY part < max(part) OVER (PARTITION BY track_id) OR ms + 48 * 3600000 < (SELECT max(ms) FROM t) - 3600000""",
-    "whitened": "WITH p AS (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM range(768) r(i)) SELECT 'flat' AS kind, y, x, 0.0::DOUBLE AS v FROM p UNION ALL SELECT 'wave', y, x, round(cos(x * pi() / 4) * 0.25 * exp(-((0.25 / 0.8) ** 4)), 6) + 0.0 FROM p",
-    "superpixel_labels": "WITH p AS (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM range(768) r(i)) SELECT 'flat' AS kind, y, x, (4 * CASE WHEN y <= 8 THEN 0 WHEN y <= 16 THEN 1 ELSE 2 END + CASE WHEN x <= 8 THEN 0 WHEN x <= 16 THEN 1 WHEN x <= 24 THEN 2 ELSE 3 END)::INT AS label FROM p",
-    "filled_regions": "WITH p AS (SELECT (i // 32)::INT AS y, (i % 32)::INT AS x FROM range(768) r(i)) SELECT 'step' AS kind, y, x FROM p WHERE x < 16 UNION ALL SELECT 'dark disc', y, x FROM p WHERE (y - 12) ** 2 + (x - 16) ** 2 <= 36",
-    "region_table": "SELECT 'dark disc' AS kind, count(*)::INT AS area, 1::BIGINT AS n FROM range(768) r(i) WHERE (i // 32 - 12) ** 2 + (i % 32 - 16) ** 2 <= 36",
     "quick_shift": f"WITH {_QUICK} SELECT y, x, round(density, 6) AS density, parent_y, parent_x, round(gap, 6) AS gap FROM qs",
     "medoid_shift": f"""
         WITH {GRID_SQL}, p AS (SELECT y, x, v / 100000.0 AS f FROM g),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
@@ -91,8 +92,13 @@ def quad_bounds(spark, sf_dir):
     return lines(spark, sf_dir).select("k", *(c.alias(n) for n, c in zip(("x0", "x1", "y0", "y1"), S.quad_bounds(*quad), strict=True)))
 
 
+def _sizes(spark, sf_dir):
+    """``clip, frames, width, height``: a stand-in clip for every supplier."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip"), (F.col("s_nationkey") % 3 + 1).alias("frames"), (F.col("s_suppkey") % 97 + 640.0).alias("width"), (F.col("s_nationkey") + 360.0).alias("height"))
+
+
 def mesh_grid(spark, sf_dir):
-    return H.mesh_grid(spark, 640.0, 360.0, 8).select("i", "j", *rounded(("x", F.col("x")), ("y", F.col("y"))))
+    return H.mesh_grid(_sizes(spark, sf_dir), ["clip"], 8).select("clip", "i", "j", *rounded(("x", F.col("x")), ("y", F.col("y"))))
 
 
 def smooth_weights(spark, sf_dir):
@@ -215,13 +221,20 @@ def black_pixels(spark, sf_dir):
 
 
 def twister_numbers(spark, sf_dir):
-    """The first numbers of the default seed, drawn, put back and drawn again."""
-    t = Twister()
-    first = [t.rand() for _ in range(3)]
-    at = t.state
-    rest = [t.rand() for _ in range(2)]
-    t.state = at
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate([*first, *rest, t.rand(), t.rand()])], "i int, x double").select("i", F.round("x", 12).alias("x"))
+    """For every supplier's key as a seed: numbers drawn, put back and drawn again are the same, and lie in [0, 1)."""
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for seed in pdf["seed"]:
+                t = Twister(int(seed) % (1 << 32))
+                first, at = t.rand(3), t.state
+                rest = t.rand(2)
+                t.state = at
+                out.append((seed, bool((t.rand(2) == rest).all()), bool((0 <= first).all() and (first < 1).all()), len(set(first))))
+            yield pd.DataFrame(out, columns=["seed", "again", "within", "distinct"])
+
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed")).mapInPandas(draw, "seed long, again boolean, within boolean, distinct int")
 
 
 def triplets_summed(spark, sf_dir):
@@ -231,7 +244,8 @@ def triplets_summed(spark, sf_dir):
 
 
 def stitch_state(spark, sf_dir):
-    return H.stitch_state(spark, 3, 640.0, 360.0, 8).select("frame", "row", "col", "left", "top", "quad_width", "quad_height", F.col("p")[0].alias("p0"), F.col("c")[1].alias("c1"))
+    cells = H.stitch_state(_sizes(spark, sf_dir), ["clip"], 8)
+    return cells.select("clip", "frame", "row", "col", *rounded(*((c, F.col(c)) for c in ("left", "top", "quad_width", "quad_height"))), F.col("p")[0].alias("p0"), F.col("c")[1].alias("c1"))
 
 
 QUERIES = {
@@ -323,9 +337,10 @@ _ROT = """r AS (SELECT v0, v1, v2, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS a FROM (
 
 ORACLE_SQL = {
     # fixed values: the published generator's first numbers
-    "twister_numbers": "SELECT i::INT AS i, round(x, 12) AS x FROM (VALUES (0, 0.8147236863931789::DOUBLE), (1, 0.9057919370756192), (2, 0.12698681629350606), (3, 0.9133758561390194), (4, 0.6323592462254095), (5, 0.9133758561390194), (6, 0.6323592462254095)) r(i, x)",
+    "twister_numbers": "SELECT s_suppkey AS seed, true AS again, true AS within, 3::INT AS distinct FROM supplier",
     "triplets_summed": f"WITH {LINES_SQL} SELECT k % 40 AS i, y::INT AS j, sum(round(x * 1000)::BIGINT + round(u * 1000)::BIGINT)::BIGINT AS v FROM l GROUP BY 1, 2",
-    "stitch_state": "SELECT (f.i + 1)::INT AS frame, (a.i + 1)::INT AS row, (b.i + 1)::INT AS col, b.i * 80.0::DOUBLE AS left, a.i * 45.0::DOUBLE AS top, 80.0::DOUBLE AS quad_width, 45.0::DOUBLE AS quad_height, 1.0::DOUBLE AS p0, 0.0::DOUBLE AS c1 FROM range(3) f(i), range(8) a(i), range(8) b(i)",
+    "stitch_state": """SELECT s_suppkey AS clip, (f.i + 1)::INT AS frame, (a.i + 1)::INT AS row, (b.i + 1)::INT AS col, round(b.i * (s_suppkey % 97 + 640.0::DOUBLE) / 8, 6) AS left, round(a.i * (s_nationkey + 360.0::DOUBLE) / 8, 6) AS top,
+        round((s_suppkey % 97 + 640.0::DOUBLE) / 8, 6) AS quad_width, round((s_nationkey + 360.0::DOUBLE) / 8, 6) AS quad_height, 1.0::DOUBLE AS p0, 0.0::DOUBLE AS c1 FROM supplier JOIN range(3) f(i) ON f.i < s_nationkey % 3 + 1, range(8) a(i), range(8) b(i)""",
     "homogeneous_points": f"WITH {LINES_SQL} SELECT " + ", ".join(f"round(CASE WHEN k % 3 = 0 THEN {c if c != 'y' else '0'} ELSE {c} / y END, 9) AS c{i}" for i, c in enumerate(("x", "u", "y"))) + " FROM l",
     "collinear_points": f"WITH {LINES_SQL} SELECT k, x, y, u, {_sql_collinear(*_sql_points(_POINTS)[:3])} AS plain, {_sql_collinear(*_sql_points(_POINTS)[:3])} AS lifted FROM l",
     "degenerate_samples": f"WITH {LINES_SQL} SELECT k, x, y, u, {_sql_degenerate()} AS degenerate, least({_sql_spread(_sql_points(_POINTS))}, {_sql_spread(_sql_points(_OTHERS))}) < 6 AS dense FROM l",
@@ -335,7 +350,7 @@ ORACLE_SQL = {
     + ", ".join(f"CASE WHEN a BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1 THEN round({e}, 6) END AS w{i}" for i, e in enumerate(("(1 - a) * (1 - b)", "a * (1 - b)", "(1 - a) * b", "a * b"))) + " FROM q",
     "quad_points": f"WITH {LINES_SQL} SELECT k, x, u, {_sql_triangle(_QUAD[0], _QUAD[1], _QUAD[3])} OR {_sql_triangle(_QUAD[0], _QUAD[2], _QUAD[3])} AS inside FROM l",
     "quad_bounds": f"WITH {LINES_SQL} SELECT k, least(x, u, y, d) AS x0, greatest(x, u, y, d) AS x1, least(y, x, u, t) AS y0, greatest(y, x, u, t) AS y1 FROM l",
-    "mesh_grid": "SELECT i::INT AS i, j::INT AS j, round(1 + j * 639.0::DOUBLE / 8, 6) AS x, round(1 + i * 359.0::DOUBLE / 8, 6) AS y FROM range(9) a(i), range(9) b(j)",
+    "mesh_grid": "SELECT s_suppkey AS clip, i::INT AS i, j::INT AS j, round(1 + j * (s_suppkey % 97 + 639.0::DOUBLE) / 8, 6) AS x, round(1 + i * (s_nationkey + 359.0::DOUBLE) / 8, 6) AS y FROM supplier, range(9) a(i), range(9) b(j)",
     "smooth_weights": f"WITH {LINES_SQL}, q AS (SELECT k, x - u AS dx, y - d AS dy, 3.0::DOUBLE AS ex, t - 4 - d AS ey FROM l) SELECT k, round((dx * ex + dy * ey) / (ex ** 2 + ey ** 2), 6) AS u, round((dx * ey - dy * ex) / (ex ** 2 + ey ** 2), 6) AS v FROM q",
     "node_numbers": "WITH v AS (SELECT event_id, user_id % 2 AS a, day(ts) - 1 AS b, hour(ts) % 5 AS c FROM events) SELECT event_id, ((a * 31 + b) * 5 + c + 1)::BIGINT AS node, a::BIGINT AS video2, b::BIGINT AS window2, c::BIGINT AS label2 FROM v",
     "edges_set": f"""

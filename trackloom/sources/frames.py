@@ -119,12 +119,18 @@ def read_sequence(spark: SparkSession, path: str, normalise: bool = False, maske
     return both.withColumns({"x": at("x"), "y": at("y")}).select(*out.columns)
 
 
-def pattern(spark: SparkSession, kind: str, height: int, width: int) -> DataFrame:
-    """``y, x, v``: a synthetic image, made from a range: step, ramp, checker, disc or stripes."""
-    grid = spark.range(height * width).select((F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
-    y, x = F.col("y"), F.col("x")
+def patterns(sizes: DataFrame, keys: list[str], kinds: list[str], height: str = "height", width: str = "width") -> DataFrame:
+    """``keys, kind, y, x, v``: synthetic images of every size: step, ramp, checker, disc or stripes."""
+    below = lambda c: F.explode(F.filter(F.sequence(F.lit(0), F.col(c).cast("int")), lambda i: i < F.col(c)))
+    grid = sizes.select(*keys, height, width, below(height).alias("y")).select("*", below(width).alias("x")).select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    y, x, h, w = F.col("y"), F.col("x"), F.col(height), F.col(width)
     value: dict[str, Column] = {
-        "step": (x >= width // 2).cast("double"), "ramp": x / max(1, width - 1), "checker": ((F.floor(y / 8) + F.floor(x / 8)) % 2).cast("double"),
-        "disc": (((y - height / 2) ** 2 + (x - width / 2) ** 2) <= (min(height, width) / 4) ** 2).cast("double"), "stripes": (0.5 + 0.5 * F.sin(x * 0.5)),
+        "step": (x >= F.floor(w / 2)).cast("double"), "ramp": x / F.greatest(F.lit(1), w - 1), "checker": ((F.floor(y / 8) + F.floor(x / 8)) % 2).cast("double"),
+        "disc": ((y - h / 2) * (y - h / 2) + (x - w / 2) * (x - w / 2) <= F.least(h, w) / 4 * (F.least(h, w) / 4)).cast("double"), "stripes": 0.5 + 0.5 * F.sin(x * 0.5),
     }
-    return grid.select("y", "x", value[kind].alias("v"))
+    return grid.select(*keys, "kind", "y", "x", F.coalesce(*(F.when(F.col("kind") == k, value[k]) for k in kinds)).alias("v"))
+
+
+def pattern(spark: SparkSession, kind: str, height: int, width: int) -> DataFrame:
+    """``y, x, v``: one synthetic image (:func:`patterns`)."""
+    return patterns(spark.createDataFrame([(height, width)], "height int, width int"), [], [kind]).select("y", "x", "v")
