@@ -416,12 +416,6 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 80
-    spark.createDataFrame([(1, f, [2.0 if f == 1 else 0.5, -3.0]) for f in (1, 2)], "clip long, frame long, cost array<double>").coalesce(1).write.parquet(f"{tmp_path}/m")
-    m = spark.readStream.schema("clip long, frame long, cost array<double>").parquet(f"{tmp_path}/m")
-    q = streaming.carry_masks(m).writeStream.format("memory").queryName("masks").outputMode("append").option("checkpointLocation", f"{tmp_path}/c3").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.cells for r in spark.table("masks").orderBy("frame").collect()] == [[1, 0], [1, 0]]
 
 
 def test_forest_recall(spark):

@@ -68,37 +68,23 @@ def sliding_counts(events: DataFrame, size: str = "40 seconds", hop: str = "20 s
     return timed.groupBy(F.window("ts", size, hop), key).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("window.start", "window.end", key, "n", "value")
 
 
-def carry_masks(frames: DataFrame) -> DataFrame:
-    """``clip, frame, cells`` : each frame's free cells take the side that the last frame left them.
+def _timed(frames: DataFrame, columns: list[str], ts: str | None, late: str) -> tuple[DataFrame, str]:
+    """``columns`` and ``ms`` (0 without an event time), and the kind of timeout that goes with them."""
+    if not ts:
+        return frames.select(*columns, F.lit(0).cast("long").alias("ms")), GroupStateTimeout.NoTimeout
+    timed = frames.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    return timed.select(*columns, F.unix_millis("__ts").alias("ms"), "__ts"), GroupStateTimeout.EventTimeTimeout
 
-    ``frames`` are ``clip, frame, cost`` (array of signed costs; positive prefers side 1).  A cell
-    changes sides only if its cost outweighs the carried side by 1: the seam of
-    one frame binds the next, so a clip is one key with one array as its state.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = sorted((int(f), list(c)) for pdf in batches for f, c in zip(pdf["frame"], pdf["cost"], strict=True))
-        before = list(state.get[0]) if state.exists else None
-        out = []
-        for frame, cost in rows:
-            before = [int(c > 0) if before is None else int(c > -1) if b else int(c > 1) for c, b in zip(cost, before or cost, strict=True)]
-            out.append((key[0], frame, before))
-        if before is not None:
-            state.update((before,))
-        if out:
-            yield pd.DataFrame(out, columns=["clip", "frame", "cells"])
 
-    return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, cells array<int>", "cells array<int>", "append", GroupStateTimeout.NoTimeout)
-
-
-def carry_seams(frames: DataFrame, stable: float = 5.0) -> DataFrame:
+def carry_seams(frames: DataFrame, stable: float = 5.0, ts: str | None = None, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
     """``clip, frame, mask``: the seam cut of a stream of overlapping frame pairs; 1 where the pixel comes from ``b``.
 
     ``frames`` are ``clip, frame, height, width, a, b, cover_a, cover_b`` (binary: three
     bytes a pixel, and one).  Frames of a clip come in order.  Each step cuts two
     frames, the first bound to the mask that the step before left it, so a clip
     is one key whose state is one frame and its mask.  The first frame is
-    answered with the second.
+    answered with the second.  With an event time ``ts`` (rows later than ``late`` are dropped) the state goes once
+    the watermark is ``idle_ms`` past the clip's last frame; without one it stays.
     """
     import numpy as np
 
@@ -109,10 +95,14 @@ def carry_seams(frames: DataFrame, stable: float = 5.0) -> DataFrame:
         return [a, b, np.zeros((h, w)), np.zeros((h, w)), *(np.frombuffer(x, np.uint8).reshape(h, w).astype(bool) for x in raw[2:])]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, h, w, *held = state.get if state.exists else (None,) * 8
-        mask = held.pop() if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, h, w, *held = state.get if state.exists else (None,) * 9
+        seen, mask = (held.pop(), held.pop()) if state.exists else (0, None)
         out = []
         for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.frame):
+            seen = max(seen, int(r.ms))
             now = (bytes(r.a), bytes(r.b), bytes(r.cover_a), bytes(r.cover_b))
             if at is not None:
                 pair = [np.stack(x) for x in zip(unpack(h, w, held), unpack(h, w, now), strict=True)]
@@ -124,15 +114,18 @@ def carry_seams(frames: DataFrame, stable: float = 5.0) -> DataFrame:
                 out.append((key[0], int(r.frame), mask))
             at, h, w, held = int(r.frame), int(r.height), int(r.width), now
         if at is not None:
-            state.update((at, h, w, *held, mask or b""))
+            state.update((at, h, w, *held, mask or b"", seen))
+            if ts:
+                state.setTimeoutTimestamp(max(seen + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["clip", "frame", "mask"])
 
-    kinds = "frame long, height int, width int, a binary, b binary, cover_a binary, cover_b binary, mask binary"
-    return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, mask binary", kinds, "append", GroupStateTimeout.NoTimeout)
+    kinds = "frame long, height int, width int, a binary, b binary, cover_a binary, cover_b binary, mask binary, seen long"
+    rows, timeout = _timed(frames, ["clip", "frame", "height", "width", "a", "b", "cover_a", "cover_b"], ts, late)
+    return rows.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, mask binary", kinds, "append", timeout)
 
 
-def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) -> DataFrame:
+def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0, ts: str | None = None, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
     """``clip, frame, k, xa, ya, xb, yb``: correspondences carried from frame to frame.
 
     ``frames`` are ``clip, frame, fresh, moved``: the matches found in a frame (array of
@@ -140,7 +133,8 @@ def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) ->
     before (array of ``xa, ya, ua, va, xb, yb, ub, vb, error``).  A carried match
     follows the tracker if its error is at most ``near`` and goes otherwise;
     fresh matches join it, those at a place already held do not, and a frame
-    holds at most ``most``, carried ones first.  State: one frame's matches.
+    holds at most ``most``, carried ones first.  State: one frame's matches; with an event time ``ts`` it goes
+    as that of :func:`carry_seams` does.
 
     In place of ``moved`` there may be the moves of each view by itself, ``la`` and ``lb`` (:func:`moves_of`):
     a match then follows the points of both views that it joins, with the larger of their errors.
@@ -148,9 +142,14 @@ def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) ->
     alone = "moved" not in frames.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(m) for m in zip(*state.get, strict=True)] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *sides, seen = state.get if state.exists else ([], [], [], [], 0)
+        held = [tuple(m) for m in zip(*sides, strict=True)]
         out = []
         for r in sorted((r for pdf in batches for r in pdf.itertuples(index=False)), key=lambda r: r.frame):
+            seen = max(seen, int(r.ms))
             if alone:
                 la, lb = ({(m["x"], m["y"]): (m["u"], m["v"]) for m in (side if side is not None else ()) if m["error"] <= near} for side in (r.la, r.lb))
                 to = {m: la[m[:2]] + lb[m[2:]] for m in held if m[:2] in la and m[2:] in lb}
@@ -165,12 +164,15 @@ def propagate_matches(frames: DataFrame, most: int = 1000, near: float = 1.0) ->
                     now.append(m)
             held = now[:most]
             out += [(key[0], int(r.frame), k, *m) for k, m in enumerate(held)]
-        state.update(tuple([m[i] for m in held] for i in range(4)))
+        state.update((*([m[i] for m in held] for i in range(4)), seen))
+        if ts:
+            state.setTimeoutTimestamp(max(seen + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["clip", "frame", "k", "xa", "ya", "xb", "yb"])
 
-    kinds = ", ".join(f"{c} array<double>" for c in ("xa", "ya", "xb", "yb"))
-    return frames.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, k int, xa double, ya double, xb double, yb double", kinds, "append", GroupStateTimeout.NoTimeout)
+    kinds = ", ".join(f"{c} array<double>" for c in ("xa", "ya", "xb", "yb")) + ", seen long"
+    rows, timeout = _timed(frames, ["clip", "frame", "fresh", *(["la", "lb"] if alone else ["moved"])], ts, late)
+    return rows.groupBy("clip").applyInPandasWithState(step, "clip long, frame long, k int, xa double, ya double, xb double, yb double", kinds, "append", timeout)
 
 
 def track_points(frames: DataFrame, mesh: int = 8, demand: float = 256, most_error: float = 1.0, max_age: int = 100, ts: str | None = None, late: str = "1 minute", idle_ms: int = 3_600_000) -> DataFrame:
@@ -225,12 +227,7 @@ def track_points(frames: DataFrame, mesh: int = 8, demand: float = 256, most_err
 
     held = "frame long, height int, width int, pixels binary, ids array<long>, ages array<long>, xs array<double>, ys array<double>, following long, seen long"
     made = "clip long, frame long, track_id long, age long, x double, y double, px double, py double, error double"
-    columns = ["clip", "frame", "height", "width", "pixels"]
-    if ts:
-        timed = frames.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-        rows, timeout = timed.select(*columns, F.unix_millis("__ts").alias("ms"), "__ts"), GroupStateTimeout.EventTimeTimeout
-    else:
-        rows, timeout = frames.select(*columns, F.lit(0).cast("long").alias("ms")), GroupStateTimeout.NoTimeout
+    rows, timeout = _timed(frames, ["clip", "frame", "height", "width", "pixels"], ts, late)
     return rows.groupBy("clip").applyInPandasWithState(step, made, held, "append", timeout)
 
 
