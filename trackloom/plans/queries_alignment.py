@@ -203,7 +203,7 @@ PLANTED = [1.02, 0.03, 4.0, -0.02, 0.97, -3.0, 0.00002, 0.00001, 1.0]
 
 def _planted(spark, sf_dir, h=PLANTED):
     """Matches that follow a planted map, one in eight of them not."""
-    p = _points(spark, sf_dir).where("frame <= 12").select("frame", "k", "xa", (F.col("ya") * 3 % 700).alias("ya"))
+    p = _points(spark, sf_dir).select("frame", "k", "xa", (F.col("ya") * 3 % 700).alias("ya"))
     x, y = S.homography_point(F.col("xa"), F.col("ya"), F.array(*map(F.lit, h)))
     off = F.when(F.col("k") % 8 == 0, (F.col("k") * 37) % 211 + 60.0).otherwise(0.0)
     return p.select("frame", "xa", "ya", (x + off).alias("xb"), (y - off).alias("yb"), (F.floor(F.col("xa") / 50) * 100 + F.floor(F.col("ya") / 70)).cast("int").alias("cell"))
@@ -224,7 +224,7 @@ AFFINE = [1.01, 0.02, 3.0, -0.01, 0.98, 2.0, 0.0, 0.0, 1.0]
 
 def planted_meshes(spark, sf_dir):
     """Mesh warps over matches that follow one affine map: every cell has it."""
-    m = _planted(spark, sf_dir, AFFINE).where("frame <= 4")
+    m = _planted(spark, sf_dir, AFFINE)
     clean = m.where(F.abs(F.col("xb") - (1.01 * F.col("xa") + 0.02 * F.col("ya") + 3)) < 1)
     fit = H.fit_meshes(clean, ["frame"], WIDTH, HEIGHT, 4)
     return fit.select("frame", "row", "col", *(F.round(F.col("h")[i], 3).alias(f"h{i}") for i in range(9)))
@@ -241,8 +241,8 @@ def max_flows(spark, sf_dir):
 
 def soft_masks(spark, sf_dir):
     """Share of good points around asked places."""
-    p = _points(spark, sf_dir).where("frame <= 6").select("frame", F.col("xa").alias("x"), F.col("ya").alias("y"), (F.col("k") % 3 == 0).alias("good"))
-    at = spark.range(60).select((F.col("id") % 6 + 1).cast("int").alias("frame"), (F.floor(F.col("id") / 6) * 20).cast("int").alias("y"), (F.floor(F.col("id") / 6) * 45).cast("int").alias("x"))
+    p = _points(spark, sf_dir).select("frame", F.col("xa").alias("x"), F.col("ya").alias("y"), (F.col("k") % 3 == 0).alias("good"))
+    at = p.select("frame").distinct().select("frame", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("frame", (F.col("i") * 20).alias("y"), (F.col("i") * 45).alias("x"))
     return I.soft_mask(p, at, 50.0).select("frame", "y", "x", F.round("m", 6).alias("m"))
 
 
@@ -278,7 +278,7 @@ def gray_image(spark, sf_dir):
 def frames_zipped(spark, sf_dir):
     """Two clips written as files, read by number and zipped."""
     out = f"{shared_folder(spark)}/trackloom-stages/frames-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "pages").where("page_id < 40 AND html IS NOT NULL").select(F.col("page_id").alias("frame_idx"), F.col("html").cast("binary").alias("content"))
+    rows = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("frame_idx"), F.col("html").cast("binary").alias("content"))
     IO.write_frames(rows, f"{out}/a", "%04d.jpg").count()
     IO.write_frames(rows.where("frame_idx % 3 > 0").withColumn("content", F.reverse(F.hex("content")).cast("binary")), f"{out}/b").count()
     forget_at_exit(spark, out)
@@ -287,16 +287,21 @@ def frames_zipped(spark, sf_dir):
 
 
 def keypoints(spark, sf_dir):
-    """Keypoint text files of both formats, written and read."""
+    """Keypoint text files of both formats, one for each nation's next thousand suppliers, written and read."""
     out = f"{shared_folder(spark)}/trackloom-stages/keys-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey <= 9").orderBy("s_suppkey").collect()
-    ubc = [f"{len(rows)} 16"] + [f"{r['s_suppkey']}.5 {r['s_nationkey']} 2.25 0.5\n" + " ".join(str((r["s_suppkey"] * i) % 19) for i in range(16)) for r in rows]
-    oxford = ["3", f"{len(rows)}"] + [f"{r['s_suppkey']} {r['s_nationkey']} 0.5 0.25 {r['s_suppkey']} 7 8 {r['s_nationkey']}" for r in rows]
-    for name, lines in (("ubc", ubc), ("oxford", oxford)):
-        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{out}/{name}")
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    bins = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: key * i % 19), " ")
+    lines = {"ubc": F.concat_ws(" ", F.concat(key, F.lit(".5")), nation, F.lit("2.25 0.5"), bins), "oxford": F.concat_ws(" ", key, nation, F.lit("0.5 0.25"), key, F.lit("7 8"), nation)}
+    read = []
+    for form, line in lines.items():
+        file = (F.floor(key / 1000) * 100 + nation).alias("frame_idx")
+        held = table(spark, sf_dir, "supplier").groupBy(file).agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), line.alias("line")))).alias("p"))
+        head = F.concat(F.size("p"), F.lit(" 16")) if form == "ubc" else F.concat(F.lit("3 "), F.size("p"))
+        IO.write_frames(held.select("frame_idx", F.concat_ws("\n", head, F.transform("p", lambda x: x["line"])).cast("binary").alias("content")), f"{out}/{form}", "%d.txt").count()
+        found = IO.read_keypoints(spark, f"{out}/{form}", form)
+        read.append(found.select(F.lit(form).alias("form"), F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long").alias("file"), F.col("k").cast("int").alias("k"), F.array_join("descriptor", ",").alias("descriptor"), *(F.round(F.col("frame")[i], 6).alias(f"f{i}") for i in range(4))))
     forget_at_exit(spark, out)
-    read = [IO.read_keypoints(spark, f"{out}/{form}", form).select(F.lit(form).alias("form"), F.col("k").cast("int").alias("k"), F.concat_ws(",", F.transform("frame", lambda x: F.round(x, 6).cast("string"))).alias("frame"), F.array_join("descriptor", ",").alias("descriptor")) for form in ("ubc", "oxford")]
-    return read[0].unionByName(read[1]).select("form", "k", "descriptor", *(F.split("frame", ",")[i].cast("double").alias(f"f{i}") for i in range(4)))
+    return read[0].unionByName(read[1])
 
 
 def synthetic_images(spark, sf_dir):
@@ -358,7 +363,7 @@ def _sql_literals(h: list[float], digits: int) -> str:
     return ", ".join(f"round({v!r}::DOUBLE, {digits}) AS h{i}" for i, v in enumerate(h))
 
 
-_PLANTED_SQL = f"WITH {_POINTS_SQL} SELECT frame, count(*) AS n, count(*) FILTER (k % 8 <> 0) AS inliers, {_sql_literals(PLANTED, 4)} FROM c WHERE frame <= 12 GROUP BY 1"
+_PLANTED_SQL = f"WITH {_POINTS_SQL} SELECT frame, count(*) AS n, count(*) FILTER (k % 8 <> 0) AS inliers, {_sql_literals(PLANTED, 4)} FROM c GROUP BY 1"
 _FLOW_SQL = f"""
     WITH ev AS (SELECT day(ts) AS day, user_id % 5 AS src, hour(ts) % 5 AS dst FROM events), e AS (SELECT day, src, dst, count(*)::DOUBLE AS cap FROM ev WHERE src <> dst GROUP BY 1, 2, 3),
     n AS (SELECT day, src AS node, count(*) AS n FROM ev GROUP BY 1, 2), s AS (SELECT s FROM range(32) r(s)),
@@ -436,21 +441,21 @@ ORACLE_SQL = {
     "edge_ranks": f'WITH {TRACKS_SQL} SELECT (frame % 10)::INT AS "window", track_id::INT AS u, (track_id % 3)::INT AS v, count(DISTINCT track_id) AS n, round(exp(-0.25::DOUBLE) / 4, 9) AS w FROM t WHERE x > 0 GROUP BY 1, 2, 3',
     "planted_homographies": _PLANTED_SQL,
     "planted_homographies_cells": _PLANTED_SQL,
-    "planted_meshes": f"WITH {_POINTS_SQL}, f AS (SELECT DISTINCT frame FROM c WHERE frame <= 4) SELECT frame, (a.i + 1)::INT AS row, (b.i + 1)::INT AS col, {_sql_literals(AFFINE, 3)} FROM f, range(4) a(i), range(4) b(i)",
+    "planted_meshes": f"WITH {_POINTS_SQL}, f AS (SELECT DISTINCT frame FROM c) SELECT frame, (a.i + 1)::INT AS row, (b.i + 1)::INT AS col, {_sql_literals(AFFINE, 3)} FROM f, range(4) a(i), range(4) b(i)",
     "max_flows": _FLOW_SQL,
     "soft_masks": f"""
-        WITH {_POINTS_SQL}, places AS (SELECT (i % 6 + 1)::INT AS frame, (i // 6 * 20)::INT AS y, (i // 6 * 45)::INT AS x FROM range(60) r(i)),
+        WITH {_POINTS_SQL}, places AS (SELECT frame, (i * 20)::INT AS y, (i * 45)::INT AS x FROM (SELECT DISTINCT frame FROM c), range(10) r(i)),
         q AS (SELECT q_.frame, q_.y, q_.x, k % 3 = 0 AS good, exp(-((xa - q_.x) ** 2 + (ya - q_.y) ** 2) / 5000.0) AS w FROM places q_ JOIN c ON c.frame = q_.frame)
         SELECT frame, y, x, round(CASE WHEN sum(w) > 0 THEN sum(CASE WHEN good THEN w ELSE 0 END) / sum(w) END, 6) AS m FROM q GROUP BY 1, 2, 3""",
     "cross_fades": f"WITH {GRID_SQL} SELECT y, x, round(v * (1 - 0.5::DOUBLE / (1 + exp(-0.4::DOUBLE * (x - 15)))), 5) AS v FROM g",
     "mosaics": f"WITH {GRID_SQL} SELECT (y // 5 * 5 + (x - 1) // 8)::INT AS y, (y % 5 * 9 + (x - 1) % 8)::INT AS x, v FROM g",
     "dark_dropped": f"WITH {GRID_SQL}, {_sql_blurred()} SELECT y + 0.25::DOUBLE AS y, x + 0.25::DOUBLE AS x FROM ky WHERE m <= 0.2",
     "gray_image": f"WITH {GRID_SQL} SELECT y, (x - 1)::INT AS x, round((0.299::DOUBLE * (v % 256) + 0.587::DOUBLE * (v // 3 % 256) + 0.114::DOUBLE * (v // 7 % 256)) / 255, 6) AS v FROM g",
-    "frames_zipped": "SELECT page_id AS frame_idx, md5(html) AS a, 2 * strlen(html)::BIGINT AS n FROM pages WHERE page_id < 40 AND page_id % 3 > 0 AND html IS NOT NULL",
+    "frames_zipped": "SELECT page_id AS frame_idx, md5(html) AS a, 2 * strlen(html)::BIGINT AS n FROM pages WHERE page_id % 3 > 0 AND html IS NOT NULL",
     "keypoints": f"""
-        WITH s AS (SELECT *, (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS k FROM supplier WHERE s_suppkey <= 9)
-        SELECT 'ubc' AS form, k, list_aggregate({_UBC_BINS}, 'string_agg', ',') AS descriptor, s_nationkey + 1.0::DOUBLE AS f0, s_suppkey + 1.5::DOUBLE AS f1, 2.25::DOUBLE AS f2, -0.5::DOUBLE AS f3 FROM s
-        UNION ALL SELECT 'oxford', k, '7,8,' || s_nationkey, s_suppkey + 1.0::DOUBLE, s_nationkey + 1.0::DOUBLE, round(s_suppkey / (0.5::DOUBLE * s_suppkey - 0.0625), 6), round(-0.25::DOUBLE / (0.5::DOUBLE * s_suppkey - 0.0625), 6) FROM s""",
+        WITH s AS (SELECT *, s_suppkey // 1000 * 100 + s_nationkey AS file, (row_number() OVER (PARTITION BY s_suppkey // 1000, s_nationkey ORDER BY s_suppkey) - 1)::INT AS k FROM supplier)
+        SELECT 'ubc' AS form, file, k, list_aggregate({_UBC_BINS}, 'string_agg', ',') AS descriptor, s_nationkey + 1.0::DOUBLE AS f0, s_suppkey + 1.5::DOUBLE AS f1, 2.25::DOUBLE AS f2, -0.5::DOUBLE AS f3 FROM s
+        UNION ALL SELECT 'oxford', file, k, '7,8,' || s_nationkey, s_suppkey + 1.0::DOUBLE, s_nationkey + 1.0::DOUBLE, round(s_suppkey / (0.5::DOUBLE * s_suppkey - 0.0625), 6), round(-0.25::DOUBLE / (0.5::DOUBLE * s_suppkey - 0.0625), 6) FROM s""",
     "synthetic_images": "WITH s AS (SELECT s_suppkey, s_nationkey % 5 + 8 AS h, (s_suppkey % 7 + 10)::INT AS w FROM supplier), p AS (SELECT s.*, a.i::INT AS y, b.i::INT AS x FROM s, range(12) a(i), range(16) b(i) WHERE a.i < h AND b.i < w) " + " UNION ALL ".join(
         f"SELECT s_suppkey, '{kind}' AS kind, y, x, round(({v})::DOUBLE, 6) AS v FROM p" for kind, v in (("step", "(x >= w // 2)::INT"), ("ramp", "x / (w - 1)"), ("checker", "(y // 8 + x // 8) % 2"), ("disc", "((y - h / 2) ** 2 + (x - w / 2) ** 2 <= (least(h, w) / 4) ** 2)::INT"), ("stripes", "0.5::DOUBLE + 0.5::DOUBLE * sin(x * 0.5::DOUBLE)"))
     ),
