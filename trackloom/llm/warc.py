@@ -416,6 +416,8 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
+    """The records at a URI.  Read anew for each set of conditions: Spark keeps what a Python source
+    was once pushed for all later uses of the same DataFrame."""
     register(spark)
     return spark.read.format("warc").option("payload", payload).load(path)
 
