@@ -20,6 +20,19 @@ from trackloom.plans import runtime
 from trackloom.streaming import tracks as R
 
 
+def test_twister_numbers_of_every_seed(spark):
+    """The query returns the numbers themselves: the published ones for the default seed, the generator's for each supplier."""
+    from trackloom.plans import catalog
+
+    rows = {r["seed"]: r for r in catalog.QUERIES["twister_numbers"](spark, "/root/testdata/sf0.001").collect()}
+    published = [0.8147236863931789, 0.9057919370756192, 0.12698681629350606, 0.9133758561390194, 0.6323592462254095]
+    assert [rows[5489][f"x{i}"] for i in range(7)] == [*published, *published[3:]]
+    assert len(rows) > 1
+    for seed, r in rows.items():
+        want = np.random.RandomState(seed).random_sample(5).tolist()
+        assert [r[f"x{i}"] for i in range(7)] == [*want, *want[3:]]
+
+
 def test_twister_state():
     t = Twister(3)
     t.rand(5, 2)

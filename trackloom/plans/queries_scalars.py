@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalar as S
-from trackloom.functions.twister import Twister
+from trackloom.functions.twister import DEFAULT_SEED, Twister
 from trackloom.operators import alignment as A
 from trackloom.operators import geometry as H
 from trackloom.operators import graphpath as G
@@ -221,7 +221,8 @@ def black_pixels(spark, sf_dir):
 
 
 def twister_numbers(spark, sf_dir):
-    """For every supplier's key as a seed: numbers drawn, put back and drawn again are the same, and lie in [0, 1)."""
+    """The first five numbers of the default seed and of every supplier's key as a seed, and the last two drawn again
+    from the state put back; do these equal them, do all lie in [0, 1), and how many of the first three differ."""
 
     def draw(batches):
         for pdf in batches:
@@ -231,10 +232,14 @@ def twister_numbers(spark, sf_dir):
                 first, at = t.rand(3), t.state
                 rest = t.rand(2)
                 t.state = at
-                out.append((seed, bool((t.rand(2) == rest).all()), bool((0 <= first).all() and (first < 1).all()), len(set(first))))
-            yield pd.DataFrame(out, columns=["seed", "again", "within", "distinct"])
+                again = t.rand(2)
+                every = [*first, *rest, *again]
+                out.append((seed, bool((again == rest).all()), all(0 <= x < 1 for x in every), len(set(first)), *map(float, every)))
+            yield pd.DataFrame(out, columns=["seed", "again", "within", "distinct", *names])
 
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed")).mapInPandas(draw, "seed long, again boolean, within boolean, distinct int")
+    names = [f"x{i}" for i in range(7)]
+    seeds = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed")).union(spark.range(DEFAULT_SEED, DEFAULT_SEED + 1)).distinct()
+    return seeds.mapInPandas(draw, "seed long, again boolean, within boolean, distinct int, " + ", ".join(f"{n} double" for n in names))
 
 
 def triplets_summed(spark, sf_dir):
@@ -331,13 +336,30 @@ def _sql_slopes() -> str:
     return f"v AS (SELECT {', '.join(f'{e} AS v{i}' for i, e in enumerate(_V))} FROM l) SELECT {columns} FROM v"
 
 
+def _sql_twister() -> str:
+    """The published generator written out: words of its state from the seed, the first ten after one twist, tempered, and
+    two of them to a number of 53 bits."""
+    step = lambda a, i: f"((1812433253 * xor({a}, {a} >> 30) + {i}) & 4294967295)"  # noqa: E731  (below 2 ** 63)
+    word = lambda start, first, last: f"list_reduce(list_prepend({start}, range({first}, {last + 1})), lambda a, i: {step('a', 'i')})"
+    words = lambda start, first, last: f"list_reduce(list_prepend([{start}], list_transform(range({first}, {last + 1}), lambda i: [i])), lambda a, i: list_append(a, {step('a[-1]', 'i[1]')}))"
+    twist = "xor(xor(t[k], ((h[k] & 2147483648) | (h[k + 1] & 2147483647)) >> 1), (h[k + 1] & 1) * 2567483615)"
+    stages = [
+        f"d AS (SELECT s_suppkey AS seed FROM supplier UNION SELECT {DEFAULT_SEED})", f"h AS (SELECT seed, {words('seed & 4294967295', 1, 10)} AS h FROM d)",
+        f"u AS (SELECT seed, h, {word('h[11]', 11, 397)} AS u FROM h)", f"t AS (SELECT seed, h, {words('u', 398, 406)} AS t FROM u)", f"w AS (SELECT seed, list_transform(range(1, 11), lambda k: {twist}) AS w FROM t)",
+    ]
+    for n, tempered in enumerate(("xor(y, y >> 11)", "xor(y, (y << 7) & 2636928640)", "xor(y, (y << 15) & 4022730752)", "xor(y, y >> 18)")):
+        stages.append(f"w{n} AS (SELECT seed, list_transform(w, lambda y: {tempered}) AS w FROM w{n - 1 if n else ''})")
+    stages.append(f"x AS (SELECT seed, {', '.join(f'((w[{2 * k + 1}] >> 5) * 67108864 + (w[{2 * k + 2}] >> 6))::DOUBLE / 9007199254740992 AS x{k}' for k in range(5))} FROM w3)")
+    return f"""WITH {', '.join(stages)}
+        SELECT seed, true AS again, greatest(x0, x1, x2, x3, x4) < 1 AND least(x0, x1, x2, x3, x4) >= 0 AS within, len(list_distinct([x0, x1, x2]))::INT AS distinct, x0, x1, x2, x3, x4, x3 AS x5, x4 AS x6 FROM x"""
+
+
 _LAB_F = "CASE WHEN {0} > 0.008856::DOUBLE THEN cbrt({0}) ELSE (903.3::DOUBLE * {0} + 16) / 116 END"
 _ROT = """r AS (SELECT v0, v1, v2, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS a FROM (SELECT {0} AS v0, {1} AS v1, {2} AS v2 FROM l)),
     q AS (SELECT v0, v1, v2, a, v0 / a AS e0, v1 / a AS e1, v2 / a AS e2, cos(a) AS c, sin(a) AS s FROM r)""".format(*_V)
 
 ORACLE_SQL = {
-    # fixed values: the published generator's first numbers
-    "twister_numbers": "SELECT s_suppkey AS seed, true AS again, true AS within, 3::INT AS distinct FROM supplier",
+    "twister_numbers": _sql_twister(),
     "triplets_summed": f"WITH {LINES_SQL} SELECT k % 40 AS i, y::INT AS j, sum(round(x * 1000)::BIGINT + round(u * 1000)::BIGINT)::BIGINT AS v FROM l GROUP BY 1, 2",
     "stitch_state": """SELECT s_suppkey AS clip, (f.i + 1)::INT AS frame, (a.i + 1)::INT AS row, (b.i + 1)::INT AS col, round(b.i * (s_suppkey % 97 + 640.0::DOUBLE) / 8, 6) AS left, round(a.i * (s_nationkey + 360.0::DOUBLE) / 8, 6) AS top,
         round((s_suppkey % 97 + 640.0::DOUBLE) / 8, 6) AS quad_width, round((s_nationkey + 360.0::DOUBLE) / 8, 6) AS quad_height, 1.0::DOUBLE AS p0, 0.0::DOUBLE AS c1 FROM supplier JOIN range(3) f(i) ON f.i < s_nationkey % 3 + 1, range(8) a(i), range(8) b(i)""",
