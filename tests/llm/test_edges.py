@@ -575,6 +575,14 @@ def test_pii_folds_share_no_forms(spark):
     assert parts[0] == {4, 6} and parts[1] == {6}  # [at] with a dotted host is taught and not measured
 
 
+def test_pii_every_base_span_teaches(spark):
+    """More base spans than a sample once took: each is rewritten in the form of its fold, with its context and without."""
+    docs = spark.createDataFrame([(i, " ".join(f"u{i}x{j}@h.example.com," for j in range(1000))) for i in range(110)], "doc_id long, text string")
+    vectors = pii.training_vectors(pii.propose(docs)).where("pos = 1 AND kind = 0").groupBy("fold").count().collect()
+    folds = {r.fold: r["n"] for r in docs.groupBy(pii.F.pmod(pii.F.xxhash64("text"), pii.F.lit(2)).alias("fold")).agg(pii.F.count("*").alias("n")).collect()}
+    assert {r.fold: r["count"] for r in vectors} == {fold: n * 1000 * 2 * 2 for fold, n in folds.items()}
+
+
 def test_quality_beside_columns_of_its_own_names(spark):
     docs = spark.createDataFrame([(i, f"word{i % 3} good text here", "h/p", i, "x", 1) for i in range(40)], "doc_id long, text string, source string, __judged long, __row string, `__JUDGED_` int")
     marks = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")

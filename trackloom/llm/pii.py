@@ -255,19 +255,18 @@ def sure_negative(x: Column) -> Column:
     return x["before"].isin(1, 2) | x["after"].isin(1, 2) | (x["cue"] == 2) | lacks
 
 
-def training_vectors(found: DataFrame, taught: int = 100_000) -> DataFrame:
+def training_vectors(found: DataFrame, taught: int | None = None) -> DataFrame:
     """``fold``, the features and ``pos``: 1 for a rewritten base span, 0 for a candidate outside base spans.
     ``sure`` is 1, but for candidates that are neither (:func:`sure_negative`), which only fold 1 has.
 
-    The folds share neither documents nor forms of rewriting.  About ``taught`` base spans, by hash, are rewritten."""
-    spans = found.agg(F.sum(F.size("snippets"))).first()[0] or 0
+    The folds share neither documents nor forms of rewriting.  Every base span is rewritten; with ``taught``, about so many, by hash."""
     outside = found.select("fold", F.explode(free_of(F.concat(*KINDS), F.col("candidates"))).alias("x")).withColumn("sure", sure_negative(F.col("x")).cast("int")).where("sure = 1 OR fold = 1")
     negatives = outside.select("fold", *(F.col(f"x.{f}").alias(f) for f in FEATURES), F.lit(0).cast("long").alias("pos"), "sure")
     forms = F.coalesce(*(F.when(F.col("x.kind") == k, F.array(*rewritten(kind, F.col("x.m")))) for k, kind in enumerate(KINDS)))
     # a base span within a longer run (digits of a hash, say) is no sure example
     apart = ~F.col("x.before").rlike("[A-Za-z0-9]$") & ~F.col("x.after").rlike("^[A-Za-z0-9]")
     told = found.select("fold", F.posexplode("snippets").alias("n", "x")).where(apart)
-    if spans > taught:
+    if taught is not None and (spans := found.agg(F.sum(F.size("snippets"))).first()[0] or 0) > taught:
         told = told.where(F.pmod(F.xxhash64("n", "x"), F.lit(spans)) < taught)
     told = told.select("fold", "x.kind", "x.before", "x.after", F.posexplode(forms).alias("number", "form")).where("form IS NOT NULL AND number % 2 = fold")
     # taught in its own context and in none, so that the form counts for itself
@@ -412,7 +411,7 @@ def held_out_quality(rows: list[tuple[tuple[int, ...], float, float]], trees: li
     return out
 
 
-def fit_model(found: DataFrame, precision: float, taught: int = 100_000) -> tuple[list[tuple], dict[int, float], dict[str, tuple[float, float]]]:
+def fit_model(found: DataFrame, precision: float, taught: int | None = None) -> tuple[list[tuple], dict[int, float], dict[str, tuple[float, float]]]:
     """Trees, the threshold of each kind, and its precision and recall on the documents and the forms that
     the trees have not seen.  A candidate that is neither rewritten nor none for sure counts in the
     calibration as both, in the parts that the trees give it; recall is that of rewritten spans alone."""
@@ -424,14 +423,14 @@ def fit_model(found: DataFrame, precision: float, taught: int = 100_000) -> tupl
     return trees, limits, held_out_quality([(v, p, n + (1 - part(v)) * o) for v, p, n, o in halves[1]], trees, limits)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95, taught: int = 100_000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95, taught: int | None = None) -> DataFrame:
     """``doc_id``, base spans ``email, ip, card, phone`` and ``added`` spans
     ``(kind, s, e)`` for every row; offsets are code points, ends exclusive.
 
     ``precision`` is that of the added spans on the calibrating half: base spans rewritten in forms
     that the trees have not seen, against the candidates outside base spans (those that are not sure
-    count as none in the part that the trees give them).  The trees are fitted on the rewritings of about ``taught`` base spans
-    and on all candidates outside base spans.  An added span
+    count as none in the part that the trees give them).  The trees are fitted on the rewritings of all base spans (of
+    about ``taught`` of them, where that is given) and on all candidates outside base spans.  An added span
     touches no base span, and none that scores higher (on a tie, of a kind
     before its own) among those that pass.
 
