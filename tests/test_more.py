@@ -20,6 +20,20 @@ from trackloom.plans import runtime
 from trackloom.streaming import tracks as R
 
 
+def test_homography_memory_grows_with_its_points():
+    """The decomposition keeps no square of the points: its left vectors alone would be 288 MB here."""
+    import tracemalloc
+
+    a = np.random.RandomState(3).uniform(0, 500, (3000, 2))
+    h = np.array([[1.02, 0.03, 4.0], [-0.02, 0.97, -3.0], [0.00002, 0.00001, 1.0]])
+    tracemalloc.start()
+    got = H.dlt(a, H.apply(h, a))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, h, atol=1e-7) and most < 20e6
+    assert np.allclose(H.dlt(a[:4], H.apply(h, a[:4])), h, atol=1e-6)
+
+
 def test_twister_numbers_of_every_seed(spark):
     """The query returns the numbers themselves: the published ones for the default seed, the generator's for each supplier."""
     from trackloom.plans import catalog

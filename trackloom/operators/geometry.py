@@ -44,7 +44,8 @@ def dlt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     rows = []
     for u, v, sign in ((nb[:, 0], (x, y, one, zero, zero, zero), 1), (nb[:, 1], (zero, zero, zero, x, y, one), 1)):
         rows.append(np.stack([*v, -u * x * sign, -u * y * sign, -u * sign], axis=1))
-    h = np.linalg.svd(np.concatenate(rows))[2][-1].reshape(3, 3)
+    # the triangle has the rows' right singular vectors; their left ones would be a square of all points
+    h = np.linalg.svd(np.linalg.qr(np.concatenate(rows), mode="r"))[2][-1].reshape(3, 3)
     h = np.linalg.inv(tb) @ h @ ta
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
 
