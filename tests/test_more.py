@@ -34,6 +34,22 @@ def test_homography_memory_grows_with_its_points():
     assert np.allclose(H.dlt(a[:4], H.apply(h, a[:4])), h, atol=1e-6)
 
 
+def test_mesh_of_many_points():
+    """Control points are added up by corner, not one at a time; each counts once with its weight."""
+    import time
+
+    rnd = np.random.RandomState(5)
+    a = rnd.uniform([1, 1], [500, 720], (300_000, 2))
+    b = a @ np.array([[1.01, 0.02], [-0.01, 0.98]]).T + [3.0, 2.0]
+    began = time.time()
+    _, local = H.similar_warp(a, b, 500.0, 720.0, 4)
+    assert time.time() - began < 5
+    assert np.allclose(np.concatenate([H.apply(h, a[:50]) for h in local.reshape(-1, 3, 3)]), np.tile(b[:50], (16, 1)), atol=0.05)
+    few, pulled = a[:40], b[:40] + rnd.normal(size=(40, 2))
+    once, twice = H.similar_warp(few, pulled, 500.0, 720.0, 4, 1.0)[0], H.similar_warp(np.r_[few, few], np.r_[pulled, pulled], 500.0, 720.0, 4, 2.0)[0]
+    assert np.allclose(once, twice, atol=1e-6)
+
+
 def test_twister_numbers_of_every_seed(spark):
     """The query returns the numbers themselves: the published ones for the default seed, the generator's for each supplier."""
     from trackloom.plans import catalog

@@ -223,10 +223,15 @@ def similar_warp(a: np.ndarray, b: np.ndarray, width: float, height: float, cell
                 add([(i1 + 1, 1.0), (i2 + 1, u - 1), (i3 + 1, -u), (i3, v), (i2, -v)], 0.0, weight)
     fx = (a[:, 0] - xs[col]) / (xs[col + 1] - xs[col])
     fy = (a[:, 1] - ys[row]) / (ys[row + 1] - ys[row])
-    for k in range(len(a)):
-        corners = [(index(row[k] + i, col[k] + j), (fy[k] if i else 1 - fy[k]) * (fx[k] if j else 1 - fx[k])) for i in (0, 1) for j in (0, 1)]
+    # a point's four corners: products of their shares, and shares times its place, added up by corner
+    corners = [(index(row + i, col + j), (fy if i else 1 - fy) * (fx if j else 1 - fx)) for i in (0, 1) for j in (0, 1)]
+    for p, w in corners:
+        for q, v in corners:
+            held = np.bincount(p * n * n + q, w * v, n**4).reshape(n * n, n * n)
+            for axis in (0, 1):
+                normal[axis::2, axis::2] += held
         for axis in (0, 1):
-            add([(2 * i + axis, w) for i, w in corners], b[k, axis], 1.0)
+            right[axis::2] += np.bincount(p, w * b[:, axis], n * n)
     solved = np.linalg.lstsq(normal, right, rcond=None)[0].reshape(n, n, 2)
     homographies = np.empty((cells, cells, 3, 3))
     for r in range(cells):
