@@ -50,6 +50,24 @@ def test_mesh_of_many_points():
     assert np.allclose(once, twice, atol=1e-6)
 
 
+def test_edge_ranks_of_many_groups(spark):
+    """Ranks by groups of one and of several tracks, with gaps, repeated and missing entries; many small groups take no call each."""
+    import math
+    import time
+
+    rnd = np.random.RandomState(8)
+    rows = [(0, 1, 1, t, f, float(x), float(x)) for t in range(3) for f, x in enumerate(rnd.normal(size=6))]
+    rows += [(0, 2, 1, t, f, (t + 1) * (f + 1.0), (t + 1) * (2.0 - f)) for t in range(3) for f in range(6)]
+    rows += [(0, 3, 1, 0, 0, 1.0, 2.0), (0, 3, 1, 0, 0, 3.0, 4.0), (0, 3, 1, 1, 1, None, None), (0, 3, 1, None, 1, 1.0, 1.0), (0, 4, 1, 0, 0, 0.0, 0.0)]
+    got = {r["u"]: (r["n"], r["w"]) for r in L.edge_ranks(spark.createDataFrame(rows, "window int, u int, v int, track_id long, frame int, x double, y double"), 0.1).collect()}
+    want = {1: (3, 3), 2: (3, 1), 3: (1, 1), 4: (1, 0)}
+    assert got == {u: (n, pytest.approx(math.exp(-0.1 * n) * rank / 4)) for u, (n, rank) in want.items()}
+    many = spark.range(40_000).select(F.lit(0).alias("window"), F.col("id").cast("int").alias("u"), F.lit(0).alias("v"), F.col("id").alias("track_id"), F.lit(1).alias("frame"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    began = time.time()
+    assert L.edge_ranks(many, 0.1).where("n = 1").count() == 40_000
+    assert time.time() - began < 20
+
+
 def test_twister_numbers_of_every_seed(spark):
     """The query returns the numbers themselves: the published ones for the default seed, the generator's for each supplier."""
     from trackloom.plans import catalog

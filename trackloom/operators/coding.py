@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,15 +281,41 @@ def segment_windows(points: DataFrame, eps: float) -> DataFrame:
     return points.groupBy("window").applyInPandas(run, "window int, track_id long, label int")
 
 
+def _means(track: np.ndarray, frame: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Of each of ``values`` the means, rows by frame and columns by track, of the frames that every track has."""
+    columns, c = np.unique(track, return_inverse=True)
+    frames, r = np.unique(frame, return_inverse=True)
+    shape = (len(frames), len(columns))
+    place = r * shape[1] + c
+    counts = np.bincount(place, minlength=shape[0] * shape[1]).reshape(shape)
+    whole = counts.all(1)
+    return [np.bincount(place, v, shape[0] * shape[1]).reshape(shape)[whole] / counts[whole] for v in values]
+
+
 def edge_ranks(points: DataFrame, alpha: float) -> DataFrame:
     """``window, u, v, n, w``: exp(-alpha n) * rank / 4 of the trajectory matrix of the tracks with
-    label u in a window and v in the next (``window, u, v, track_id, frame, x, y``)."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        w, ids = _matrix(pdf)
-        return pd.DataFrame([(*key, len(ids), math.exp(-alpha * len(ids)) * matrix_rank(w) / 4)], columns=["window", "u", "v", "n", "w"])
+    label u in a window and v in the next (``window, u, v, track_id, frame, x, y``).  Many groups go through a worker in one batch."""
+    number = lambda a: pa.compute.fill_null(a.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
 
-    return points.groupBy("window", "u", "v").applyInPandas(run, "window int, u int, v int, n long, w double")
+    def run(batches):
+        for batch in batches:
+            p = batch.column("p")
+            ends, flat = p.offsets.to_numpy(), p.values
+            track, frame, xs, ys = flat.field("track_id").to_numpy(zero_copy_only=False), flat.field("frame").to_numpy(zero_copy_only=False), number(flat.field("x")), number(flat.field("y"))
+            sizes, weights = [], []
+            for at, end in zip(ends[:-1], ends[1:], strict=True):
+                part = slice(at, end)
+                t, f, *both = track[part], frame[part], xs[part], ys[part]
+                held = [~np.isnan(v) for v in both]
+                x, y = _means(t, f, *both) if all(h.all() for h in held) else (m for v, h in zip(both, held, strict=True) for m in _means(t[h], f[h], v[h]))
+                w = np.empty((2 * len(x), x.shape[1]))
+                w[0::2], w[1::2] = x, y
+                sizes.append(w.shape[1])
+                weights.append(math.exp(-alpha * w.shape[1]) * matrix_rank(w) / 4)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("window", "u", "v")] + [pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], names=["window", "u", "v", "n", "w"])
+
+    grouped = points.groupBy(*(F.col(c).cast("int").alias(c) for c in ("window", "u", "v"))).agg(F.collect_list(F.when(F.col("track_id").isNotNull() & F.col("frame").isNotNull(), F.struct("track_id", "frame", "x", "y"))).alias("p"))
+    return grouped.mapInArrow(run, "window int, u int, v int, n long, w double")
 
 
 def grouped_lengths(data: DataFrame, label: str, vector: str, eps: float, affine: bool = False) -> DataFrame:
