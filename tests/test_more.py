@@ -68,6 +68,24 @@ def test_edge_ranks_of_many_groups(spark):
     assert time.time() - began < 20
 
 
+def test_coding_lengths_of_many_groups(spark):
+    """Sums as columns and as terms give each group's own length; many small groups take no call each."""
+    import time
+
+    rnd = np.random.RandomState(9)
+    for dims in (2, 14):
+        rows = [(k, rnd.normal(size=dims).tolist()) for k in (0, 1, None) for _ in range(20 + (k or 0))]
+        for affine in (False, True):
+            got = {r["k"]: (r["m"], r["bits"]) for r in L.grouped_lengths(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", 0.5, affine).collect()}
+            for k in (0, 1, None):
+                w = np.array([v for label, v in rows if label == k]).T
+                assert got[k] == (w.shape[1], pytest.approx(L.coding_length(w, 0.25, len(rows), affine)))
+    many = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), F.array(F.col("id") / 7.0, F.lit(1.0)).alias("v"))
+    began = time.time()
+    assert L.grouped_lengths(many, "k", "v", 0.5).where("m = 4").count() == 50_000
+    assert time.time() - began < 20
+
+
 def test_twister_numbers_of_every_seed(spark):
     """The query returns the numbers themselves: the published ones for the default seed, the generator's for each supplier."""
     from trackloom.plans import catalog

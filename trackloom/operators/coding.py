@@ -318,12 +318,17 @@ def edge_ranks(points: DataFrame, alpha: float) -> DataFrame:
     return grouped.mapInArrow(run, "window int, u int, v int, n long, w double")
 
 
+#: Sums of a group (its count, its vector's and their products') up to which they are columns.
+MOST_SUMS = 100
+
+
 def grouped_lengths(data: DataFrame, label: str, vector: str, eps: float, affine: bool = False) -> DataFrame:
     """``label, m, bits`` for every group of vectors; only Gram sums of each group are formed,
-    by aggregation, and each group's are solved on their own."""
+    by aggregation, and each group's are solved beside many others'."""
     dims = len(data.select(vector).first()[0])
     total = data.count()
     kind = data.schema[label].dataType.simpleString()
+    given = data.select(F.col(label).alias("k"), F.col(vector).cast("array<double>").alias("v"))
 
     def grams(batches):
         """Of every batch and label: the count, then the sums, then the Gram matrix, as numbered terms."""
@@ -333,20 +338,25 @@ def grouped_lengths(data: DataFrame, label: str, vector: str, eps: float, affine
                 terms = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
                 yield pd.DataFrame({"k": [key] * len(terms), "i": np.arange(len(terms)), "s": terms})
 
-    parts = data.select(F.col(label).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(grams, f"k {kind}, i int, s double")
-    rows = parts.groupBy("k", "i").agg(F.sum("s").alias("s")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("t"))
+    if 1 + dims + dims * (dims + 1) // 2 <= MOST_SUMS:
+        v = [F.col("v")[i] for i in range(dims)]
+        products = {(i, j): F.sum(v[i] * v[j]).alias(f"p{i}_{j}") for i in range(dims) for j in range(i, dims)}
+        sums = given.groupBy("k").agg(F.count("*").cast("double").alias("m"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(v)), *products.values())
+        rows = sums.select("k", F.array("m", *(f"s{i}" for i in range(dims)), *(f"p{min(i, j)}_{max(i, j)}" for i in range(dims) for j in range(dims))).alias("t"))
+    else:
+        parts = given.mapInPandas(grams, f"k {kind}, i int, s double")
+        rows = parts.groupBy("k", "i").agg(F.sum("s").alias("s")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("t"))
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
-                m, mean, g = int(t[0]), np.array(t[1 : dims + 1]) / t[0], np.array(t[dims + 1 :]).reshape(dims, dims)
-                extra = 0.0
-                if affine:
-                    g = g - m * np.outer(mean, mean)
-                    extra = dims / 2 * math.log2(1 + mean @ mean / eps**2)
-                s2 = np.clip(np.linalg.eigvalsh(g), 0, None)
-                out.append((k, m, extra + (m + dims) / 2 * np.log2(1 + dims / (eps**2 * m) * s2).sum() - m * math.log2(m / total)))
-            yield pd.DataFrame(out, columns=[label, "m", "bits"])
-
-    return rows.mapInPandas(run, f"{label} {kind}, m long, bits double")
+        for batch in batches:
+            t = np.array(batch.column("t").to_pylist(), float).reshape(-1, 1 + dims + dims * dims)
+            m, g, extra = t[:, 0], t[:, dims + 1 :].reshape(-1, dims, dims), 0.0
+            if affine:
+                mean = t[:, 1 : dims + 1] / m[:, None]
+                g = g - m[:, None, None] * mean[:, :, None] * mean[:, None, :]
+                extra = dims / 2 * np.log2(1 + (mean * mean).sum(1) / eps**2)
+            s2 = np.clip(np.linalg.eigvalsh(g), 0, None)
+            bits = extra + (m + dims) / 2 * np.log2(1 + dims / (eps**2 * m)[:, None] * s2).sum(1) - m * np.log2(m / total)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(m.astype(int), pa.int64()), pa.array(bits)], names=[label, "m", "bits"])
+
+    return rows.mapInArrow(run, f"{label} {kind}, m long, bits double")
