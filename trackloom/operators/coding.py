@@ -137,52 +137,94 @@ def project(w: np.ndarray, dims: int | None = None) -> np.ndarray:
 
 def basis_pursuit(a: np.ndarray, y: np.ndarray, gap: float = 1e-7, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """The columns of least L1 norm with ``a @ c = y``, and the duality gap of each relative to its norm.
+    Columns that no combination gives have their least-squares combination and an infinite gap."""
+    places, coefficients, gaps = least_vertices(a, y, gap, rounds)
+    best = np.zeros((a.shape[1], y.shape[1]))
+    best[places.T, np.arange(y.shape[1])] += coefficients.T
+    lost = np.isinf(gaps)
+    if lost.any():
+        best[:, lost] = np.linalg.pinv(a) @ y[:, lost]
+    return best, gaps
+
 
-    All columns of ``y`` go through the alternating directions of one projection together.  Every few rounds the support of
-    what is left is solved exactly, and a dual point is made feasible: its bound proves how far a column is
-    from the least norm, and a column whose gap is closed takes no further part.  Columns that no
-    combination gives have their least-squares combination and an infinite gap.
+def least_vertices(a: np.ndarray, y: np.ndarray, gap: float = 1e-7, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each column of ``y`` the columns of ``a`` that :func:`basis_pursuit` combines, their coefficients, and the gap.
+
+    Simplex steps from vertex to vertex for all columns of ``y`` together.  A vertex is as many columns of ``a`` as it has
+    independent rows, each with a sign; columns of ``y`` at one vertex share its dual, so ``a`` is priced once for each vertex and not for each
+    column.  A dual point made feasible bounds how far a column is from the least norm, and a column whose gap is closed takes no
+    further part.  Columns that no combination gives have coefficients of 0 and an infinite gap.
     """
     n, k = a.shape[1], y.shape[1]
-    best, gaps = np.zeros((n, k)), np.zeros(k)
-    inverse = np.linalg.pinv(a)
-    start = inverse @ y
-    size = np.abs(y).max(0, initial=0)
-    hopeless = np.abs(a @ start - y).max(0, initial=0) > 1e-8 * np.maximum(size, 1e-300)
-    best[:], gaps[hopeless] = start, np.inf
-    open_ = np.nonzero(~hopeless & (size > 0))[0]
-    best[:, size == 0] = 0
-    bound, norm = np.full(k, -np.inf), np.abs(best).sum(0)
-    scale = np.maximum(np.abs(start).mean(0), 1e-300)  # a column's own step
-    z, u = np.zeros((n, len(open_))), np.zeros((n, len(open_)))
-    for round_ in range(1, rounds + 1):
+    u, sizes, v = np.linalg.svd(a, full_matrices=False)
+    rank = int((sizes > max(a.shape) * np.finfo(float).eps * sizes.max(initial=0)).sum())
+    u, v = u[:, :rank], v[:rank]
+    left = u.T @ y
+    hopeless = np.abs(u @ left - y).max(0, initial=0) > 1e-8 * np.maximum(np.abs(y).max(0, initial=0), 1e-300)
+    places, coefficients, gaps = np.zeros((k, rank), int), np.zeros((k, rank)), np.where(hopeless, np.inf, 0.0)
+    open_ = np.flatnonzero(~hopeless & (np.abs(y).max(0, initial=0) > 0))
+    if not len(open_):
+        return places, coefficients, gaps
+    # rows of unit scale, and columns as rows; the norm keeps the scale of the columns
+    rows, right = v.T, (left[:, open_] / sizes[:rank, None]).T
+    vertices = np.tile(_independent(rows), (len(open_), 1))
+    signs = np.sign(np.linalg.solve(rows[vertices[0]].T, right.T).T)
+    signs[signs == 0] = 1
+    for step in range(rounds):
+        # the vertices in use, each once, whatever the order of its columns
+        order = np.argsort(vertices, 1)
+        vertices, signs = np.take_along_axis(vertices, order, 1), np.take_along_axis(signs, order, 1)
+        used, which = np.unique(np.hstack([vertices, signs.astype(int)]), axis=0, return_inverse=True)
+        which = which.ravel()
+        base = rows[used[:, :rank]]  # a vertex's columns of a, as rows
+        dual = np.linalg.solve(base, used[:, rank:, None].astype(float))[..., 0]
+        entering, value = np.empty(len(used), int), np.empty(len(used))
+        for i in range(0, len(used), most := max(1, (1 << 22) // n)):
+            price = rows @ dual[i : i + most].T
+            price[used[i : i + most, :rank].T, np.arange(price.shape[1])] = 0
+            beyond = np.abs(price)
+            # against cycles, late steps take the first column that may enter
+            entering[i : i + most] = beyond.argmax(0) if step % 200 < 150 else (beyond > 1 + gap).argmax(0)
+            value[i : i + most] = beyond.max(0, initial=0)
+            signed = np.sign(price[entering[i : i + most], np.arange(price.shape[1])])
+            dual[i : i + most] /= np.maximum(value[i : i + most], 1)[:, None]
+            entering[i : i + most] = np.where(signed < 0, ~entering[i : i + most], entering[i : i + most])
+        c = np.linalg.solve(np.swapaxes(base, 1, 2)[which], right[..., None])[..., 0]
+        norm = np.abs(c).sum(1)
+        bound = (right * dual[which]).sum(1)
+        gaps[open_] = (norm - bound) / np.maximum(norm, 1e-300)
+        done = (gaps[open_] <= gap) | (step == rounds - 1)
+        if done.any():
+            places[open_[done]], coefficients[open_[done]] = vertices[done], c[done]
+            open_, right, vertices, signs, which, c = (x[~done] for x in (open_, right, vertices, signs, which, c))
         if not len(open_):
             break
-        x = z - u
-        x += start[:, open_] - inverse @ (a @ x)
-        z = x + u
-        z = np.sign(z) * np.maximum(np.abs(z) - scale[open_], 0)
-        u += x - z
-        if round_ % 25 == 0:
-            for i, j in enumerate(open_):
-                dual = inverse.T @ (u[:, i] / scale[j])
-                found = [x[:, i]]
-                support = np.abs(z[:, i]) > 0
-                if support.any() and support.sum() <= len(a):
-                    c = np.zeros(n)
-                    c[support] = np.linalg.lstsq(a[:, support], y[:, j], rcond=None)[0]
-                    if np.abs(a @ c - y[:, j]).max() <= 1e-9 * size[j]:
-                        found.append(c)
-                        # the dual of a vertex meets its signs
-                        dual = dual + np.linalg.lstsq(a[:, support].T, np.sign(c[support]) - a[:, support].T @ dual, rcond=None)[0]
-                for c in found:
-                    if np.abs(c).sum() < norm[j]:
-                        best[:, j], norm[j] = c, np.abs(c).sum()
-                bound[j] = max(bound[j], y[:, j] @ dual / max(1.0, np.abs(a.T @ dual).max()))
-                gaps[j] = (norm[j] - bound[j]) / max(norm[j], 1e-300)
-            left = gaps[open_] > gap
-            open_, z, u = open_[left], z[:, left], u[:, left]
-    return best, gaps
+        # the column that enters, against its sign, and the first that it drives to nothing
+        enters = entering[which]
+        way = np.where(enters < 0, -1.0, 1.0)
+        enters = np.where(enters < 0, ~enters, enters)
+        change = signs * np.linalg.solve(np.swapaxes(base, 1, 2)[which], (way[:, None] * rows[enters])[..., None])[..., 0]
+        room = np.maximum(signs * c, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(change > 1e-11, room / change, np.inf)
+        least = ratio.min(1, keepdims=True)
+        # of equal ones that of the largest change
+        leaves = np.where(ratio <= least * (1 + 1e-12), change, -np.inf).argmax(1)
+        at = np.arange(len(open_))
+        vertices[at, leaves], signs[at, leaves] = enters, way
+    return places, coefficients, gaps
+
+
+def _independent(rows: np.ndarray) -> np.ndarray:
+    """As many rows as the matrix has columns, by elimination with the largest pivot."""
+    left, taken = rows.copy(), []
+    for _ in range(rows.shape[1]):
+        lengths = (left * left).sum(1)
+        lengths[taken] = -1
+        taken.append(int(lengths.argmax()))
+        q = left[taken[-1]] / math.sqrt(lengths[taken[-1]])
+        left -= np.outer(left @ q, q)
+    return np.array(taken)
 
 
 def repair(w: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -197,8 +239,12 @@ def repair(w: np.ndarray, known: np.ndarray) -> np.ndarray:
     for columns in patterns.values():
         k = known[:, columns[0]]
         if base.size and k.any():
-            c, _ = basis_pursuit(base[k], w[np.ix_(k, columns)])
-            out[np.ix_(~k, columns)] = base[~k] @ c
+            y, columns = w[np.ix_(k, columns)], np.array(columns)
+            places, coefficients, gaps = least_vertices(base[k], y)
+            out[np.ix_(~k, columns)] = (base[~k][:, places] * coefficients).sum(-1)
+            lost = np.isinf(gaps)
+            if lost.any():
+                out[np.ix_(~k, columns[lost])] = base[~k] @ np.linalg.pinv(base[k]) @ y[:, lost]
     return out
 
 
