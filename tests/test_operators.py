@@ -488,6 +488,19 @@ def test_small_helpers(spark):
     assert geometry.derivative(lambda v: [v[0] * v[1]], [2.0, 3.0]) == pytest.approx(np.array([[3.0, 2.0]]))
 
 
+def test_forest_returns_few_rows_of_a_block(spark):
+    """A query meets its leaves' rows in blocks that return their best: 60 queries over 30,000 rows in one leaf make no row a pair."""
+    x = np.random.RandomState(12).normal(size=(30_000, 8))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 20, "id long, v array<double>").repartition(4).cache()
+    trees = forest.build(data.limit(50), trees=1, leaf=100)
+    got = {(r.q, r["rank"]): r.id for r in forest.query(data.where("id % 500 = 7").distinct(), forest.index(data, trees), trees, 7, 1, bounded=True).collect()}
+    for q in range(7, 30_000, 500):
+        want = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:7]
+        assert [got[q, r] for r in range(1, 8)] == want.tolist()
+    plan = forest.query(data.where("id % 500 = 7"), forest.index(data, trees), trees, 7, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+
+
 def test_bounded_forest_query_misses_none(spark):
     """Few leaves of a table without clusters miss most neighbours; a bounded query goes on until none can be missed."""
     x = np.random.default_rng(3).normal(size=(3000, 16))
